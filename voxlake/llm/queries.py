@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, jaccard_join, language_id, mixing
+from . import bpe, exact_dedup, jaccard_join, language_id, mixing, suffix_dedup
 from .common import documents
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir)).drop("kept_text")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -44,7 +48,7 @@ FROM d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op6_language_id, op7_jaccard_join, op9_bpe, op10_exact_dedup)}
+    return {f.__name__: f for f in (op3_suffix_dedup, op4_mixing, op6_language_id, op7_jaccard_join, op9_bpe, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
