@@ -30,7 +30,7 @@ CROWD = 8192
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_STEP), -1, 2**64))
 
-_ROWS = "key bigint, id binary, anchor int, low int, high int"
+_PIECES = "key bigint, id binary, start int, low int, high int, piece binary"
 
 
 def _hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -171,6 +171,8 @@ def _runs(owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _anchor_rows(length: int, k: int):
+    """(id, text) to a row per piece: the hash of its anchor, and the anchor's place with the distances of windows to it in one number."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = value_bytes(batch["text"])
@@ -179,53 +181,51 @@ def _anchor_rows(length: int, k: int):
             while at < len(ids):
                 to = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK, "right")) - 1)
                 text, key, anchor, low, high = anchors_of(data[ends[at] : ends[to]], ends[at : to + 1] - ends[at], length, k)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.slice(at, to - at).take(pa.array(text)), *(pa.array(x.astype(np.int32)) for x in (anchor, low, high))], ["key", "id", "anchor", "low", "high"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.slice(at, to - at).take(pa.array(text)), pa.array((anchor << 32) + (low << 16) + high)], ["key", "id", "place"])
                 at = to
 
     return run
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """Rows whose key occurs more than once, with the number ``n`` of its rows."""
-    return rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-
-
-def _by_text(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, text, rows): each text that has rows, once, with all of them."""
-    return texts.join(rows.groupBy("id").agg(F.collect_list(F.struct("key", "anchor", "low", "high")).alias("rows")), "id")
+def _piece_batch(out: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["key", "id", "start", "low", "high", "piece"])
 
 
-def _halves(length: int, k: int, low: int, high: int):
-    """Deals the windows whose anchors stand ``low`` to ``high`` bytes after their starts by half of these distances: the new key is the string that all windows of a half have in common."""
+def _cut_pieces(length: int):
+    """(text, id, rows) to the pieces themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        middle = (low + high) // 2
         for batch in batches:
             out = []
-            for i, text, rows in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), batch["rows"].to_pylist(), strict=True):
+            for i, text, rows in zip(*(batch[c].to_pylist() for c in ("id", "text", "rows")), strict=True):
                 raw = text.encode()
                 for r in rows:
-                    for lo, hi in ((low, middle), (middle + 1, high)):
-                        a, b = max(lo, r["low"]), min(hi, r["high"])
-                        if lo <= hi and a <= b:
-                            seed = (r["key"] ^ (lo << 20) ^ hi) % 2**64
-                            out.append((xxhash.xxh3_64_intdigest(raw[r["anchor"] - lo : r["anchor"] + length - hi], seed), i, r["anchor"], a, b))
-            key = np.array([r[0] for r in out], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([r[1] for r in out], pa.binary()), *(pa.array([r[j] for r in out], pa.int32()) for j in (2, 3, 4))], ["key", "id", "anchor", "low", "high"])
+                    anchor, low, high = r["place"] >> 32, (r["place"] >> 16) & 0xFFFF, r["place"] & 0xFFFF
+                    out.append((r["key"], i, anchor - high, low, high, raw[anchor - high : anchor - low + length]))
+                if len(out) > 20_000:
+                    yield _piece_batch(out)
+                    out = []
+            yield _piece_batch(out)
 
     return run
 
 
-def _pieces(length: int):
+def _halve(length: int, low: int, high: int):
+    """Deals windows whose anchors stand ``low`` to ``high`` bytes after their starts by half of these distances: the new key is the string that all windows of a half have in common."""
+    middle = (low + high) // 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, text, rows in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), batch["rows"].to_pylist(), strict=True):
-                raw = text.encode()
-                out += [(r["key"], i, r["anchor"] - r["high"], raw[r["anchor"] - r["high"] : r["anchor"] - r["low"] + length]) for r in rows]
-            for low in range(0, len(out), 20_000):
-                part = out[low : low + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.binary()), pa.array([r[2] for r in part], pa.int32()), pa.array([r[3] for r in part], pa.binary())], ["key", "id", "start", "piece"])
+            for key, i, start, least, most, piece in zip(*(batch[c].to_pylist() for c in ("key", "id", "start", "low", "high", "piece")), strict=True):
+                for lo, hi in ((low, middle), (middle + 1, high)):
+                    a, b = max(lo, least), min(hi, most)
+                    if a <= b:
+                        common = piece[most - lo : most + length - hi]
+                        new = xxhash.xxh3_64_intdigest(common, (key ^ (lo << 20) ^ hi) % 2**64)
+                        out.append((new - 2**64 if new >= 2**63 else new, i, start + most - b, a, b, piece[most - b : most - a + length]))
+            yield _piece_batch(out)
 
     return run
 
@@ -267,39 +267,67 @@ def _blocks(length: int):
     return run
 
 
-def repeated_runs(texts: DataFrame, length: int = LENGTH, k: int = ANCHOR, crowd: int = CROWD) -> DataFrame:
-    """Runs (id, first, last) of places in distinct texts (id, text) where a string starts that starts elsewhere too."""
-    rows = checkpointed(_repeated(texts.mapInArrow(_anchor_rows(length, k), _ROWS)))
-    small, windows = F.col("n") <= crowd, []
-    whole = rows.where(small).drop("n")
-    queue = [(rows.where(~small).drop("n"), 0, length - k)]
-    while queue:
-        crowded, low, high = queue.pop()
-        if not crowded.limit(1).count():
-            continue
-        if low == high:  # the string in common is the window itself: each of these rows is a repeat
-            windows.append(crowded.select("id", (F.col("anchor") - low).alias("first"), (F.col("anchor") - low).alias("last")))
-            continue
-        halved = checkpointed(_repeated(_by_text(crowded, texts).mapInArrow(_halves(length, k, low, high), _ROWS)))
-        whole = whole.unionByName(halved.where(small).drop("n"))
-        middle = (low + high) // 2
-        queue += [(halved.where(~small & F.col("low").between(a, b)).drop("n"), a, b) for a, b in ((low, middle), (middle + 1, high))]
-    pieces = _by_text(whole, texts).mapInArrow(_pieces(length), "key bigint, id binary, start int, piece binary")
-    runs = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_blocks(length), "id binary, first int, last int")
-    for w in windows:
-        runs = runs.unionByName(w)
+def _settle(pieces: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs of pieces that have copies; one of each piece of keys with several, if they fit a block; the same of larger keys.
+
+    Copies are counted with partial sums, so a passage that very many texts share is one piece from here on.
+    """
+    pieces = checkpointed(pieces.withColumns({"p0": F.xxhash64("piece"), "p1": F.xxhash64(F.lit(1), "piece")}))
+    name = ["key", "p0", "p1"]
+    counts = checkpointed(pieces.groupBy(*name).agg(F.count("*").alias("c"), F.min(F.struct("id", "start")).alias("first")))
+    keys = counts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    copied = pieces.join(counts.where("c > 1").select(name), name).select("id", F.col("start").alias("first"), (F.col("start") + F.col("high") - F.col("low")).alias("last"))
+    one = pieces.join(counts.join(keys, "key").select(*name, "first", "n"), name).where(F.struct("id", "start") == F.col("first")).drop("first", "p0", "p1")
+    return copied, one.where(F.col("n") <= crowd).drop("n"), one.where(F.col("n") > crowd).drop("n")
+
+
+def _read(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """Texts of the rows ``needed`` (id, own, ...). Each use deals the texts in the same way, so Spark shuffles them once."""
+    other = needed.withColumnsRenamed({"id": "id2", "own": "own2"})
+    return texts.join(other, (F.col("id") == F.col("id2")) & F.col("own").eqNullSafe(F.col("own2"))).drop("id2", "own2")
+
+
+def repeated_runs(texts: DataFrame, classes: DataFrame, length: int = LENGTH, k: int = ANCHOR, crowd: int = CROWD) -> DataFrame:
+    """Runs (id, first, last) of places in texts (id, own, text) where a string starts that starts elsewhere too. Copies of a text share an id and count once; ``classes`` names, for each id, the ``own`` whose text is read."""
+    key = Window.partitionBy("key")
+    ordered = key.orderBy("id", "place")
+    anchors = texts.select("id", "text").mapInArrow(_anchor_rows(length, k), "key bigint, id binary, place bigint")
+    new = ~(F.lag("id").over(ordered).eqNullSafe(F.col("id")) & F.lag("place").over(ordered).eqNullSafe(F.col("place")))
+    rows = checkpointed(anchors.withColumn("new", new).withColumn("n", F.sum(F.col("new").cast("bigint")).over(key)).where("new and n > 1").select("key", "id", "place", "n"))
+
+    def cut(some: DataFrame) -> DataFrame:
+        needed = some.groupBy("id").agg(F.collect_list(F.struct("key", "place")).alias("rows"))
+        return _read(texts, needed.join(classes.select("id", "own"), "id")).mapInArrow(_cut_pieces(length), _PIECES)
+
+    pieces = cut(rows.where(F.col("n") <= crowd))
+    settled = []
+    crowded = rows.where(F.col("n") > crowd)
+    if crowded.limit(1).count():
+        queue = [(cut(crowded), 0, length - k)]
+        while queue:
+            part, low, high = queue.pop()
+            copied, fit, large = _settle(part, crowd)
+            settled.append(copied)
+            pieces = pieces.unionByName(fit)
+            if low < high and large.limit(1).count():  # with low = high a key has one piece: the window itself
+                middle = (low + high) // 2
+                halved = checkpointed(large.mapInArrow(_halve(length, low, high), _PIECES))
+                queue += [(halved.where(F.col("low").between(a, b)), a, b) for a, b in ((low, middle), (middle + 1, high))]
+    runs = pieces.select("key", "id", "start", "piece").repartition("key").sortWithinPartitions("key").mapInArrow(_blocks(length), "id binary, first int, last int")
+    for s in settled:
+        runs = runs.unionByName(s)
     return runs
 
 
 def _cut(length: int):
-    """(id, text, copies, runs) to what is left of each text."""
+    """(id, text, runs) to what is left of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, spans, digests, lefts = [], [], [], []
-            for text, copies, runs in zip(batch["text"].to_pylist(), batch["copies"].to_pylist(), batch["runs"].to_pylist(), strict=True):
+            for text, runs in zip(batch["text"].to_pylist(), batch["runs"].to_pylist(), strict=True):
                 raw = text.encode()
-                covered = [(0, len(raw))] if copies > 1 else sorted((r["first"], r["last"] + length) for r in runs or ())
+                covered = sorted((r["first"], r["last"] + length) for r in runs or ())
                 parts, end, gone, count = [], 0, 0, 0
                 for first, last in covered:
                     if first > end or not count:
@@ -328,12 +356,19 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Other columns are not read; an empty table gives an empty result.
     """
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.octet_length(text).cast("bigint").alias("n_bytes"), F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16).alias("id"))
+    rows = docs.select(F.col(id_col).alias("own"), text.alias("text"), F.octet_length(text).cast("bigint").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha")).withColumn("id", F.unhex(F.substring("sha", 1, 32)))
     long = rows.where(F.col("n_bytes") >= length)
-    classes = long.groupBy("id").agg(F.any_value("text").alias("text"), F.count("*").alias("copies"))
-    runs = repeated_runs(classes.select("id", "text"), length, k, crowd).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    left = classes.join(runs, "id", "left").mapInArrow(_cut(length), "id binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string")
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-    none = F.lit(0).cast("bigint")
-    brief = rows.where(F.col("n_bytes") < length).withColumns({"n_removed": none, "n_spans": none, "kept_sha256": F.sha2(F.col("text").cast("binary"), 256), "kept_text": F.col("text")})
-    return long.select("doc_id", "n_bytes", "id").join(left, "id").select(columns).unionByName(brief.select(columns))
+    classes = checkpointed(long.groupBy("id").agg(F.count("*").alias("copies"), F.min("own").alias("own")))
+    texts = long.select("id", "own", "text")
+    runs = repeated_runs(texts, classes, length, k, crowd).groupBy("id").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    single = classes.where("copies = 1").select("id", "own").join(runs, "id")
+    cut = _read(texts, single).select("id", "text", "runs").mapInArrow(_cut(length), "id binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string")
+    left = rows.join(classes.select("id", "copies"), "id", "left").join(cut, "id", "left")
+    gone = F.coalesce("copies", F.lit(0)) > 1
+    return left.select(
+        F.col("own").alias("doc_id"), "n_bytes",
+        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
+        F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(gone, "").otherwise(F.coalesce("kept_text", "text")).alias("kept_text"),
+    )
