@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, jaccard_join, language_id, mixing, suffix_dedup
+from . import bpe, ego_join, exact_dedup, jaccard_join, language_id, mixing, suffix_dedup
 from .common import documents
 
 
@@ -26,6 +26,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(documents(spark, sf_dir), n_words=3, percent=90)
 
 
+def op8_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego_join.ego_join(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,7 +52,7 @@ FROM d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_suffix_dedup, op4_mixing, op6_language_id, op7_jaccard_join, op9_bpe, op10_exact_dedup)}
+    return {f.__name__: f for f in (op3_suffix_dedup, op4_mixing, op6_language_id, op7_jaccard_join, op8_ego_join, op9_bpe, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
