@@ -26,8 +26,13 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, without its lineage."""
+    """``df`` written to the shared checkpoint folder, without its lineage.
+
+    Shuffle files of earlier steps go first: Spark deletes them when the driver has collected the plans that made them, and a driver
+    with little garbage would wait too long for that.
+    """
     checkpoint_folder(df.sparkSession)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 
