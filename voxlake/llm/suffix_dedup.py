@@ -26,6 +26,8 @@ LENGTH, ANCHOR = 200, 64
 CHUNK, BLOCK_BYTES = 1 << 20, 2 << 20
 #: Pieces of one key that a block takes. The windows of a more frequent key are dealt again, by longer common strings.
 CROWD = 8192
+#: Parts in which copies of one piece are counted.
+SALTS = 64
 
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_STEP), -1, 2**64))
@@ -270,14 +272,17 @@ def _blocks(length: int):
 def _settle(pieces: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Runs of pieces that have copies; one of each piece of keys with several, if they fit a block; the same of larger keys.
 
-    Copies are counted with partial sums, so a passage that very many texts share is one piece from here on.
+    Copies are first counted in ``SALTS`` parts of a piece's rows, and one row of each part goes on, so that no task meets all rows of a
+    passage that very many texts share.
     """
-    pieces = checkpointed(pieces.withColumns({"p0": F.xxhash64("piece"), "p1": F.xxhash64(F.lit(1), "piece")}))
-    name = ["key", "p0", "p1"]
-    counts = checkpointed(pieces.groupBy(*name).agg(F.count("*").alias("c"), F.min(F.struct("id", "start")).alias("first")))
-    keys = counts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    copied = pieces.join(counts.where("c > 1").select(name), name).select("id", F.col("start").alias("first"), (F.col("start") + F.col("high") - F.col("low")).alias("last"))
-    one = pieces.join(counts.join(keys, "key").select(*name, "first", "n"), name).where(F.struct("id", "start") == F.col("first")).drop("first", "p0", "p1")
+    part, piece = Window.partitionBy("key", "p0", "p1", "salt"), Window.partitionBy("key", "p0", "p1")
+    named = pieces.withColumns({"p0": F.xxhash64("piece"), "p1": F.xxhash64(F.lit(1), "piece"), "salt": F.pmod(F.xxhash64("id", "start"), F.lit(SALTS))})
+    counted = checkpointed(named.withColumns({"c": F.count("*").over(part), "r": F.row_number().over(part.orderBy("id", "start"))}))
+    reps = counted.where("r = 1").withColumns({"c": F.sum("c").over(piece), "r": F.row_number().over(piece.orderBy("id", "start"))})
+    reps = checkpointed(reps.withColumn("n", F.count_if(F.col("r") == 1).over(Window.partitionBy("key"))))
+    copied = counted.where("r > 1").select("id", "start", "low", "high").unionByName(reps.where("c > 1").select("id", "start", "low", "high"))
+    copied = copied.select("id", F.col("start").alias("first"), (F.col("start") + F.col("high") - F.col("low")).alias("last"))
+    one = reps.where("r = 1 and n > 1").drop("p0", "p1", "salt", "c", "r")
     return copied, one.where(F.col("n") <= crowd).drop("n"), one.where(F.col("n") > crowd).drop("n")
 
 
