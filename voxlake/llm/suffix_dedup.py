@@ -81,7 +81,8 @@ def anchors_of(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int
 def suffix_order(t: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     """The places ``wanted`` (boolean) of ``t`` in the order of their suffixes, as far as ``depth`` symbols tell.
 
-    ``t``: symbols from 1, and 0 as end mark of each piece, the last symbol included. A suffix is small if it is smaller than its
+    ``t``: bytes plus 1, and 0 as end mark of each piece, the last symbol included; past a suffix's first symbol a NUL byte and an end mark
+    tie. A suffix is small if it is smaller than its
     successor. Small suffixes are sorted directly; the others are induced, in a scan over the buckets of first symbols: when a
     bucket's order is known, its predecessors are appended to their own buckets in that order.
     """
