@@ -36,7 +36,7 @@ def test_values(spark):
 def test_display_values(spark):
     window = lambda v: nm.display_value(F.lit(float(v)), F.lit(50.0), F.lit(100.0), F.lit(True))
     lut = lambda v: nm.lut_value(F.lit(v), F.lit(0), F.array(*lit(0, 64, 128, 255)))
-    assert list(one(spark, window(0), window(100), lut(0), lut(2), lut(3), lut(9), nm.window_level(*lit(0, 0.0, 0.0)), nm.window_level(*lit(50, 50.0, 100.0)))) == [255, 0, 0, 128, 255, 255, None, 127]
+    assert list(one(spark, window(0), window(100), lut(0), lut(2), lut(3), lut(9), nm.window_level(*lit(0, 0.0, 0.0)), nm.window_level(*lit(50, 50.0, 100.0)))) == [255, 0, 0, 128, 255, 255, 255, 127]
 
 
 def test_uptake_values(spark):
