@@ -26,8 +26,11 @@ LENGTH, ANCHOR = 200, 64
 CHUNK, BLOCK_BYTES = 1 << 20, 2 << 20
 #: Pieces of one key that a block takes. The windows of a more frequent key are dealt again, by longer common strings.
 CROWD = 8192
-#: Parts in which copies of one piece are counted.
+#: Parts in which copies of one piece, and rows of a hot key, are counted.
 SALTS = 64
+#: Hot keys, which are dealt by salt: at most so many (some 100 kB), as frequent in one text of SAMPLE as a crowded key would be. Which
+#: keys they are changes the speed alone; a key that is not among so many holds a small share of the rows.
+HOT, SAMPLE = 10_000, 16
 
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_STEP), -1, 2**64))
@@ -295,19 +298,23 @@ def _read(texts: DataFrame, needed: DataFrame) -> DataFrame:
 
 def repeated_runs(texts: DataFrame, classes: DataFrame, length: int = LENGTH, k: int = ANCHOR, crowd: int = CROWD) -> DataFrame:
     """Runs (id, first, last) of places in texts (id, own, text) where a string starts that starts elsewhere too. Copies of a text share an id and count once; ``classes`` names, for each id, the ``own`` whose text is read."""
-    key = Window.partitionBy("key")
+    key = Window.partitionBy("key", "salt")
     ordered = key.orderBy("id", "place")
-    anchors = texts.select("id", "text").mapInArrow(_anchor_rows(length, k), "key bigint, id binary, place bigint")
+    anchored = lambda some: some.select("id", "text").mapInArrow(_anchor_rows(length, k), "key bigint, id binary, place bigint")
+    seen = anchored(texts.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(SAMPLE)) == 0)).groupBy("key").count()
+    hot = seen.where(F.col("count") > max(1, crowd // SAMPLE)).orderBy(F.desc("count"), "key").limit(HOT).select("key", F.lit(True).alias("hot"))
+    anchors = anchored(texts).join(F.broadcast(hot), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    anchors = anchors.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id", "place"), F.lit(SALTS))).otherwise(0))
     new = ~(F.lag("id").over(ordered).eqNullSafe(F.col("id")) & F.lag("place").over(ordered).eqNullSafe(F.col("place")))
-    rows = checkpointed(anchors.withColumn("new", new).withColumn("n", F.sum(F.col("new").cast("bigint")).over(key)).where("new and n > 1").select("key", "id", "place", "n"))
+    rows = checkpointed(anchors.withColumn("new", new).withColumn("n", F.sum(F.col("new").cast("bigint")).over(key)).where("new and (hot or n > 1)").select("key", "id", "place", (F.col("hot") | (F.col("n") > crowd)).alias("crowded")))
 
     def cut(some: DataFrame) -> DataFrame:
         needed = some.groupBy("id").agg(F.collect_list(F.struct("key", "place")).alias("rows"))
         return _read(texts, needed.join(classes.select("id", "own"), "id")).mapInArrow(_cut_pieces(length), _PIECES)
 
-    pieces = cut(rows.where(F.col("n") <= crowd))
+    pieces = cut(rows.where(~F.col("crowded")))
     settled = []
-    crowded = rows.where(F.col("n") > crowd)
+    crowded = rows.where("crowded")
     if crowded.limit(1).count():
         queue = [(cut(crowded), 0, length - k)]
         while queue:
