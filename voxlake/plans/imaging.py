@@ -205,7 +205,7 @@ def commitment_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT p_partkey, unnest([0, 1, 2]) AS ord FROM part), q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_quantity) AS BIGINT) AS stored, p_size FROM lineitem JOIN part ON l_partkey = p_partkey)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, stored, CASE WHEN stored BETWEEN 0 AND 10 THEN stored * 1.5 + 1 WHEN stored BETWEEN 5 AND p_size THEN stored * 2.5 + 2 WHEN stored BETWEEN 40 AND 50 THEN stored * 3.5 + 3 END AS physical FROM q""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, stored, CAST(CASE WHEN stored BETWEEN 0 AND 10 THEN stored * 1.5 + 1 WHEN stored BETWEEN 5 AND p_size THEN stored * 2.5 + 2 WHEN stored BETWEEN 40 AND 50 THEN stored * 3.5 + 3 END AS DOUBLE) AS physical FROM q""")
 def value_maps(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select(F.col("p_partkey").alias("image_id"), F.posexplode(F.array(
         F.struct(F.lit("a").alias("label"), F.lit(0).alias("first"), F.lit(10).alias("last"), F.lit(1.5).alias("slope"), F.lit(1.0).alias("intercept")),
