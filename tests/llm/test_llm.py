@@ -84,6 +84,18 @@ def test_suffix_dedup(spark, crowd):
     assert got == repeats({i: (t or "").encode() for i, t in enumerate(texts)}, 200)
 
 
+def test_suffix_dedup_of_hot_keys(spark):
+    rng = random.Random(6)
+    shared = words(rng, 80)
+    texts = [words(rng, 6, 9000) + shared[(i % 3) * 20 :] + words(rng, 6, 9000) for i in range(90)] + [words(rng, 90, 9000) for _ in range(30)]
+    docs = frame(spark, texts)
+    found = suffix_dedup.suffix_dedup(docs, crowd=2)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.collect()}
+    assert got == repeats({i: t.encode() for i, t in enumerate(texts)}, 200)
+    sampled = docs.select(F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("id")).where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(suffix_dedup.SAMPLE)) == 0)
+    assert sampled.count() > 2  # so that there were hot keys
+
+
 def test_suffix_order_is_the_order_of_suffixes():
     rng = np.random.default_rng(1)
     for size in (2, 3, 200):
@@ -314,3 +326,12 @@ def test_pipeline(spark, tmp_path):
     assert kept[0] == {*range(120), 200, 201} and kept[1] == {*range(120), 201} and kept[2] == set(range(120)) and kept[3] < kept[2] and kept[4] == kept[3] and kept[3]
     whole = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert whole == {r.doc_id: (r.n_tokens, r.ids_sha256) for r in docs.collect()}
+
+
+def test_parity_masks_never_overstate_differences():
+    rng = np.random.default_rng(8)
+    for size in (0, 1, 5, 150, 3000):
+        x = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+        y = np.unique(np.concatenate((x[: len(x) * 9 // 10], rng.integers(0, 2**63, size // 8, dtype=np.uint64))))
+        bits = sum(bin((a ^ b) & (2**64 - 1)).count("1") for a, b in zip(jaccard_join.parity_mask(x), jaccard_join.parity_mask(y), strict=True))
+        assert bits <= len(np.setxor1d(x, y))
