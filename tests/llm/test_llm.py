@@ -273,6 +273,76 @@ def test_license_scan(spark):
     assert [rows[i].permissive for i in range(6)] == [None, None, True, False, False, None] and rows[4].sentence_ids == ["MITRef:", "CCRef:4.0"]
 
 
+_GPL = """This program is free software%s you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation%s either version %d of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+_APACHE = """Copyright 2020 Some One
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+_BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+_BSD3 = _BSD2 + """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+_CC = "This work is licensed under a Creative Commons\n%s 4.0 International License."
+
+#: Each rule, the known sentences of its text, and the text as it is wrapped in real files.
+WRAPPED = [
+    ("GPL-3.0-or-later", 3, _GPL % (":", ",", 3)), ("GPL-2.0-or-later", 3, _GPL % (";", ";", 2)), ("GPL-3.0-only", 1, "This work is licensed under the GNU General\nPublic License, version 3."), ("GPL-2.0-only", 1, "Licensed under the GNU General Public\nLicense, version 2."),
+    ("LGPL-3.0-only", 1, "Licensed under the GNU Lesser General\nPublic License, version 3."), ("LGPL-2.1-only", 1, "Licensed under the GNU Lesser General\nPublic License, version 2.1."), ("Apache-2.0", 5, _APACHE), ("MIT", 3, _MIT), ("BSD-3-Clause", 4, _BSD3), ("BSD-2-Clause", 3, _BSD2),
+    ("CC-BY-NC-4.0", 1, _CC % "Attribution-NonCommercial"), ("CC-BY-SA-4.0", 1, _CC % "Attribution-ShareAlike"), ("CC-BY-4.0", 1, _CC % "Attribution"), ("MPL-2.0", 1, "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."),
+]
+
+
+def test_license_scan_of_wrapped_texts(spark):
+    assert [name for name, _, _ in WRAPPED] == [name for name, _, _ in license_scan.RULES]
+    signs = [("", "", ""), ("/*\n", " * ", "\n */"), ("", "// ", ""), ("", "# ", ""), ("", ";; ", ""), ("", "REM ", "")]
+    texts = [a + "\n".join(sign + line for line in text.split("\n")) + b for _, _, text in WRAPPED for a, sign, b in signs] + [_MIT.replace("\n", "\r\n")]
+    rows = {r.doc_id: r for r in license_scan.license_scan(frame(spark, texts)).collect()}
+    for i, (name, n, text) in enumerate((*[x for x in WRAPPED for _ in signs], WRAPPED[7])):
+        assert (rows[i].licenses, rows[i].n_known, rows[i].n_unmatched) == ([name], n, 0), texts[i]
+    none = ["This text tells how code that was once released under the MIT License is read.", "released | under the MIT", "the License. You may"]
+    assert not any(r.n_known for r in license_scan.license_scan(frame(spark, none)).collect())
+
+
 def test_pii_surrogates(spark):
     mail = "write to Jo.Do@mail7.example.com or 4111 1111 1111 1111, +1 (784) 555-8120"
     texts = [mail, mail.upper(), "clean text of words", None, "ip 10.2.3.4 password=abcdef123456", "Frau Klein met Mr Smith and Frau Klein", "token = \"96d17ded865a61704b5b8dc58aafba7d26a3c1ef\""]

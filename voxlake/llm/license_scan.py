@@ -1,7 +1,7 @@
 """License scans by sentence rules, in DataFrame functions alone.
 
-A text's lines are cut into sentences; normalised sentences are looked up in a table of known licence sentences, which gives each an
-identifier; the sequence of a text's identifiers is then matched against ordered rules, each of which names a licence. The first
+A text is normalised, with the places where a sentence may begin or end; what stands between two of these, over line ends and
+comment signs too, is looked up in a table of known licence sentences, which gives each an identifier; the sequence of a text's identifiers is then matched against ordered rules, each of which names a licence. The first
 rule that matches claims its identifiers, the next ones see what is left.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-#: Identifier and sentence, normalised as ``normalised`` does. ``<v>`` stands for a version number.
+#: Identifier and sentence, as lower-case words. ``<v>`` stands for a version number.
 SENTENCES = (
     ("ApacheLic", "licensed under the apache license version <v>"),
     ("ApacheLicUnder", "licensed under the apache license version <v> the license"),
@@ -42,6 +42,11 @@ SENTENCES = (
     ("MPLRef", "this source code form is subject to the terms of the mozilla public license v <v>"),
 )
 
+#: More sentences, of the official notices, which the SQL does not look up.
+NOTICES = (
+    *((name, f"{start}licensed under {article}creative commons attribution {kind}<v> international{end}") for name, kind in (("CCRef", "noncommercial "), ("CCByRef", ""), ("CCBySaRef", "sharealike ")) for start in ("", "this work is ") for article in ("a ", "the ", "") for end in ("", " license")),
+)
+
 #: Rules in their order, as (licence, pattern over a text's ``<identifier:version>`` items, permissive or not).
 RULES = (
     ("GPL-3.0-or-later", r"<GPLFree:3>(?:<GPLHope:>)?(?:<GPLSee:>)?", False),
@@ -60,26 +65,30 @@ RULES = (
     ("MPL-2.0", r"<MPLRef:2\.0>", False),
 )
 
-#: What every known sentence holds; only lines with one of these are cut into sentences. Derived from the table.
+#: What every known sentence holds, on one line however it is wrapped; only texts with one of these are searched. Derived from the table.
 MARKS = r"(?i)mit license|licen[sc]e|permission|warrant|redistribut|copyright|free software|obtain a copy|except in compliance"
 
-_VERSION = r"([0-9]+(?:\.[0-9]+)?)"
 
+def _flat(text: Column) -> Column:
+    """Lower case, each number as one word with ``_`` for its point, other signs as single spaces, and ``|`` where a sentence may begin or end.
 
-def normalised(sentence: Column) -> Column:
-    """Lower case, numbers as ``<v>``, other signs as single spaces."""
-    words = F.regexp_replace(F.lower(sentence), _VERSION, " 00v00 ")
-    return F.replace(F.trim(F.regexp_replace(words, r"[^a-z0-9]+", " ")), F.lit("00v00"), F.lit("<v>"))
+    That is at line ends, and after ``.``, ``!``, ``?``, ``:`` or ``;`` before a space. Comment signs go with the other signs.
+    """
+    words = F.translate(F.lower(text), "|_", "  ")
+    for pattern, by in ((r"(?m)^[ \t]*(?:rem|dnl)\b", " "), (r"[.!?:;]+(?=[ \t\r\n]|$)|[\r\n]+", " | "), (r"([0-9]+)\.([0-9]+)", "$1_$2"), (r"([0-9]+(?:_[0-9]+)?)", " $1 "), (r"[^a-z0-9_|]+", " "), (r"(?:\| )+", "| ")):
+        words = F.regexp_replace(words, pattern, by)
+    return F.concat(F.lit("| "), F.trim(words), F.lit(" |"))
 
 
-def sentences(text: Column) -> Column:
-    """Sentences of the lines that hold a mark: cut after ``.``, ``!``, ``?``, ``:`` or ``;`` before a space, and at line ends."""
-    lines = F.filter(F.split(text, r"[\r\n]+"), lambda line: line.rlike(MARKS))
-    return F.flatten(F.transform(lines, lambda line: F.split(line, r"(?<=[.!?:;])[ \t]+")))
+def _pattern() -> str:
+    """Any known sentence between two boundaries, the longest first; boundaries inside it, as at the ends of wrapped lines, are passed over."""
+    gap, number = r" (?:\| )?", r"[0-9]+(?:_[0-9]+)?"
+    texts = sorted({t for _, t in (*SENTENCES, *NOTICES)}, key=lambda t: (-len(t.split()), t))
+    return r"\| (" + "|".join(gap.join(number if w == "<v>" else w for w in t.split()) for t in texts) + r")(?= \|)"
 
 
 def _known() -> Column:
-    return F.create_map(*[F.lit(v) for pair in {text: name for name, text in SENTENCES}.items() for v in pair])
+    return F.create_map(*[F.lit(v) for pair in {text: name for name, text in (*SENTENCES, *NOTICES)}.items() for v in pair])
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,14 +102,15 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     known = _known()
     text = text_or_empty(text_col)
-    # A text without a mark has no known sentence: it is not cut.
-    cut = F.when(text.rlike(MARKS), sentences(text)).otherwise(F.array().cast("array<string>"))
+    # A text without a mark has no known sentence: it is not searched.
+    cut = F.when(text.rlike(MARKS), F.regexp_extract_all(_flat(text), F.lit(_pattern()), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
     def item(sentence: Column) -> Column:
-        name = F.try_element_at(known, normalised(sentence))
-        return F.when(name.isNotNull(), F.concat(F.lit("<"), name, F.lit(":"), F.regexp_extract(sentence, _VERSION, 1), F.lit(">")))
+        words = F.replace(sentence, F.lit("| "), F.lit(""))
+        name = F.try_element_at(known, F.regexp_replace(words, "[0-9]+(?:_[0-9]+)?", "<v>"))
+        return F.concat(F.lit("<"), name, F.lit(":"), F.replace(F.regexp_extract(words, "([0-9]+(?:_[0-9]+)?)", 1), F.lit("_"), F.lit(".")), F.lit(">"))
 
-    found = docs.select(F.col(id_col).alias("doc_id"), F.filter(F.transform(cut, item), lambda x: x.isNotNull()).alias("items"))
+    found = docs.select(F.col(id_col).alias("doc_id"), F.transform(cut, item).alias("items"))
     rest = F.array_join("items", "")
     out = found.select("doc_id", F.transform("items", lambda x: F.replace(F.replace(x, F.lit("<"), F.lit("")), F.lit(">"), F.lit(""))).alias("sentence_ids"), F.size("items").cast("bigint").alias("n_known"), rest.alias("s0"))
     hits = []
