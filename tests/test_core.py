@@ -200,3 +200,12 @@ def test_catalog(spark):
         row = row.withColumn(c, F.lit(None).cast("string"))
     r = catalog.study_metadata(row.withColumn("file_size", F.lit(1))).first()
     assert (r.patient_name, r.patient_id, r.patient_age, r.study_date, r.modality, r.instance_number, r.institution) == ("Unknown Patient", "Unknown ID", "Unknown", "Unknown Date", "OT", 0, "Unknown Location")
+
+
+def test_preset_lookup_of_all_lines(spark):
+    from voxlake.plans import pixels
+
+    d = "/root/testdata/sf0.001"
+    whole = pixels.preset_lookup_whole(spark, d)
+    assert whole.count() == spark.read.parquet(f"{d}/lineitem.parquet").count() > pixels.preset_lookup(spark, d).count()
+    assert whole.where("preset is null").count() and whole.where("preset is not null").count()
