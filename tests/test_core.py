@@ -209,3 +209,19 @@ def test_preset_lookup_of_all_lines(spark):
     whole = pixels.preset_lookup_whole(spark, d)
     assert whole.count() == spark.read.parquet(f"{d}/lineitem.parquet").count() > pixels.preset_lookup(spark, d).count()
     assert whole.where("preset is null").count() and whole.where("preset is not null").count()
+
+
+def test_whole_orders_and_references(spark):
+    from voxlake.plans import imaging
+
+    d = "/root/testdata/sf0.001"
+    rows = imaging.newest_first_whole(spark, d).orderBy("position").collect()
+    assert [r.position for r in rows] == list(range(1, spark.read.parquet(f"{d}/orders.parquet").count() + 1)) and len(rows) > 200
+    keys = [(r.o_orderdate is None, -r.o_orderdate.toordinal() if r.o_orderdate else 0, r.o_orderkey) for r in rows]
+    assert keys == sorted(keys)
+    rows = imaging.catalog_order_whole(spark, d).orderBy("position").collect()
+    assert [r.position for r in rows] == list(range(1, spark.read.parquet(f"{d}/lineitem.parquet").count() + 1)) and len(rows) > 300
+    keys = [(r.patient_name, r.study_date, r.study_uid, r.series_uid, f"{r.instance_number:08d}", r.sop_uid) for r in rows]
+    assert keys == sorted(keys)
+    found = {r.doc_id for r in imaging.key_references_whole(spark, d).collect()}
+    assert found >= {r.doc_id for t in ("documents", "labels") for r in spark.read.parquet(f"{d}/{t}.parquet").select("doc_id").collect()}

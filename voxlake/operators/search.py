@@ -92,6 +92,19 @@ def by_date_newest(patients: DataFrame, date: str, *ties: str) -> DataFrame:
     return patients.orderBy(F.desc_nulls_last(date), *ties)
 
 
+def numbered(ordered: DataFrame, name: str = "position") -> DataFrame:
+    """Rows of a sorted frame with their places from 1: the place within a partition, after all rows of earlier partitions.
+
+    The sorted rows are persisted, so both passes see the same partitions; no task gets more than its part of the sort.
+    """
+    marked = ordered.withColumn("__at", F.monotonically_increasing_id()).persist()
+    part, within = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = marked.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__part", before.alias("__before"))
+    return marked.join(F.broadcast(starts), part == F.col("__part")).select(*ordered.columns, (F.col("__before") + within + 1).alias(name))
+
+
 def latest(instances: DataFrame, key: str, version: str) -> DataFrame:
     """The last version of each key."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last(version)))

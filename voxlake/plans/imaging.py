@@ -68,6 +68,20 @@ def catalog_order(spark: SparkSession, d: str) -> DataFrame:
     return rows.orderBy(*catalog.catalog_order()).select("patient_name", "study_date", "study_uid", "series_uid", "instance_number", "sop_uid").limit(300)
 
 
+@query("SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS position FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate END AS o_orderdate FROM orders)")
+def newest_first_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All orders with their places; ``newest_first`` has the first page."""
+    o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")).alias("o_orderdate"))
+    return search.numbered(search.by_date_newest(o, "o_orderdate", "o_orderkey"))
+
+
+@query(f"WITH {INSTANCES} SELECT patient_name, study_date, study_uid, series_uid, instance_number, sop_uid, row_number() OVER (ORDER BY patient_name, study_date, study_uid, series_uid, lpad(CAST(instance_number AS VARCHAR), 8, '0'), sop_uid) AS position FROM inst")
+def catalog_order_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All instances with their places; ``catalog_order`` has the first page."""
+    rows = instances(spark, d).withColumn("file_path", F.col("sop_uid"))
+    return search.numbered(rows.orderBy(*catalog.catalog_order()).select("patient_name", "study_date", "study_uid", "series_uid", "instance_number", "sop_uid"))
+
+
 @query(f"""WITH {INSTANCES} SELECT sop_uid AS file_path, CASE WHEN patient_id LIKE '%3' THEN 'Unknown Patient' ELSE patient_name END AS patient_name, patient_id, study_uid, series_uid, CASE WHEN modality = 'N' THEN 'OT' ELSE modality END AS modality,
   CASE WHEN study_date < '1995' THEN 'Unknown Date' ELSE study_date END AS study_date, instance_number, 'Unknown Location' AS institution FROM inst WHERE study_uid NOT LIKE '%4'""")
 def study_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -230,6 +244,12 @@ def key_references(spark: SparkSession, d: str) -> DataFrame:
     return links.key_references(table(spark, d, "labels"), table(spark, d, "documents").where("doc_id % 5 = 0"), ["doc_id"])
 
 
+@query("SELECT doc_id FROM labels UNION ALL SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def key_references_whole(spark: SparkSession, d: str) -> DataFrame:
+    """References of all documents; ``key_references`` has a fifth of them."""
+    return links.key_references(table(spark, d, "labels"), table(spark, d, "documents"), ["doc_id"])
+
+
 @query("SELECT s_suppkey, n_nationkey, CAST(list_sum([CASE WHEN i % 2 = 0 THEN s_suppkey ELSE 0 END FOR i IN range(9)]) AS BIGINT) AS total FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def label_maps(spark: SparkSession, d: str) -> DataFrame:
     segments = table(spark, d, "supplier").select(F.col("s_suppkey").alias("segment_number"), "s_nationkey")
