@@ -355,6 +355,15 @@ def test_pii_surrogates(spark):
     assert names[0] == names[2] != names[1] and re.search(r'"[0-9a-f]{40}"', rows[6].text) and re.search(r"\d{4} \d{4} \d{4} \d{4}", rows[0].text)
 
 
+def test_pii_numbers_that_are_no_cards_stay(spark):
+    clean = ["order 9807915762804490 came", "order 1234 5678 9012 3456, box 1234567890123", "9807915762804490 9807915762804490"]
+    mixed = ["12 4111111111111111 is paid", "9807915762804490 4111111111111111", "call 784-555-8120 1234 now"]
+    rows = {r.doc_id: r for r in pii_surrogates.pii_surrogates(frame(spark, clean + mixed)).collect()}
+    assert [rows[i].text for i in range(3)] == clean and not any(rows[i].entities for i in range(3))
+    assert [[e.kind for e in rows[i].entities] for i in (3, 4, 5)] == [["card"], ["card"], ["phone"]]
+    assert all("4111111111111111" not in rows[i].text and "784-555" not in rows[i].text for i in (3, 4, 5)) and rows[4].text.startswith("9807915762804490 ")
+
+
 def test_pii_formats_are_permuted():
     seen = {pii_surrogates.surrogate(b"k", "ssn", f"{i:09d}") for i in range(3000)}
     assert len(seen) == 3000 and all(re.fullmatch(r"\d{9}", s) for s in seen)

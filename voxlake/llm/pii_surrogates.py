@@ -53,6 +53,9 @@ FAMILY = {
 }
 
 _ALL = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in PATTERNS))
+_NO_CARD = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in PATTERNS if name != "card"))
+#: Digits in one run, or in the groups of printed cards.
+_CARD_GROUPS = re.compile(r"\d+|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,4})?|\d{4}[ -]\d{6}[ -]\d{4,5}")
 #: Something that every match holds: texts without any are passed over.
 _HINT = re.compile(r"[\d@=:]|-----BEGIN|\b(?:M(?:rs?|s|iss|onsieur|adame)|Herr|Frau|Señora?|Sra?|Dr|г-)\b")
 
@@ -68,22 +71,38 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _card_within(value: str) -> tuple[int, int] | None:
+    """The longest run of some of the value's groups of digits that has a card's length and check sum."""
+    groups = [g.span() for g in re.finditer(r"\d+", value)]
+    runs = [(groups[i][0], groups[j][1]) for i in range(len(groups)) for j in range(i, len(groups)) if j - i < len(groups) - 1]
+    fits = [(a, b) for a, b in runs if 13 <= len(digits := re.sub(r"\D", "", value[a:b])) <= 19 and _luhn(digits)]
+    return max(fits, key=lambda r: r[1] - r[0], default=None)
+
+
 def detect(text: str) -> list[tuple[int, int, str, str, str]]:
     """Entities of a text as (start, end, type, canonical form, attributes), in order and apart."""
     if not _HINT.search(text):
         return []
-    out = []
-    for m in _ALL.finditer(text):
-        kind = m.lastgroup if m.lastgroup in dict(PATTERNS) else next(name for name, _ in PATTERNS if m.group(name) is not None)
+    out, at, m = [], 0, None
+    while m := _ALL.search(text, at):
+        start, end = m.span()
+        if m.group("card") is not None and not _luhn(re.sub(r"\D", "", m.group())):
+            if part := _card_within(m.group()):
+                start, end = m.start() + part[0], m.start() + part[1]
+                out.append((start, end, "card", re.sub(r"\D", "", text[start:end]), ""))
+                at = end
+                continue
+            # A number of a card's format stays as it is; groups of other lengths may be a phone number and more.
+            m = None if _CARD_GROUPS.fullmatch(m.group()) else _NO_CARD.search(text, start)
+            if m is None or m.start() >= end:
+                at = end
+                continue
+        kind = next(name for name, _ in PATTERNS if name in m.re.groupindex and m.group(name) is not None)
         body = f"{kind}_body" if kind in ("assigned_secret", "person") else kind
         start, end, value = m.start(body), m.end(body), m.group(body)
+        at = m.end()
         attributes = ""
-        if kind == "card":
-            digits = re.sub(r"\D", "", value)
-            if not _luhn(digits):
-                kind = "number"
-            value = digits
-        elif kind in ("phone", "ssn", "iban"):
+        if kind in ("card", "phone", "ssn", "iban"):
             value = re.sub(r"[^0-9A-Z+]", "", value)
         elif kind == "email":
             value = value.lower()
@@ -161,7 +180,7 @@ def surrogate(key: bytes, kind: str, value: str, attributes: str = "", attempt:
 
 def _shaped(kind: str, canonical: str, mention: str) -> str:
     """The canonical surrogate in the format of a mention: its separators, and the case of names."""
-    if kind in ("card", "number", "phone", "ssn", "iban"):
+    if kind in ("card", "phone", "ssn", "iban"):
         signs = iter(canonical)
         return "".join(next(signs, "") if c.isalnum() or c == "+" else c for c in mention)
     if kind == "person" and mention.isupper():
@@ -237,7 +256,7 @@ def _replaced(key: bytes, kinds: str):
 def pii_surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY) -> DataFrame:
     """One row per document: ``doc_id, text, entities`` (array of start, end, kind in characters of the original).
 
-    Texts without personal data come back as they are; null counts as empty. Repeated rows are treated alike; ids may be null; other columns are not read; an empty
+    Digits that fail a card's check sum are no card and stay. Texts without personal data come back as they are; null counts as empty. Repeated rows are treated alike; ids may be null; other columns are not read; an empty
     table gives an empty result. Whole texts are read. Texts are not shuffled, except those that mention an entity from the
     exception list, where it is too long to be broadcast.
     """
