@@ -364,6 +364,39 @@ def test_pii_numbers_that_are_no_cards_stay(spark):
     assert all("4111111111111111" not in rows[i].text and "784-555" not in rows[i].text for i in (3, 4, 5)) and rows[4].text.startswith("9807915762804490 ")
 
 
+@pytest.mark.parametrize("phone", ["+33 1 23 45 67 89", "+49 30 1234567", "+34 612 34 56 78", "+1 5551234567", "0151 23456789", "+1 (784) 555-8120", "01 23 45 67 89", "(030) 1234567", "784-555-8120"])
+def test_pii_phones_of_many_groupings(phone):
+    text = f"call {phone}, or write"
+    assert [(text[s:e], kind) for s, e, kind, _, _ in pii_surrogates.detect(text)] == [(phone, "phone")]
+    new, _ = pii_surrogates.replace(text, b"k", {})
+    assert phone not in new and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", text)
+
+
+@pytest.mark.parametrize("phone", ["+33 1 23 45 67 89", "+1 (487) 555-7209", "+49 30 1234567"])
+def test_pii_addresses_after_phones(phone):
+    assert [kind for _, _, kind, _, _ in pii_surrogates.detect(f"{phone} 97.51.17.173 and")] == ["phone", "ip"]
+    assert pii_surrogates.detect("+1 5551234567 4736")[0][1] == 13
+
+
+def test_pii_leaves_other_numbers():
+    assert not any(pii_surrogates.detect(t) for t in ("on 01-02-2024 at 12:30", "2024-01-02", "pi is 3.14159265358", "+5 or -3 points", "0.5 12345678"))
+
+
+def test_pii_persons_without_titles(spark):
+    texts = ["John Smith came. Mr John Smith left; JOHN SMITH\nand Smith's dog, not Smithers. Is Mr Brown in? Brown is.", "Mr Smith", "Dr Smith", "the Dr is in, is it", "Dr John Smith", "Mrs Anna Maria O'Neil"]
+    rows = {r.doc_id: r.text for r in pii_surrogates.pii_surrogates(frame(spark, texts)).collect()}
+    assert not re.search("john|smith\\b|brown", rows[0], re.I) and "Smithers" in rows[0] and "'s dog" in rows[0]
+    assert rows[1].split()[1] == rows[2].split()[1] and rows[4].removeprefix("Dr ") == rows[0].split(" came")[0] == re.search("Mr (.*) left", rows[0])[1]
+    assert rows[3].endswith(", is it") and not re.search("Anna|Maria|Neil", rows[5])
+
+
+def test_pii_names_grow_with_attempts():
+    names = [[pii_surrogates.surrogate(b"k", "person", v, "", n) for n in (0, 3, 40)] for v in ("smith", "john smith", "иванов")]
+    assert all(len(a) < len(b) < len(c) for a, b, c in names)
+    a, b = (pii_surrogates.surrogate(b"k", "email", "a@b.com", "", n) for n in (0, 5))
+    assert len(b) == len(a) + 5
+
+
 def test_pii_formats_are_permuted():
     seen = {pii_surrogates.surrogate(b"k", "ssn", f"{i:09d}") for i in range(3000)}
     assert len(seen) == 3000 and all(re.fullmatch(r"\d{9}", s) for s in seen)

@@ -2,8 +2,9 @@
 
 A detected entity's surrogate depends on the key, its type and its canonical form alone, so each mention of it in any document gets
 the same one (coreference). Numbers and codes are replaced by a keyed permutation of all strings of their format, so different
-entities cannot get one surrogate; names and addresses are drawn from keyed lists of their gender and script, and a
-collision check over the distinct entities of the corpus draws again where two meet.
+entities cannot get one surrogate; names are drawn from keyed lists of their script, longer ones with each attempt, and a
+collision check over the distinct entities of the corpus draws again where two meet. A person is a name without its title; names
+are found after titles, and then in the whole document. Postal addresses are not found.
 """
 
 from __future__ import annotations
@@ -33,19 +34,15 @@ PATTERNS = (
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("card", r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d.]\d|\d)"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"),
-    ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?![\d-])"),
-    ("person", r"\b(?P<person_title>Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|Sr|Sra|Dr|г-н|г-жа)\.? (?P<person_body>[^\W\d_]+(?:[ -][A-ZÀ-ÖØ-ÞЀ-Я][^\W\d_]+)?)"),
+    # International numbers in any groups, of their country's length where it is one of the listed ones, national ones with a trunk zero, and three groups.
+    ("phone", r"(?<![\w.])(?:\+(?:[17](?:[ ./()-]{0,2}\d){10}|3[34](?:[ ./()-]{0,2}\d){9}|4[14](?:[ ./()-]{0,2}\d){9,10}|[1-9](?:[ ./()-]{0,2}\d){7,14})(?!\d|\.\d)|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?![\d-])|\(?0\d(?:[ .-]\d{2}){4}(?![\d-])|(?:\(0\d{1,4}\) ?|0\d{1,4}[ /-])\d{5,9}(?![\d-]))"),
+    ("person", r"\b(?P<person_title>Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|Sr|Sra|Dr|г-н|г-жа)\.? (?P<person_body>(?:[ODL]['’])?[^\W\d_]+(?:[ -](?:[ODL]['’])?[A-ZÀ-ÖØ-ÞЀ-Я][^\W\d_]+){0,3})"),
 )
 
-#: Titles by gender; others leave it open.
-TITLES = {"f": {"Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Sra", "г-жа"}, "m": {"Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н"}}
-
-#: Given names by script and gender, and parts of family names by script.
+#: Given names by script, each borne by women and men, so that they fit any title; and parts of family names.
 GIVEN = {
-    ("latin", "f"): ("Alma", "Berta", "Carla", "Dora", "Elsa", "Flora", "Greta", "Hanna", "Ines", "Jana", "Klara", "Lena", "Mara", "Nora", "Olga", "Paula"),
-    ("latin", "m"): ("Anton", "Bruno", "Carl", "Dario", "Emil", "Felix", "Gustav", "Hugo", "Ivo", "Jakob", "Kurt", "Leo", "Max", "Nils", "Oskar", "Paul"),
-    ("cyrillic", "f"): ("Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга"),
-    ("cyrillic", "m"): ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Иван", "Лев", "Олег"),
+    "latin": ("Alex", "Andrea", "Chris", "Dominique", "Eli", "Jessie", "Jo", "Jules", "Kim", "Luca", "Maxime", "Nicola", "Noa", "Robin", "Sam", "Sascha"),
+    "cyrillic": ("Саша", "Женя", "Валя", "Слава", "Шура", "Паша", "Вася", "Мика"),
 }
 FAMILY = {
     "latin": ("al", "ber", "cor", "dan", "el", "fal", "gor", "hal", "in", "kar", "lin", "mor", "nel", "or", "pel", "ros", "sal", "ten", "ul", "ver", "wen", "zan"),
@@ -79,6 +76,22 @@ def _card_within(value: str) -> tuple[int, int] | None:
     return max(fits, key=lambda r: r[1] - r[0], default=None)
 
 
+def _with_untitled(text: str, found: list[tuple[int, int, str, str, str]]) -> list[tuple[int, int, str, str, str]]:
+    """The entities, and all other mentions of their persons: the whole name, and of longer names the last word."""
+    names = {text[start:end] for start, end, kind, _, _ in found if kind == "person" and text[start].isupper()}
+    names |= {last for name in names if len(last := re.split("[ -]", name)[-1]) > 2}
+    if not names:
+        return found
+    words = sorted({n for name in names for n in (name, name.upper())}, key=lambda n: (-len(n), n))
+    taken, i, out = found, 0, list(found)
+    for m in re.finditer(r"(?<!\w)(?:" + "|".join(r"\s+".join(map(re.escape, n.split())) for n in words) + r")(?!\w)", text):
+        while i < len(taken) and taken[i][1] <= m.start():
+            i += 1
+        if i == len(taken) or m.end() <= taken[i][0]:
+            out.append((m.start(), m.end(), "person", " ".join(m.group().lower().split()), ""))
+    return sorted(out)
+
+
 def detect(text: str) -> list[tuple[int, int, str, str, str]]:
     """Entities of a text as (start, end, type, canonical form, attributes), in order and apart."""
     if not _HINT.search(text):
@@ -101,17 +114,14 @@ def detect(text: str) -> list[tuple[int, int, str, str, str]]:
         body = f"{kind}_body" if kind in ("assigned_secret", "person") else kind
         start, end, value = m.start(body), m.end(body), m.group(body)
         at = m.end()
-        attributes = ""
         if kind in ("card", "phone", "ssn", "iban"):
             value = re.sub(r"[^0-9A-Z+]", "", value)
         elif kind == "email":
             value = value.lower()
         elif kind == "person":
-            title = m.group("person_title")
-            attributes = "f" if title in TITLES["f"] else "m" if title in TITLES["m"] else ""
             value = " ".join(value.lower().split())
-        out.append((start, end, kind, value, attributes))
-    return out
+        out.append((start, end, kind, value, ""))
+    return _with_untitled(text, out)
 
 
 def _stream(key: bytes, label: str) -> Iterator[int]:
@@ -157,7 +167,9 @@ def surrogate(key: bytes, kind: str, value: str, attributes: str = "", attempt:
     label = f"{kind}\0{attempt}"
     if kind == "email":
         user, _, host = value.partition("@")
-        return f"{_same_format(key, label, user)}@{_same_format(key, f'{label}\0host', host.split('.')[0])}.example"
+        s = _stream(key, f"{label}\0{value}\0more")
+        more = "".join(_LOWER[next(s) % 26] for _ in range(attempt))
+        return f"{_same_format(key, label, user)}@{_same_format(key, f'{label}\0host', host.split('.')[0])}{more}.example"
     if kind == "ip":
         octets = _permuted(key, label, [int(x) for x in value.split(".")], [256] * 4)
         return ".".join(map(str, octets))
@@ -166,11 +178,11 @@ def surrogate(key: bytes, kind: str, value: str, attributes: str = "", attempt:
         body = _same_format(key, label, value[:-1])
         return next(body + d for d in _DIGITS if _luhn(body + d))
     if kind == "person":
-        s = _stream(key, f"{label}\0{value}\0{attributes}")
+        s = _stream(key, f"{label}\0{value}")
         script = "cyrillic" if re.search("[А-я]", value) else "latin"
-        given = GIVEN[script, attributes or "fm"[next(s) % 2]]
-        parts = FAMILY[script]
-        family = "".join(parts[next(s) % len(parts)] for _ in range(4)).capitalize()
+        given, parts = GIVEN[script], FAMILY[script]
+        # Each attempt draws from names that are longer by a part: there are always enough.
+        family = "".join(parts[next(s) % len(parts)] for _ in range(4 + attempt)).capitalize()
         return f"{given[next(s) % len(given)]} {family}" if " " in value or "-" in value else family
     if kind == "private_key":
         head, tail = re.match(r"-----[^-]*-----", value), re.search(r"-----END[^-]*-----$", value)
