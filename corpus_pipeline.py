@@ -7,11 +7,11 @@ The languages that the first stage predicts replace ``lang`` where that is null;
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.llm import bpe, exact_dedup, jaccard_join, language_id, mixing
-from voxlake.llm.common import checkpointed
+from voxlake.llm.common import checkpointed, text_or_empty
 
 #: The columns of ``documents``.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,16 +27,38 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
 
 
+def _with_row(docs: DataFrame) -> DataFrame:
+    """The documents with a number for each row, written before anything is decided by it: ids may be null or repeated."""
+    return checkpointed(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
+
+
+def _one_of_each(rows: DataFrame, groups: DataFrame, first: Column) -> DataFrame:
+    """The rows that come first in their group of (row, group): then by the smallest id, null last, then by row."""
+    order = F.struct(first.alias("first"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    named = rows.select("row", order.alias("order")).join(groups, "row")
+    chosen = named.groupBy("group").agg(F.min("order").alias("order")).select(F.col("order.row").alias("row"))
+    return rows.join(chosen, "row", "left_semi").select(COLUMNS)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of equal texts."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    """Exactly one row of each group of equal texts: the longest original, then the smallest id.
+
+    Decisions are made for rows, not for ids: rows with a null id stay or go like others and come last in the order, rows that repeat
+    an id and its text are copies of each other, and different texts that share an id are different documents.
+    """
+    rows = _with_row(docs)
+    groups = exact_dedup.exact_dedup(rows, id_col="row").select(F.col("doc_id").alias("row"), F.col("keep_id").alias("group"))
+    return _one_of_each(rows, groups, -F.char_length(text_or_empty()))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group that links of 0.8 or more on five-word shingles connect: the one with the smallest id."""
-    groups = jaccard_join.jaccard_join(docs, n_words=5, percent=80)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(COLUMNS)
+    """Exactly one row of each group that links of 0.8 or more on five-word shingles connect: the one with the smallest id.
+
+    Rows are linked, not ids: null ids come last in the order, and each row of a repeated id is compared by its own text.
+    """
+    rows = _with_row(docs)
+    groups = jaccard_join.jaccard_join(rows, id_col="row", n_words=5, percent=80).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    return _one_of_each(rows, groups, F.lit(0))
 
 
 def sample(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

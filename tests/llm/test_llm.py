@@ -440,6 +440,27 @@ def test_pipeline(spark, tmp_path):
     assert whole == {r.doc_id: (r.n_tokens, r.ids_sha256) for r in docs.collect()}
 
 
+def test_pipeline_stages_decide_by_rows(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    a, b, c, d = (words(rng, 80, 5000) for _ in range(4))
+    rows = [(None, a), (None, b), (1, c), (1, c), (2, d), (2, c), (3, a + " more"), (4, "  " + d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    exact = corpus_pipeline.drop_copies(spark, docs, "")
+    assert Counter((r.doc_id, r.text) for r in exact.collect()) == Counter([(None, a), (None, b), (1, c), (3, a + " more"), (4, "  " + d)])
+    near = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert Counter((r.doc_id, r.text) for r in near.collect()) == Counter([(None, b), (1, c), (2, d), (3, a + " more")])
+
+
+def test_jaccard_join_compares_the_smallest_text_of_an_id(spark):
+    rng = random.Random(6)
+    texts = [words(rng, 60, 5000) for _ in range(6)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(i + 10, t) for i, t in enumerate(texts)] + [(i + 10, "~ " + words(rng, 60, 5000)) for i in range(6)]
+    found = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string"), n_words=3, percent=80).collect()}
+    assert found == {i: i % 10 for i in (*range(6), *range(10, 16))}
+
+
 def test_parity_masks_never_overstate_differences():
     rng = np.random.default_rng(8)
     for size in (0, 1, 5, 150, 3000):
