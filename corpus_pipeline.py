@@ -15,12 +15,12 @@ from voxlake.llm.common import checkpointed, text_or_empty
 
 #: The columns of ``documents``.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Documents whose language is less certain than this go.
+#: Documents whose language is less certain than this go; with four languages or fewer none is.
 LEAST_SCORE = 0.25
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are in one of the learned languages: not ``und``, and surer than a guess."""
+    """Documents that are not ``und``; with more than four learned languages, those of ``LEAST_SCORE`` at least."""
     model = language_id.fit(docs)
     labelled = language_id.predict(docs, model, keep=COLUMNS)
     kept = labelled.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
