@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a published table of ranks.
 
 Spark's higher-order functions fold the ranked merges over the bytes of distinct words, with the ranks as a literal. Words that
-are frequent in the corpus are folded once, the others once for each document that holds them.
+are frequent in the corpus are folded once, the others once for each task that meets them, as long as it remembers them.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +22,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 
-#: Frequent words whose ids every task holds: at most so many, of at most so many bytes. They are counted on one document in
-#: SAMPLE; which words they are changes the speed alone.
-FREQUENT, LONGEST, SAMPLE = 500_000, 48, 4
+#: Frequent words whose ids every task holds: at most so many, of at most so many bytes, some 50 MB in a worker. They are counted on
+#: one document in SAMPLE; which words they are changes the speed alone.
+FREQUENT, LONGEST, SAMPLE = 250_000, 48, 4
+#: Further words that a task remembers at once, so that each is folded once while it is remembered.
+REMEMBERED = 100_000
 #: Buckets of the literal rank map; a bucket's few entries are searched one by one.
 BUCKETS = 16_384
 #: Words of more bytes are merged with a heap: folding copies the pieces at each merge.
@@ -37,8 +41,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def bound(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once: a lambda's variable holds it."""
-    return F.get(F.transform(F.array(value), use), 0)
+    """``use(value)`` with the value computed once: the last lambda of an empty fold holds it, without a copy."""
+    return F.aggregate(F.array(), value, lambda kept, _: kept, use)
 
 
 class RankMap:
@@ -56,20 +60,33 @@ class RankMap:
         return bound(self.literal, lambda ranks: F.transform(words, lambda w: self._word(w, ranks)))
 
     def _word(self, word: Column, ranks: Column) -> Column:
-        """A fold of the word's pieces, at first its bytes, over as many steps as there could be merges; each step joins the leftmost pair of the least rank."""
+        """A fold of the word's pieces, at first its bytes, over as many steps as there could be merges; each step joins the leftmost pair of the least rank.
+
+        Each piece carries the rank of its pair with the next one, so a step looks up the two pairs that it makes.
+        """
         none = F.lit(2**31 - 1)
 
         def rank(piece: Column) -> Column:
             return F.coalesce(F.try_element_at(F.get(ranks, (F.crc32(piece.cast("binary")) % self.buckets).cast("int")), piece), none)
 
-        def step(p: Column, _: Column) -> Column:
-            # Rank and place in one number, so that the least is the leftmost pair of the least rank.
-            pairs = F.transform(F.slice(p, F.lit(2), F.size(p)), lambda c, i: F.shiftleft(rank(F.concat(F.get(p, i), c)).cast("bigint"), 31) + i)
-            joined = lambda at: F.transform(F.filter(p, lambda _, i: i != at + 1), lambda c, i: F.when(i == at, F.concat(c, F.get(p, at + 1))).otherwise(c))
-            return bound(F.array_min(pairs), lambda least: F.when(least >= F.lit((2**31 - 1) << 31), p).otherwise(bound(least.bitwiseAND(F.lit(2**31 - 1)).cast("int"), joined)))
+        def part(piece: Column, after: Column) -> Column:
+            return F.struct(piece.alias("piece"), rank(F.concat(piece, after)).alias("pair"))
+
+        def step(parts: Column, _: Column) -> Column:
+            def join(at: Column) -> Column:
+                both = F.concat(F.get(parts, at)["piece"], F.get(parts, at + 1)["piece"])
+                changed = lambda p, i: F.when(i == at, part(both, F.get(parts, at + 2)["piece"])).when(i == at - 1, part(p["piece"], both)).otherwise(p)
+                return F.transform(F.filter(parts, lambda _, i: i != at + 1), changed)
+
+            def leftmost(pairs: Column) -> Column:
+                return bound(F.array_min(pairs), lambda least: F.when(least == none, parts).otherwise(bound((F.array_position(pairs, least) - 1).cast("int"), join)))
+
+            return bound(parts["pair"], leftmost)
+
+        def fold(pieces: Column) -> Column:
+            return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), F.transform(pieces, lambda p, i: part(p, F.get(pieces, i + 1))), step, lambda parts: F.transform(parts["piece"], rank))
 
         def whole(text: Column) -> Column:
-            fold = lambda pieces: F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), pieces, step, lambda p: F.transform(p, rank))
             return bound(rank(text), lambda known: F.when(known < none, F.array(known)).otherwise(bound(F.filter(F.split(text, ""), lambda c: F.length(c) > 0), fold)))
 
         return bound(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), whole)
@@ -118,82 +135,129 @@ def splitter(pattern: str):
     return lambda text: quick(text) if text.isascii() or max(text) <= "\xff" else whole(text)
 
 
-def frequent_words(texts: DataFrame, ranks: RankMap, pattern: str) -> dict[str, bytes]:
-    """Frequent words and their ids as bytes. At most FREQUENT words of LONGEST bytes: a few megabytes."""
+@dataclass
+class FrequentWords:
+    """Words joined by NUL, their numbers of ids and all ids; ``table`` is made once by each worker that holds the broadcast."""
+
+    words: str
+    counts: bytes
+    ids: bytes
+
+    @cached_property
+    def table(self) -> dict[str, bytes]:
+        ends = (4 * np.cumsum(np.frombuffer(self.counts, np.uint8).astype(np.int64))).tolist()
+        return {word: self.ids[a:b] for word, a, b in zip(self.words.split("\0"), [0, *ends], ends, strict=False)}
+
+
+def frequent_words(texts: DataFrame, ranks: RankMap, pattern: str) -> FrequentWords:
+    """At most FREQUENT words of LONGEST bytes with their ids: a few megabytes."""
     some = texts.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(SAMPLE)) == 0)
     words = some.select(F.explode(F.regexp_extract_all("text", F.lit(f"(?U){pattern}"), F.lit(0))).alias("word"))
-    top = words.groupBy("word").count().where((F.octet_length("word") <= LONGEST) & (F.col("count") > 1)).orderBy(F.desc("count"), "word").limit(FREQUENT)
+    top = words.groupBy("word").count().where((F.octet_length("word") <= LONGEST) & (F.col("count") > 1) & ~F.contains("word", F.lit("\0"))).orderBy(F.desc("count"), "word").limit(FREQUENT)
     rows = top.repartition(24).select("word", F.get(ranks.encode(F.array("word")), 0).alias("ids")).toArrow()
-    return {w: np.array(ids, "<u4").tobytes() for w, ids in zip(rows["word"].to_pylist(), rows["ids"].to_pylist(), strict=True)}
+    ids = rows["ids"].combine_chunks()
+    return FrequentWords("\0".join(rows["word"].to_pylist()), np.diff(ids.offsets.to_numpy()).astype(np.uint8).tobytes(), ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes())
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``doc_id`` (or the columns ``keep``) and ``ids`` (binary, little-endian unsigned 32-bit) of every whole text; null counts as empty.
+def _split_and_put_in(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, columns: list[str], results: str, result) -> DataFrame:
+    """The ``columns`` of each row and what ``result(ids, pieces)`` makes of its text's ids: the columns ``results``.
 
-    Each match of ``pattern`` is encoded by itself, without special tokens.
+    The first function splits texts and looks words up; a word that is neither frequent nor remembered goes out with the row that
+    meets it first, is folded there, and the second function, which reads the same rows in the same order, remembers its ids.
     """
-    columns = keep or [id_col]
-    ranks = read_ranks(path)
-    table = RankMap(ranks)
-    source = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)), text_or_empty(text_col).alias("text"), F.monotonically_increasing_id().alias("id"))
-    common = docs.sparkSession.sparkContext.broadcast(frequent_words(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), table, pattern))
+    ranked = read_ranks(path)
+    table = RankMap(ranked)
+    context = docs.sparkSession.sparkContext
+    all_pieces = context.broadcast({rank: piece for piece, rank in ranked.items()})
+    common = context.broadcast(frequent_words(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), table, pattern))
+    source = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)), text_or_empty(text_col).alias("text"))
     passed = [f"c{i}" for i in range(len(columns))]
     kinds = "".join(f"c{i} {source.schema[f'c{i}'].dataType.simpleString()}, " for i in range(len(columns)))
+    fields = [f.split() for f in results.split(", ")]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known = splitter(pattern), common.value
-        for batch in batches:
-            runs, cuts, uses, others = [], [], [], []
-            for text in batch["text"].to_pylist():
+        split, known = splitter(pattern), common.value.table
+        seen: dict[str, int] = {}
+        ranks: dict[bytes, int] = {}
+        for batch in (part for b in batches for part in small_batches(b, "text")):
+            runs, cuts, uses, others, firsts = [], [], [], [], []
+            for text in batch["text"]:
                 run: list[bytes] = []
                 size = 0
                 cut: list[int] = []
                 use: list[int] = []
-                other: dict[str, int] = {}
-                for word in split(text):
+                new: list[str] = []
+                if len(seen) > REMEMBERED:
+                    seen = {}
+                firsts.append(len(seen))
+                for word in split(text.as_py()):
                     ids = known.get(word)
                     if ids is None and len(word) * 4 > HUGE and len(raw := word.encode()) > HUGE:
+                        ranks = ranks or {p: r for r, p in all_pieces.value.items()}
                         ids = np.array(merge_huge(raw, ranks), "<u4").tobytes()
                     if ids is None:
+                        place = seen.get(word)
+                        if place is None:
+                            place = seen[word] = len(seen)
+                            new.append(word)
                         cut.append(size)
-                        use.append(other.setdefault(word, len(other)))
+                        use.append(place)
                     else:
                         run.append(ids)
                         size += len(ids)
                 runs.append(b"".join(run))
-                cuts.append(np.array(cut, "<i4").tobytes())
+                cuts.append(np.array(cut, "<i8").tobytes())
                 uses.append(np.array(use, "<i4").tobytes())
-                others.append(list(other))
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in passed), pa.array(runs, pa.binary()), pa.array(cuts, pa.binary()), pa.array(uses, pa.binary()), pa.array(others, pa.list_(pa.string()))], [*passed, "run", "cuts", "uses", "others"])
+                others.append(new)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in passed), pa.array(runs, pa.binary()), pa.array(cuts, pa.binary()), pa.array(uses, pa.binary()), pa.array(firsts, pa.int32()), pa.array(others, pa.list_(pa.string()))], [*passed, "run", "cuts", "uses", "first", "others"])
 
     def put_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        piece = all_pieces.value
+        inserts: list[bytes] = []
+        for batch in (part for b in batches for part in small_batches(b, "run")):
             out = []
-            for run, cuts, uses, folded in zip(*(batch[c].to_pylist() for c in ("run", "cuts", "uses", "folded")), strict=True):
+            for run, cuts, uses, first, folded in zip(*(batch[c] for c in ("run", "cuts", "uses", "first", "folded")), strict=True):
+                run, cuts = run.as_py(), cuts.as_py()
+                if first.as_py() != len(inserts):
+                    if first.as_py():
+                        raise RuntimeError("rows of a partition came in another order")
+                    inserts = []
+                inserts += [np.array(ids, "<u4").tobytes() for ids in folded.as_py()]
                 if cuts:
-                    inserts = [np.array(ids, "<u4").tobytes() for ids in folded]
                     at, parts = 0, []
-                    for cut, use in zip(np.frombuffer(cuts, "<i4").tolist(), np.frombuffer(uses, "<i4").tolist(), strict=True):
+                    for cut, use in zip(np.frombuffer(cuts, "<i8").tolist(), np.frombuffer(uses.as_py(), "<i4").tolist(), strict=True):
                         parts += (run[at:cut], inserts[use])
                         at = cut
                     run = b"".join([*parts, run[at:]])
-                out.append(run)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in passed), pa.array(out, pa.binary())], [*passed, "ids"])
+                out.append(result(run, piece))
+            columns = list(zip(*out, strict=True)) or [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in passed), *(pa.array(c, {"binary": pa.binary(), "bigint": pa.int64(), "string": pa.string()}[kind]) for c, (_, kind) in zip(columns, fields, strict=True))], [*passed, *(name for name, _ in fields)])
 
-    looked = source.select(*passed, "text").mapInArrow(look_up, f"{kinds}run binary, cuts binary, uses binary, others array<string>")
-    folded = looked.select(*passed, "run", "cuts", "uses", table.encode(F.col("others")).alias("folded"))
-    return folded.mapInArrow(put_in, f"{kinds}ids binary").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)), "ids")
+    looked = source.mapInArrow(look_up, f"{kinds}run binary, cuts binary, uses binary, first int, others array<string>")
+    folded = looked.select(*passed, "run", "cuts", "uses", "first", table.encode(F.col("others")).alias("folded"))
+    return folded.mapInArrow(put_in, f"{kinds}{results}").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)), *(name for name, _ in fields))
+
+
+def _pieces(ids: bytes, piece: dict[int, bytes]) -> bytes:
+    return b"".join(map(piece.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``doc_id`` (or the columns ``keep``) and ``ids`` (binary, little-endian unsigned 32-bit) of every whole text; null counts as empty.
+
+    Each match of ``pattern`` is encoded by itself, without special tokens.
+    """
+    return _split_and_put_in(docs, path, pattern, id_col, text_col, keep or [id_col], "ids binary", lambda ids, _: (ids,))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with the column ``decoded`` (binary): the concatenated pieces of the ids."""
-    pieces = {rank: piece for piece, rank in read_ranks(path).items()}
+    """``encoded`` with the column ``decoded`` (binary): the concatenated pieces of the ids; null ids count as none."""
+    pieces = encoded.sparkSession.sparkContext.broadcast({rank: piece for piece, rank in read_ranks(path).items()})
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pieces.__getitem__
-        for batch in batches:
-            out = [b"".join(map(piece, np.frombuffer(ids or b"", "<u4").tolist())) for ids in batch[ids_col].to_pylist()]
+        for batch in (part for b in batches for part in small_batches(b, ids_col)):
+            out = [_pieces(ids.as_py() or b"", pieces.value) for ids in batch[ids_col]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(join, f"{kinds}, decoded binary")
@@ -202,8 +266,13 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 def bpe_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
 
-    Null texts count as empty (no id, the digest of nothing); repeated rows come out alike; a null id stays null; other columns
-    are not read; an empty table gives an empty result.
+    Encodes as ``encode`` does and decodes the ids as ``decode`` does, in one pass. Null texts count as empty (no id, the digest of
+    nothing); repeated rows come out alike; a null id stays null; very long texts are encoded whole; other columns are not read; an
+    empty table gives an empty result.
     """
-    both = decode(encode(docs, path, pattern, id_col, text_col), path)
-    return both.select(F.col(id_col).alias("doc_id"), F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+    def digests(ids: bytes, piece: dict[int, bytes]) -> tuple[int, str, str]:
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(_pieces(ids, piece)).hexdigest()
+
+    out = _split_and_put_in(docs, path, pattern, id_col, text_col, [id_col], "n_tokens bigint, ids_sha256 string, decoded_sha256 string", digests)
+    return out.withColumnRenamed(id_col, "doc_id")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,21 @@ def value_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[ends[0] : ends[-1]], ends - ends[0]
 
 
+#: Bytes of text that an Arrow function takes on at once, beyond a single longer text.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(batch: pa.RecordBatch, name: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` cut into slices whose values of the string or binary column ``name`` hold about ``most`` bytes; a longer value goes alone."""
+    sizes = pc.fill_null(pc.binary_length(batch[name]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words."""
     x = x.astype(np.uint64, copy=True)

@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranges, text_or_empty, value_bytes
+from .common import ranges, small_batches, value_bytes
 
 #: Bytes that the recurrent state runs over, hidden units of each direction, windows computed at once.
-WINDOW, HIDDEN, WIDE = 96, 8, 4096
+WINDOW, HIDDEN, WIDE = 96, 8, 2048
 #: The most labelled documents of each language that training reads, and the bytes it takes from each.
 TRAIN_DOCS, TRAIN_BYTES = 300, 576
 EPOCHS, BATCH, RATE = 5, 128, 0.02
@@ -237,18 +237,21 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     ``und`` with score 0 where a text is null or has no letter. The model is a few kilobytes and goes along with the task.
     """
     columns = keep or [id_col]
+    # A text goes to Python once, be it kept or not.
+    passed = [f"c{i}" for i in range(len(columns))]
+    source = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)), *(() if text_col in columns else (F.col(text_col).alias("t"),)), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    text = f"c{columns.index(text_col)}" if text_col in columns else "t"
+    names = pa.array([*model.langs, "und"], pa.string())
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*model.langs, "und"], dtype=object)
-        for batch in batches:
-            data, ends = value_bytes(batch["__text"])
+        for batch in (part for b in batches for part in small_batches(b, text)):
+            data, ends = value_bytes(batch[text].fill_null(""))
             scores = document_scores(model, data, ends)
-            best = np.where(batch["__letters"].to_numpy(zero_copy_only=False), scores.argmax(1), len(model.langs))
+            best = np.where(batch["letters"].to_numpy(zero_copy_only=False), scores.argmax(1), len(model.langs))
             value = np.where(best < len(model.langs), scores.max(1), 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch[f"c{i}"] for i in range(len(columns))), pa.array(names[best], pa.string()), pa.array(value, pa.float64())], schema=None, names=[*(f"c{i}" for i in range(len(columns))), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in passed), names.take(pa.array(best)), pa.array(value, pa.float64())], [*passed, "lang_pred", "score"])
 
-    source = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)), text_or_empty(text_col).alias("__text"), text_or_empty(text_col).rlike(r"\p{L}").alias("__letters"))
-    kinds = ", ".join(f"c{i} {source.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(columns)))
+    kinds = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in passed)
     out = source.mapInArrow(label, f"{kinds}, lang_pred string, score double")
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)), "lang_pred", "score")
 
