@@ -11,7 +11,6 @@ import hashlib
 import heapq
 import json
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -26,11 +25,13 @@ from .common import small_batches, text_or_empty
 
 #: Frequent words whose ids every task holds: at most so many, of at most so many bytes, some 50 MB in a worker. They are counted on
 #: one document in SAMPLE; which words they are changes the speed alone.
-FREQUENT, LONGEST, SAMPLE = 250_000, 48, 4
+FREQUENT, LONGEST, SAMPLE = 250_000, 48, 8
 #: Further words that a task remembers at once, so that each is folded once while it is remembered.
 REMEMBERED = 100_000
 #: Buckets of the literal rank map; a bucket's few entries are searched one by one.
-BUCKETS = 16_384
+BUCKETS = 16_381
+#: Bits of an id, and the rank of pairs that are no piece.
+ID_BITS, NO_RANK = 17, 2**31 - 1
 #: Words of more bytes are merged with a heap: folding copies the pieces at each merge.
 HUGE = 1024
 
@@ -46,56 +47,76 @@ def bound(value: Column, use) -> Column:
 
 
 class RankMap:
-    """Ranks as a literal column: an array of buckets by CRC-32, each a map from pieces (a character per byte) to ranks."""
+    """Ranks as a literal column: an array of buckets, each a map from pairs of ids to the rank of the joined piece, which is its id."""
 
     def __init__(self, ranks: dict[bytes, int], buckets: int = BUCKETS):
+        if max(ranks.values()) >> ID_BITS:
+            raise ValueError("too many ranks")
         held: list[dict[str, int]] = [{} for _ in range(buckets)]
         for piece, rank in ranks.items():
-            held[zlib.crc32(piece.decode("latin-1").encode()) % buckets][piece.decode("latin-1")] = rank
+            for cut in range(1, len(piece)):
+                left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+                if left is not None and right is not None:
+                    pair = left << ID_BITS | right
+                    held[pair % buckets][str(pair)] = rank
         self.literal = F.from_json(F.lit(json.dumps(held)), "array<map<string,int>>")
         self.buckets = buckets
+        #: The id of each byte.
+        self.bytes = [ranks[bytes([i])] for i in range(256)]
+        #: Pieces that merges do not lead to; a word that is one is its id all the same.
+        self.exceptions = {piece: rank for piece, rank in ranks.items() if len(piece) > 1 and merged(piece, ranks) != [rank]}
 
     def encode(self, words: Column) -> Column:
         """Ids of each word of an array."""
+        first = F.from_json(F.lit(json.dumps(self.bytes)), "array<int>")
+        latin = F.transform(words, lambda w: F.decode(F.encode(w, "UTF-8"), "ISO-8859-1"))
+        ids = bound(first, lambda table: F.transform(latin, lambda w: F.transform(F.filter(F.split(w, ""), lambda c: F.length(c) > 0), lambda c: F.get(table, F.ascii(c)))))
+        if not self.exceptions:
+            return self.fold(ids)
+        whole = F.create_map(*(F.lit(v) for piece, rank in self.exceptions.items() for v in (piece.decode("latin-1"), rank)))
+        return F.zip_with(latin, self.fold(ids), lambda w, found: F.coalesce(F.when(F.try_element_at(whole, w).isNotNull(), F.array(F.try_element_at(whole, w))), found))
+
+    def fold(self, words: Column) -> Column:
+        """Ids of each word of an array, given as the ids of its bytes."""
         return bound(self.literal, lambda ranks: F.transform(words, lambda w: self._word(w, ranks)))
 
     def _word(self, word: Column, ranks: Column) -> Column:
         """A fold of the word's pieces, at first its bytes, over as many steps as there could be merges; each step joins the leftmost pair of the least rank.
 
-        Each piece carries the rank of its pair with the next one, so a step looks up the two pairs that it makes.
+        A piece is a number: the rank of its pair with the next piece, and below that, in ``ID_BITS`` bits, its id. A step looks up
+        the two pairs that it makes.
         """
-        none = F.lit(2**31 - 1)
+        none, low = F.lit(NO_RANK << ID_BITS), F.lit((1 << ID_BITS) - 1)
 
-        def rank(piece: Column) -> Column:
-            return F.coalesce(F.try_element_at(F.get(ranks, (F.crc32(piece.cast("binary")) % self.buckets).cast("int")), piece), none)
-
-        def part(piece: Column, after: Column) -> Column:
-            return F.struct(piece.alias("piece"), rank(F.concat(piece, after)).alias("pair"))
+        def pair(left: Column, right: Column) -> Column:
+            """The rank of a pair of ids above ``ID_BITS`` zeros."""
+            found = lambda p: F.try_element_at(F.get(ranks, (p % self.buckets).cast("int")), p.cast("string")).cast("bigint")
+            return bound(F.shiftleft(left, ID_BITS) + right, lambda p: F.coalesce(F.shiftleft(found(p), ID_BITS), none))
 
         def step(parts: Column, _: Column) -> Column:
-            def join(at: Column) -> Column:
-                both = F.concat(F.get(parts, at)["piece"], F.get(parts, at + 1)["piece"])
-                changed = lambda p, i: F.when(i == at, part(both, F.get(parts, at + 2)["piece"])).when(i == at - 1, part(p["piece"], both)).otherwise(p)
-                return F.transform(F.filter(parts, lambda _, i: i != at + 1), changed)
-
-            def leftmost(pairs: Column) -> Column:
-                return bound(F.array_min(pairs), lambda least: F.when(least == none, parts).otherwise(bound((F.array_position(pairs, least) - 1).cast("int"), join)))
+            def joined(least: Column) -> Column:
+                new = F.shiftright(least, ID_BITS)
 
-            return bound(parts["pair"], leftmost)
+                def at(place: Column) -> Column:
+                    changed = lambda p, i: F.when(i == place, pair(new, F.get(parts, place + 2).bitwiseAND(low)) + new).when(i == place - 1, pair(p.bitwiseAND(low), new) + p.bitwiseAND(low)).otherwise(p)
+                    return F.transform(F.filter(parts, lambda _, i: i != place + 1), changed)
 
-        def fold(pieces: Column) -> Column:
-            return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), F.transform(pieces, lambda p, i: part(p, F.get(pieces, i + 1))), step, lambda parts: F.transform(parts["piece"], rank))
+                return F.when(least >= none, parts).otherwise(bound(least.bitwiseAND(low).cast("int"), at))
 
-        def whole(text: Column) -> Column:
-            return bound(rank(text), lambda known: F.when(known < none, F.array(known)).otherwise(bound(F.filter(F.split(text, ""), lambda c: F.length(c) > 0), fold)))
+            # Rank and place in one number, so that the least is the leftmost pair of the least rank.
+            return bound(F.array_min(F.transform(parts, lambda p, i: p - p.bitwiseAND(low) + i)), joined)
 
-        return bound(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), whole)
+        ids = F.transform(word, lambda i: i.cast("bigint"))
+        return bound(ids, lambda ids: F.aggregate(F.slice(ids, F.lit(2), F.size(ids)), F.transform(ids, lambda p, i: pair(p, F.get(ids, i + 1)) + p), step, lambda parts: F.transform(parts, lambda p: p.bitwiseAND(low).cast("int"))))
 
 
 def merge_huge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a word of very many bytes: the same merges, from a heap of pairs."""
-    if word in ranks:
-        return [ranks[word]]
+    """Ids of a word of very many bytes."""
+    return [ranks[word]] if word in ranks else merged(word, ranks)
+
+
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges, from a heap of pairs."""
     pieces: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
     after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
     heap = [(r, i, pieces[i], pieces[i + 1]) for i in range(len(word) - 1) if (r := ranks.get(word[i : i + 2])) is not None]
@@ -137,16 +158,17 @@ def splitter(pattern: str):
 
 @dataclass
 class FrequentWords:
-    """Words joined by NUL, their numbers of ids and all ids; ``table`` is made once by each worker that holds the broadcast."""
+    """Words joined by NUL, their numbers of ids and all ids, and words whose id no merges lead to; ``table`` is made once by each worker that holds the broadcast."""
 
     words: str
     counts: bytes
     ids: bytes
+    exceptions: dict[str, bytes]
 
     @cached_property
     def table(self) -> dict[str, bytes]:
         ends = (4 * np.cumsum(np.frombuffer(self.counts, np.uint8).astype(np.int64))).tolist()
-        return {word: self.ids[a:b] for word, a, b in zip(self.words.split("\0"), [0, *ends], ends, strict=False)}
+        return {word: self.ids[a:b] for word, a, b in zip(self.words.split("\0"), [0, *ends], ends, strict=False)} | self.exceptions
 
 
 def frequent_words(texts: DataFrame, ranks: RankMap, pattern: str) -> FrequentWords:
@@ -154,9 +176,10 @@ def frequent_words(texts: DataFrame, ranks: RankMap, pattern: str) -> FrequentWo
     some = texts.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(SAMPLE)) == 0)
     words = some.select(F.explode(F.regexp_extract_all("text", F.lit(f"(?U){pattern}"), F.lit(0))).alias("word"))
     top = words.groupBy("word").count().where((F.octet_length("word") <= LONGEST) & (F.col("count") > 1) & ~F.contains("word", F.lit("\0"))).orderBy(F.desc("count"), "word").limit(FREQUENT)
-    rows = top.repartition(24).select("word", F.get(ranks.encode(F.array("word")), 0).alias("ids")).toArrow()
+    rows = top.repartition(8).select("word", F.get(ranks.encode(F.array("word")), 0).alias("ids")).toArrow()
     ids = rows["ids"].combine_chunks()
-    return FrequentWords("\0".join(rows["word"].to_pylist()), np.diff(ids.offsets.to_numpy()).astype(np.uint8).tobytes(), ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes())
+    odd = {piece.decode(errors="ignore"): np.array([rank], "<u4").tobytes() for piece, rank in ranks.exceptions.items()}
+    return FrequentWords("\0".join(rows["word"].to_pylist()), np.diff(ids.offsets.to_numpy()).astype(np.uint8).tobytes(), ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes(), odd)
 
 
 def _split_and_put_in(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, columns: list[str], results: str, result) -> DataFrame:
@@ -173,6 +196,7 @@ def _split_and_put_in(docs: DataFrame, path: str, pattern: str, id_col: str, tex
     source = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)), text_or_empty(text_col).alias("text"))
     passed = [f"c{i}" for i in range(len(columns))]
     kinds = "".join(f"c{i} {source.schema[f'c{i}'].dataType.simpleString()}, " for i in range(len(columns)))
+    first = np.array(table.bytes, np.int32)
     fields = [f.split() for f in results.split(", ")]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,36 +204,35 @@ def _split_and_put_in(docs: DataFrame, path: str, pattern: str, id_col: str, tex
         seen: dict[str, int] = {}
         ranks: dict[bytes, int] = {}
         for batch in (part for b in batches for part in small_batches(b, "text")):
-            runs, cuts, uses, others, firsts = [], [], [], [], []
+            runs, cuts, uses, firsts, counts, new = [], [], [], [], [0], []
             for text in batch["text"]:
-                run: list[bytes] = []
-                size = 0
-                cut: list[int] = []
-                use: list[int] = []
-                new: list[str] = []
+                words = split(text.as_py())
+                ids = list(map(known.get, words))
                 if len(seen) > REMEMBERED:
                     seen = {}
                 firsts.append(len(seen))
-                for word in split(text.as_py()):
-                    ids = known.get(word)
-                    if ids is None and len(word) * 4 > HUGE and len(raw := word.encode()) > HUGE:
+                run, cut, use, at, size = [], [], [], 0, 0
+                for place in [i for i, found in enumerate(ids) if found is None]:
+                    word = words[place]
+                    if len(word) * 4 > HUGE and len(raw := word.encode()) > HUGE:
                         ranks = ranks or {p: r for r, p in all_pieces.value.items()}
-                        ids = np.array(merge_huge(raw, ranks), "<u4").tobytes()
-                    if ids is None:
-                        place = seen.get(word)
-                        if place is None:
-                            place = seen[word] = len(seen)
-                            new.append(word)
-                        cut.append(size)
-                        use.append(place)
-                    else:
-                        run.append(ids)
-                        size += len(ids)
-                runs.append(b"".join(run))
+                        ids[place] = np.array(merge_huge(raw, ranks), "<u4").tobytes()
+                        continue
+                    if (known_as := seen.get(word)) is None:
+                        known_as = seen[word] = len(seen)
+                        new.append(word.encode())
+                    run.append(b"".join(ids[at:place]))
+                    at = place + 1
+                    size += len(run[-1])
+                    cut.append(size)
+                    use.append(known_as)
+                runs.append(b"".join([*run, *ids[at:]]))
                 cuts.append(np.array(cut, "<i8").tobytes())
                 uses.append(np.array(use, "<i4").tobytes())
-                others.append(new)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in passed), pa.array(runs, pa.binary()), pa.array(cuts, pa.binary()), pa.array(uses, pa.binary()), pa.array(firsts, pa.int32()), pa.array(others, pa.list_(pa.string()))], [*passed, "run", "cuts", "uses", "first", "others"])
+                counts.append(len(new))
+            letters = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(w) for w in new]))), pa.int32()), pa.array(first[np.frombuffer(b"".join(new), np.uint8)]))
+            others = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), letters)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in passed), pa.array(runs, pa.binary()), pa.array(cuts, pa.binary()), pa.array(uses, pa.binary()), pa.array(firsts, pa.int32()), others], [*passed, "run", "cuts", "uses", "first", "others"])
 
     def put_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = all_pieces.value
@@ -233,8 +256,8 @@ def _split_and_put_in(docs: DataFrame, path: str, pattern: str, id_col: str, tex
             columns = list(zip(*out, strict=True)) or [()] * len(fields)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in passed), *(pa.array(c, {"binary": pa.binary(), "bigint": pa.int64(), "string": pa.string()}[kind]) for c, (_, kind) in zip(columns, fields, strict=True))], [*passed, *(name for name, _ in fields)])
 
-    looked = source.mapInArrow(look_up, f"{kinds}run binary, cuts binary, uses binary, first int, others array<string>")
-    folded = looked.select(*passed, "run", "cuts", "uses", "first", table.encode(F.col("others")).alias("folded"))
+    looked = source.mapInArrow(look_up, f"{kinds}run binary, cuts binary, uses binary, first int, others array<array<int>>")
+    folded = looked.select(*passed, "run", "cuts", "uses", "first", table.fold(F.col("others")).alias("folded"))
     return folded.mapInArrow(put_in, f"{kinds}{results}").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)), *(name for name, _ in fields))
 
 
