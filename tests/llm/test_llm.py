@@ -176,11 +176,33 @@ def test_ego_join(spark):
     assert got == {**{i: (int(near[i].sum()), want[i], want[i] == i) for i in range(len(x))}, **{i: (0, i, True) for i in range(900, 904)}}
 
 
+def test_ego_join_edges(spark):
+    """Huge and tiny components, vectors of unlike lengths, repeated and null ids, columns with clashing names."""
+    rows = [(1, [1e200, 1e200], 0, "x"), (2, [1e200, 1e200], 0, "x"), (3, [1e-200, 1e-200], 0, "x"), (4, [5e-324, 0.0], 0, "x"), (5, [1.0, -0.0], 0, "x"), (6, [1.0, 0.0, 0.0], 0, "x"), (7, [2.0, 0.0, 0.0], 0, "x"), (8, [], 0, "x"), (None, [1.0, 1.0], 0, "x"), (9, [0.0, 1.0], 0, "x"), (9, [0.0, 1.0], 0, "x"), (9, [1.0, 1.0], 0, "x")]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in ego_join.ego_join(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, part int, other string")).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (1, 4, True), 5: (1, 4, False), 6: (1, 6, True), 7: (1, 6, False), 8: (0, 8, True), 9: (0, 9, True)}
+
+
+def test_ego_join_intervals(spark, monkeypatch):
+    """Many small intervals with several groups of partners give what brute force gives."""
+    for name, value in (("INTERVAL", 16), ("PARTNERS", 2)):
+        monkeypatch.setattr(ego_join, name, value)
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((40, 12))
+    x = np.concatenate([base + 0.1 * rng.standard_normal(base.shape) for _ in range(6)])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ego_join.ego_join(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (u @ u.T) >= 0.95
+    np.fill_diagonal(near, False)
+    want = brute_components({i: i for i in range(len(x))}, lambda a, b: near[a, b])
+    assert got == {i: (int(near[i].sum()), want[i]) for i in range(len(x))}
+
+
 def test_join_intervals_recursion(monkeypatch):
     monkeypatch.setattr(ego_join, "LEAF", 4)
     x = np.random.default_rng(0).standard_normal((50, 5))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    i, j = ego_join.join_intervals(x, x, True, 0.8)
+    i, j = ego_join.join_intervals(x, x, True, 0.8, np.eye(5)[:, ::-1].copy())
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, b) for a in range(50) for b in range(a + 1, 50) if x[a] @ x[b] >= 0.8}
 
 
@@ -397,6 +419,40 @@ def test_pii_names_grow_with_attempts():
     assert len(b) == len(a) + 5
 
 
+def test_pii_surrogates_are_no_entities(spark):
+    """A surrogate that is somebody's name in the corpus is drawn again, whatever its case."""
+    taken = pii_surrogates.surrogate(b"k", "person", "john smith").lower()
+    rows = [("person", v, "") for v in ("john smith", taken, "ann brown")]
+    odd = {r.value: r.attempt for r in pii_surrogates.collisions(spark.createDataFrame(rows, "kind string, value string, attributes string"), b"k").collect()}
+    names = [pii_surrogates.surrogate(b"k", "person", v, "", odd.get(v, 0)).lower() for _, v, _ in rows]
+    assert odd["john smith"] >= 1 and len(set(names)) == 3 and not set(names) & {v for _, v, _ in rows}
+
+
+def test_pii_distinct_and_coreferent(spark):
+    """Brute force: over all mentions of a corpus one entity has one surrogate, and two entities of a kind have two."""
+    rng = random.Random(5)
+    people = [f"{a} {b}" for a in ("John", "Ann", "Max") for b in ("Smith", "Brown", "Stone")]
+    texts = [" ".join(f"{rng.choice(['Mr', 'Dr', 'Frau'])} {rng.choice(people)} wrote to {rng.choice('abc')}@host{rng.randrange(3)}.{rng.choice(['com', 'org'])} from 10.0.{rng.randrange(4)}.7 today." for _ in range(4)) for _ in range(60)] + ["long " * 30_000 + "a@host1.com"]
+    texts.append(texts[0])
+    rows = {r.doc_id: r for r in pii_surrogates.pii_surrogates(frame(spark, texts)).collect()}
+    pairs = defaultdict(set)
+    for i, text in enumerate(texts):
+        old, new = pii_surrogates.detect(text), rows[i].text
+        shift = 0
+        for (start, end, kind, value, _), after in zip(old, [*old[1:], (len(text), 0, "", "", "")], strict=True):
+            rest = text[end : after[0]]
+            at = new.index(rest, start + shift) if rest else len(new)
+            pairs[kind, value].add(new[start + shift : at].lower())
+            shift = at - end
+    assert all(len(names) == 1 for names in pairs.values())
+    assert len({(kind, *names) for (kind, _), names in pairs.items()}) == len(pairs) and rows[61].text == rows[0].text
+
+
+def test_pii_ibans_keep_their_check_sum():
+    new = pii_surrogates.surrogate(b"k", "iban", "DE89370400440532013000")
+    assert new[:2] == "DE" and len(new) == 22 and new[4:] != "370400440532013000" and pii_surrogates._mod97(new[4:] + new[:4]) == 1
+
+
 def test_pii_formats_are_permuted():
     seen = {pii_surrogates.surrogate(b"k", "ssn", f"{i:09d}") for i in range(3000)}
     assert len(seen) == 3000 and all(re.fullmatch(r"\d{9}", s) for s in seen)
@@ -409,6 +465,23 @@ def test_pii_collisions_draw_again(spark):
     assert len(odd) == 2 and len(set(names)) == 4
 
 
+def test_rollup_two_writers(spark):
+    """Two writers that both look before either commits count a batch once; so does a reader while both folders are there."""
+    path = shared_folder(spark, "rollup")
+    changes = token_rollup.inserts(frame(spark, ["a b", "c " * 50_000, "a b", None]), "w", token_rollup.count_words())
+    one, two = token_rollup.TokenRollup(spark, path), token_rollup.TokenRollup(spark, path)
+    for writer in ("1", "2"):
+        token_rollup.signed(changes).write.parquet(f"{path}/_aside/b-{writer}")
+    assert one._settle("b", "2", f"{path}/_aside/b-2")
+    assert one.totals().collect()[0].tokens == 50_004
+    fs, source = two._files(f"{path}/_aside/b-1")
+    fs.rename(source, two._files(f"{path}/batch_id=b/writer=1")[1])
+    assert [(r.docs, r.tokens) for r in two.totals().collect()] == [(4, 50_004)] and not two.commit("b", changes)
+    token_rollup.signed(changes).write.parquet(f"{path}/_aside/b-3")
+    assert not two._settle("b", "3", f"{path}/_aside/b-3") and two._writers("b") == ["1", "2"]
+    assert token_rollup.TokenRollup(spark, shared_folder(spark, "rollup")).totals().count() == 0
+
+
 @pytest.mark.parametrize("run", [
     exact_dedup.exact_dedup, suffix_dedup.suffix_dedup, jaccard_join.jaccard_join, language_id.language_id, mixing.mix, license_scan.license_scan, pii_surrogates.pii_surrogates,
     lambda d: bpe.bpe_digests(d, PATH, PATTERN), lambda d: ego_join.ego_join(d.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"))),

@@ -68,6 +68,11 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _mod97(code: str) -> int:
+    """Digits as they are, letters as 10 to 35."""
+    return int("".join(str(int(c, 36)) for c in code)) % 97
+
+
 def _card_within(value: str) -> tuple[int, int] | None:
     """The longest run of some of the value's groups of digits that has a card's length and check sum."""
     groups = [g.span() for g in re.finditer(r"\d+", value)]
@@ -177,6 +182,10 @@ def surrogate(key: bytes, kind: str, value: str, attributes: str = "", attempt:
         # All digits but the last are permuted; the last makes the check sum right again.
         body = _same_format(key, label, value[:-1])
         return next(body + d for d in _DIGITS if _luhn(body + d))
+    if kind == "iban":
+        # The country stays, the account is permuted, and the two digits between make the check sum right again.
+        account = _same_format(key, label, value[4:])
+        return f"{value[:2]}{98 - _mod97(account + value[:2] + '00'):02d}{account}"
     if kind == "person":
         s = _stream(key, f"{label}\0{value}")
         script = "cyrillic" if re.search("[А-я]", value) else "latin"
@@ -187,7 +196,7 @@ def surrogate(key: bytes, kind: str, value: str, attributes: str = "", attempt:
     if kind == "private_key":
         head, tail = re.match(r"-----[^-]*-----", value), re.search(r"-----END[^-]*-----$", value)
         return head[0] + _same_format(key, label, value[head.end() : tail.start()]) + tail[0]
-    return _same_format(key, label, value, {"aws_key": 4, "github_token": 4, "iban": 2}.get(kind, 2 if kind == "phone" and value.startswith("+") else 0))
+    return _same_format(key, label, value, {"aws_key": 4, "github_token": 4}.get(kind, 2 if kind == "phone" and value.startswith("+") else 0))
 
 
 def _shaped(kind: str, canonical: str, mention: str) -> str:
@@ -229,6 +238,8 @@ def collisions(entities: DataFrame, key: bytes) -> DataFrame:
     schema = "kind string, value string, attributes string, attempt int, name string"
     while True:
         named = checkpointed(pending.mapInArrow(_drawn(key), schema))
+        # Names are compared as entities are held, in lower case.
+        named = named.withColumn("name", F.when(F.col("kind").isin("person", "email"), F.lower("name")).otherwise(F.col("name")))
         rank = F.row_number().over(Window.partitionBy("kind", "name").orderBy("value", "attributes"))
         ranked = named.withColumn("rank", rank).join(taken.withColumn("used", F.lit(True)), ["kind", "name"], "left")
         ranked = checkpointed(ranked.withColumn("lost", (F.col("rank") > 1) | F.coalesce("used", F.lit(False))))

@@ -2,11 +2,15 @@
 
 A batch holds changes of documents' token counts: inserts, deletes and revisions. It becomes signed rows (an insert +, a delete -, a revision
 both), which are summed by source, language and tokenizer version and committed under the batch's name. Totals are the sums
-over all committed batches, so batches may arrive in any order, and a batch that is committed again changes nothing.
+over all committed batches, so batches may arrive in any order, and a batch that is committed again changes nothing. Where two
+writers commit a batch at once, both their folders may be in place for a while; every reader counts the first writer's alone.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +20,7 @@ KEYS = ["source", "lang", "tokenizer"]
 MEASURES = ["docs", "tokens"]
 MISSING = "(none)"
 
-_COMMITTED = "source string, lang string, tokenizer string, docs bigint, tokens bigint, batch_id string"
+_COMMITTED = "source string, lang string, tokenizer string, docs bigint, tokens bigint, batch_id string, writer string"
 
 
 def signed(changes: DataFrame) -> DataFrame:
@@ -44,34 +48,48 @@ class TokenRollup:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
+    def _writers(self, batch_id: str) -> list[str]:
+        fs, where = self._files(f"{self.path}/batch_id={batch_id}")
+        return sorted(f.getPath().getName().removeprefix("writer=") for f in fs.listStatus(where)) if fs.exists(where) else []
+
     def committed(self, batch_id: str) -> bool:
-        fs, where = self._files(f"{self.path}/batch_id={batch_id}/_SUCCESS")
-        return fs.exists(where)
+        return bool(self._writers(batch_id))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Add a batch, unless it is there already; whether it was added.
 
-        The sums are written aside and moved into place by one rename, which also decides between two writers of a batch. A writer
-        that is lost before leaves nothing that counts.
+        The sums are written aside and moved into the batch's folder by one rename, to a name that no other writer has. Of writers
+        that do so at once the first by time and name counts, and the others take theirs away again. A writer that is lost before the
+        rename leaves nothing that counts, one that is lost after it leaves what counts once.
         """
         if not batch_id or not all(c.isalnum() or c in "-_" for c in batch_id):
             raise ValueError("a batch id holds letters, digits, - and _")
         if self.committed(batch_id):
             return False
-        aside = f"{self.path}/_aside/{batch_id}-{self.spark.sparkContext.applicationId}"
-        signed(changes).write.mode("overwrite").parquet(aside)
+        writer = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+        aside = f"{self.path}/_aside/{batch_id}-{writer}"
+        signed(changes).write.parquet(aside)
+        return self._settle(batch_id, writer, aside)
+
+    def _settle(self, batch_id: str, writer: str, aside: str) -> bool:
         fs, source = self._files(aside)
-        _, target = self._files(f"{self.path}/batch_id={batch_id}")
+        _, batch = self._files(f"{self.path}/batch_id={batch_id}")
+        _, target = self._files(f"{self.path}/batch_id={batch_id}/writer={writer}")
+        fs.mkdirs(batch)
         if not fs.rename(source, target):
-            fs.delete(source, True)
-            return False
-        return True
+            raise OSError(f"{aside} can't be moved")
+        if self._writers(batch_id)[0] == writer:
+            return True
+        fs.delete(target, True)
+        return False
 
     def deltas(self) -> DataFrame:
+        """The rows of all batches, of the first writer of each."""
         fs, where = self._files(self.path)
         if not fs.exists(where) or not any(s.getPath().getName().startswith("batch_id=") for s in fs.listStatus(where)):
             return self.spark.createDataFrame([], _COMMITTED)
-        return self.spark.read.schema(_COMMITTED).parquet(self.path)
+        rows = self.spark.read.schema(_COMMITTED).parquet(self.path)
+        return rows.join(rows.groupBy("batch_id").agg(F.min("writer").alias("writer")), ["batch_id", "writer"])
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens) of keys that are not zero."""
