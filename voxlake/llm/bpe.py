@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty
+from .common import small_batches, text_or_empty, value_bytes
 
 #: Frequent words whose ids every task holds: at most so many, of at most so many bytes, some 50 MB in a worker. They are counted on
 #: one document in SAMPLE; which words they are changes the speed alone.
@@ -191,7 +191,7 @@ def _split_and_put_in(docs: DataFrame, path: str, pattern: str, id_col: str, tex
     ranked = read_ranks(path)
     table = RankMap(ranked)
     context = docs.sparkSession.sparkContext
-    all_pieces = context.broadcast({rank: piece for piece, rank in ranked.items()})
+    all_pieces = context.broadcast(_by_rank(ranked))
     common = context.broadcast(frequent_words(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), table, pattern))
     source = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)), text_or_empty(text_col).alias("text"))
     passed = [f"c{i}" for i in range(len(columns))]
@@ -215,7 +215,7 @@ def _split_and_put_in(docs: DataFrame, path: str, pattern: str, id_col: str, tex
                 for place in [i for i, found in enumerate(ids) if found is None]:
                     word = words[place]
                     if len(word) * 4 > HUGE and len(raw := word.encode()) > HUGE:
-                        ranks = ranks or {p: r for r, p in all_pieces.value.items()}
+                        ranks = ranks or {p: r for r, p in enumerate(all_pieces.value.to_pylist()) if p is not None}
                         ids[place] = np.array(merge_huge(raw, ranks), "<u4").tobytes()
                         continue
                     if (known_as := seen.get(word)) is None:
@@ -261,8 +261,22 @@ def _split_and_put_in(docs: DataFrame, path: str, pattern: str, id_col: str, tex
     return folded.mapInArrow(put_in, f"{kinds}{results}").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)), *(name for name, _ in fields))
 
 
-def _pieces(ids: bytes, piece: dict[int, bytes]) -> bytes:
-    return b"".join(map(piece.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+def _by_rank(ranks: dict[bytes, int]) -> pa.Array:
+    """Pieces at the places of their ranks."""
+    pieces: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    return pa.array(pieces, pa.binary())
+
+
+def _pieces(ids: bytes, by_rank: pa.Array) -> bytes:
+    """The concatenated pieces of ids; an id that is none is refused."""
+    if not ids:
+        return b""
+    taken = by_rank.take(pa.array(np.frombuffer(ids, "<u4")))
+    if taken.null_count:
+        raise ValueError("an id has no piece")
+    return value_bytes(taken)[0].tobytes()
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -275,7 +289,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with the column ``decoded`` (binary): the concatenated pieces of the ids; null ids count as none."""
-    pieces = encoded.sparkSession.sparkContext.broadcast({rank: piece for piece, rank in read_ranks(path).items()})
+    pieces = encoded.sparkSession.sparkContext.broadcast(_by_rank(read_ranks(path)))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +308,7 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
     empty table gives an empty result.
     """
 
-    def digests(ids: bytes, piece: dict[int, bytes]) -> tuple[int, str, str]:
+    def digests(ids: bytes, piece: pa.Array) -> tuple[int, str, str]:
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(_pieces(ids, piece)).hexdigest()
 
     out = _split_and_put_in(docs, path, pattern, id_col, text_col, [id_col], "n_tokens bigint, ids_sha256 string, decoded_sha256 string", digests)
