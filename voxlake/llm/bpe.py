@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty, value_bytes
+from .common import small_arrow_batches, small_batches, text_or_empty, value_bytes
 
 #: Frequent words whose ids every task holds: at most so many, of at most so many bytes, some 50 MB in a worker. They are counted on
 #: one document in SAMPLE; which words they are changes the speed alone.
@@ -188,6 +188,7 @@ def _split_and_put_in(docs: DataFrame, path: str, pattern: str, id_col: str, tex
     The first function splits texts and looks words up; a word that is neither frequent nor remembered goes out with the row that
     meets it first, is folded there, and the second function, which reads the same rows in the same order, remembers its ids.
     """
+    small_arrow_batches(docs.sparkSession)
     ranked = read_ranks(path)
     table = RankMap(ranked)
     context = docs.sparkSession.sparkContext

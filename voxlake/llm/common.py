@@ -63,6 +63,17 @@ def value_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[ends[0] : ends[-1]], ends - ends[0]
 
 
+#: Rows of an Arrow batch. Spark's default of 10,000 whole documents takes tens to hundreds of megabytes on both sides of each task.
+ARROW_ROWS = 500
+
+
+def small_arrow_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``ARROW_ROWS`` rows for this session, unless it names another number than Spark's default."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 #: Bytes of text that an Arrow function takes on at once, beyond a single longer text.
 BATCH_BYTES = 4 << 20
 

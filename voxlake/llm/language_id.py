@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranges, small_batches, value_bytes
+from .common import ranges, small_arrow_batches, small_batches, value_bytes
 
 #: Bytes that the recurrent state runs over, hidden units of each direction, windows computed at once.
 WINDOW, HIDDEN, WIDE = 96, 8, 2048
@@ -236,6 +236,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     ``und`` with score 0 where a text is null or has no letter. The model is a few kilobytes and goes along with the task.
     """
+    small_arrow_batches(docs.sparkSession)
     columns = keep or [id_col]
     # A text goes to Python once, be it kept or not.
     passed = [f"c{i}" for i in range(len(columns))]

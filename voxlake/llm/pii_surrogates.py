@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_or_empty
+from .common import checkpointed, small_arrow_batches, text_or_empty
 
 #: The key of production runs comes from a secret store; this one is for tests and queries over invented data.
 KEY = b"voxlake-example-key"
@@ -283,6 +283,7 @@ def pii_surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table gives an empty result. Whole texts are read. Texts are not shuffled, except those that mention an entity from the
     exception list, where it is too long to be broadcast.
     """
+    small_arrow_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     entities = rows.select("text").mapInArrow(_detected, "kind string, value string, attributes string").distinct()
     odd = collisions(entities, key)

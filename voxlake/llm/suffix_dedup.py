@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix64, ranges, text_or_empty, value_bytes
+from .common import checkpointed, mix64, ranges, small_arrow_batches, text_or_empty, value_bytes
 
 #: Bytes of a repeat, and of an anchor within it.
 LENGTH, ANCHOR = 200, 64
@@ -368,6 +368,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nothing is left, so of repeated rows neither. Ids may be null or repeat: texts are told apart by 128 bits of their SHA-256.
     Other columns are not read; an empty table gives an empty result.
     """
+    small_arrow_batches(docs.sparkSession)
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("own"), text.alias("text"), F.octet_length(text).cast("bigint").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha")).withColumn("id", F.unhex(F.substring("sha", 1, 32)))
     long = rows.where(F.col("n_bytes") >= length)
