@@ -465,6 +465,20 @@ def test_pii_collisions_draw_again(spark):
     assert len(odd) == 2 and len(set(names)) == 4
 
 
+@pytest.mark.parametrize("run", [exact_dedup.exact_dedup, suffix_dedup.suffix_dedup, jaccard_join.jaccard_join, lambda d: bpe.bpe_digests(d, PATH, PATTERN)])
+def test_batches_of_any_size(spark, odd_texts, run):
+    """What crosses the bounds of Arrow batches comes out as within one batch."""
+    docs = frame(spark, odd_texts * 3)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    whole = Counter(map(tuple, run(docs).collect()))
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    try:
+        assert Counter(map(tuple, run(docs).collect())) == whole
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_rollup_two_writers(spark):
     """Two writers that both look before either commits count a batch once; so does a reader while both folders are there."""
     path = shared_folder(spark, "rollup")

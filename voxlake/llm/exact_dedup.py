@@ -38,7 +38,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = list(zip(digests, table["n_norm"].to_pylist(), table["proof"].to_pylist(), strict=True))
         starts = np.array([0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1])])
         counts = np.add.reduceat(table["n"].to_numpy(), starts)
-        merged = table.take(pa.array(starts)).set_column(table.schema.get_field_index("n"), "n", pa.array(counts, pa.int64()))
+        place = table.schema.get_field_index("n")
+        merged = table.take(pa.array(starts)).set_column(place, table.schema.field(place), pa.array(counts, pa.int64()))
         held = merged.slice(len(starts) - 1)
         if len(starts) > 1:
             yield from merged.slice(0, len(starts) - 1).to_batches()
