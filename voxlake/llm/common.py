@@ -67,11 +67,15 @@ def value_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 ARROW_ROWS = 500
 
 
+#: Characters of a plan's description: with the ranks of a tokenizer as a literal each would take megabytes of the driver.
+PLAN_TEXT = 100_000
+
+
 def small_arrow_batches(spark: SparkSession) -> None:
-    """Arrow batches of ``ARROW_ROWS`` rows for this session, unless it names another number than Spark's default."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(ARROW_ROWS))
+    """Arrow batches of ``ARROW_ROWS`` rows and short descriptions of plans for this session, unless it names other numbers than Spark's defaults."""
+    for name, default, wanted in (("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000, ARROW_ROWS), ("spark.sql.maxPlanStringLength", 2_147_483_632, PLAN_TEXT)):
+        if spark.conf.get(name).rstrip("b") == str(default):
+            spark.conf.set(name, str(wanted))
 
 
 #: Bytes of text that an Arrow function takes on at once, beyond a single longer text.
