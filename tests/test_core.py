@@ -9,9 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxlake.functions import elements, quantity
 from voxlake.functions import numeric as nm
 from voxlake.functions import text as tx
-from voxlake.operators import anonymize, catalog, links, search, slices, statistics
+from voxlake.operators import anonymize, catalog, links, loader, search, slices, statistics, syntaxes
 from voxlake.sources import frames, part10
 from voxlake.streaming import ingest
 
@@ -225,3 +226,46 @@ def test_whole_orders_and_references(spark):
     assert keys == sorted(keys)
     found = {r.doc_id for r in imaging.key_references_whole(spark, d).collect()}
     assert found >= {r.doc_id for t in ("documents", "labels") for r in spark.read.parquet(f"{d}/{t}.parquet").select("doc_id").collect()}
+
+
+def test_record_links_of_any_length(spark):
+    """A chain of 5,000 siblings, records below records, and a cycle that no root reaches."""
+    n = 5000
+    rows = [(1, 10 + i, 10 + i + 1 if i + 1 < n else 0, 0, i == 0) for i in range(n)]
+    rows += [(2, 1, 0, 2, True), (2, 2, 3, 4, False), (2, 3, 0, 0, False), (2, 4, 0, 0, False), (2, 8, 9, 0, False), (2, 9, 8, 0, False)]
+    records = spark.createDataFrame(rows, "directory int, offset bigint, next bigint, lower bigint, root boolean")
+    found = {(r.directory, r.offset): (r.depth, r.parent) for r in links.linked_records(spark, records).collect()}
+    assert {k: v for k, v in found.items() if k[0] == 2} == {(2, 1): (0, None), (2, 2): (1, 1), (2, 3): (1, 1), (2, 4): (2, 2)}
+    assert sum(k[0] == 1 for k in found) == n and set(v for k, v in found.items() if k[0] == 1) == {(0, None)}
+    assert not links.linked_records(spark, records.where("false")).count()
+
+
+def test_content_trees_of_any_depth(spark):
+    rows = [(1, i, i - 1 if i else None, i % 3) for i in range(400)] + [(2, 0, None, 0), (2, 1, 0, 1), (2, 2, 0, 0), (2, 7, 8, 0), (2, 8, 7, 0)]
+    tree = links.content_tree(spark, spark.createDataFrame(rows, "doc int, id int, parent int, ord int"))
+    assert tree.where("doc = 1").agg(F.max("depth")).first()[0] == 399
+    assert [(r.id, r.depth) for r in tree.where("doc = 2").orderBy("path").collect()] == [(0, 0), (2, 1), (1, 1)]
+
+
+def test_syntax_plans(spark):
+    pairs = [("1.2.840.10008.1.2", "1.2.840.10008.1.2.1"), ("1.2.840.10008.1.2.5", "1.2.840.10008.1.2.1"), ("1.2.840.10008.1.2.1", "1.2.840.10008.1.2.4.80"), ("1.2.840.10008.1.2.4.94", "1.2.840.10008.1.2"), ("1.2.840.10008.1.2.4.50", "1.2.840.10008.1.2.4.50"), ("9.9", "1.2.840.10008.1.2"), (None, None)]
+    rows = syntaxes.with_plans(spark.createDataFrame(pairs, "a string, b string"), spark, "a", "b").collect()
+    assert sorted((r.a or "", r.route or "", r.status or "") for r in rows) == sorted([("1.2.840.10008.1.2", "rewrite-native", "supported"), ("1.2.840.10008.1.2.5", "decompress", "supported"), ("1.2.840.10008.1.2.1", "compress", "ambiguous"), ("1.2.840.10008.1.2.4.94", "reference", "unsupported"), ("1.2.840.10008.1.2.4.50", "pass-through", "supported"), ("9.9", "", ""), ("", "", "")])
+    assert len({s[0] for s in syntaxes.SYNTAXES}) == 36
+
+
+def test_volumes_beyond_their_bound_are_not_gathered(spark):
+    s = spark.createDataFrame([("a", 1, [1, 2]), ("a", 0, [3]), ("b", 0, [1, 2, 3, 4])], "series_uid string, slice_index int, voxels array<int>")
+    assert {r.series_uid: (r.slices, r.size, r.volume) for r in loader.volumes(s, 3).collect()} == {"a": (2, 3, [3, 1, 2]), "b": (1, 4, None)}
+
+
+def test_json_of_nested_sequences(spark):
+    rows = [("f", "0040A730", None, 0, 0x0040A730, "SQ", None, None), ("f", "00080005", None, 0, 0x00080005, "CS", ["ISO/100", 'a"b'], None)]
+    out = elements.json_documents(spark.createDataFrame(rows, "file_path string, path string, parent string, depth int, tag int, vr string, values array<string>, binary binary")).first().json
+    assert out == '{"00080005":{"Value":["ISO\\/100","a\\"b"],"vr":"CS"},"0040A730":{"Value":[],"vr":"SQ"}}'
+
+
+def test_quantity_edges(spark):
+    none = F.lit(None).cast("double")
+    r = one(spark, quantity.window_number(F.lit("1\\2\\3")), quantity.spacing_of(F.lit(None).cast("string")), quantity.contour_points(F.array().cast("array<double>"), F.lit(0)), quantity.stored_at(F.array(*lit(1, 2, 3)), *lit(1, 0, 3, 0)), quantity.in_sample_range(*lit(256, "unsigned8")), quantity.frame_file_name(*lit("x", 12344, 20000), "png"), quantity.uptake_diagnostics("bw", F.lit("GML"), *[none] * 7, none.cast("string")))
+    assert list(r) == [0.0, (1.0, 1.0), None, None, False, "x_frame12345.png", []]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import ways_to_roots
+
 
 def labelled_frames(segments: DataFrame, frames: DataFrame) -> DataFrame:
     """Frames of each segment with the segment's number wherever a mask is set; segments without frames are left out."""
@@ -64,31 +66,24 @@ def key_references(evidence: DataFrame, content: DataFrame, keys: list[str]) ->
 def linked_records(spark, records: DataFrame, directory: str = "directory") -> DataFrame:
     """Records of offset-linked directories that their root reaches, with depth and the offset of their parent.
 
-    Records: (directory, offset, next, lower, root). A record's next is its sibling, its lower its first child. The offsets on the way to
-    a record end a cycle.
+    Records: (directory, offset, next, lower, root). A record's next is its sibling, its lower its first child. Of several records
+    that point to one the first in the file counts. Chains may have any length; records of a cycle that no root reaches are left
+    out; an empty table gives an empty result.
     """
-    records.createOrReplaceTempView("__directory_records")
-    return spark.sql(f"""
-        WITH RECURSIVE links AS (
-          SELECT {directory}, offset, next AS target, false AS down FROM __directory_records WHERE next > 0
-          UNION ALL SELECT {directory}, offset, lower, true FROM __directory_records WHERE lower > 0
-        ), reached AS (
-          SELECT {directory}, offset, 0 AS depth, cast(NULL AS bigint) AS parent, array(offset) AS way FROM __directory_records WHERE root
-          UNION ALL
-          SELECT l.{directory}, l.target, r.depth + if(l.down, 1, 0), if(l.down, r.offset, r.parent), concat(r.way, array(l.target))
-          FROM reached r JOIN links l ON l.{directory} = r.{directory} AND l.offset = r.offset WHERE NOT array_contains(r.way, l.target)
-        ) SELECT {directory}, offset, min(depth) AS depth, min_by(parent, depth) AS parent FROM reached r LEFT SEMI JOIN __directory_records d USING ({directory}, offset) GROUP BY {directory}, offset""")
+    points = records.select(directory, F.col("offset").alias("up"), F.explode(F.array(F.struct(F.col("next").alias("id"), F.lit(0).alias("down")), F.struct(F.col("lower").alias("id"), F.lit(1).alias("down")))).alias("p")).select(directory, "up", "p.*")
+    first = points.where("id > 0").groupBy(directory, "id").agg(F.min(F.struct("up", "down")).alias("p"))
+    above = records.select(directory, F.col("offset").alias("id"), F.coalesce("root", F.lit(False)).alias("root")).dropDuplicates([directory, "id"]).join(first, [directory, "id"], "left")
+    start = above.where("root or p is not null").select(directory, "id", F.when(~F.col("root"), F.col("p.up")).alias("up"), F.when(F.col("root"), 0).otherwise(F.col("p.down")).alias("depth"), F.when(~F.col("root") & (F.col("p.down") == 1), F.col("p.up")).alias("parent"))
+    ways = ways_to_roots(start, [directory], {"depth": lambda near, far: near + far, "parent": lambda near, far: F.coalesce(near, far)})
+    return ways.select(directory, F.col("id").alias("offset"), "depth", "parent")
 
 
 def content_tree(spark, items: DataFrame, doc: str = "doc", order: str = "ord") -> DataFrame:
-    """Content items in pre-order with depth and path; items that no root reaches are left out."""
-    items.createOrReplaceTempView("__content_items")
-    return spark.sql(f"""
-        WITH RECURSIVE tree AS (
-          SELECT {doc}, id, parent, 0 AS depth, lpad(cast({order} AS string), 6, '0') AS path FROM __content_items WHERE parent IS NULL
-          UNION ALL
-          SELECT c.{doc}, c.id, c.parent, t.depth + 1, concat(t.path, '.', lpad(cast(c.{order} AS string), 6, '0')) FROM __content_items c JOIN tree t ON c.{doc} = t.{doc} AND c.parent = t.id
-        ) SELECT * FROM tree""")
+    """Content items in pre-order with depth and path; items that no root reaches are left out. Trees may be of any depth."""
+    own = F.lpad(F.col(order).cast("string"), 6, "0")
+    start = items.select(doc, "id", F.col("parent").alias("up"), "parent", F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"), own.alias("path"))
+    ways = ways_to_roots(start, [doc], {"depth": lambda near, far: near + far, "path": lambda near, far: F.concat(far, F.lit("."), near), "parent": lambda near, _: near})
+    return ways.select(doc, "id", "parent", "depth", "path")
 
 
 def measurements(items: DataFrame) -> DataFrame:

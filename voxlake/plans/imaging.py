@@ -278,7 +278,8 @@ def time_functions(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", whole["date"]["year"].alias("y"), whole["date"]["month"].alias("m"), whole["date"]["day"].alias("d"), whole["time"]["hour"].alias("h"), whole["time"]["minute"].alias("mi"), whole["offset_minutes"].alias("zone"), age["value"].alias("age"), age["unit"].alias("unit"), tx.seconds_of_day(time).alias("seconds"), tx.display_date(day).alias("shown"))
 
 
-@query()
+@query("""WITH u AS (SELECT '1.2.840.' || o_orderkey AS uid FROM orders), c AS (SELECT uid, [CAST(ascii(x) AS UHUGEINT) FOR x IN string_split(uid, '')] AS codes FROM u)
+SELECT uid, '2.25.' || list_reduce(list_prepend(CAST('14695981039346656037' AS UHUGEINT), codes), lambda h, c: (xor(h, c) * CAST('1099511628211' AS UHUGEINT)) % CAST('18446744073709551616' AS UHUGEINT)) || '.' || list_reduce(list_prepend(CAST('11400714819323198485' AS UHUGEINT), codes), lambda h, c: (h * CAST(31 AS UHUGEINT) + c) % CAST('18446744073709551616' AS UHUGEINT)) AS remapped FROM c""")
 def uid_remap(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select(F.concat(F.lit("1.2.840."), F.col("o_orderkey").cast("string")).alias("uid"))
     return o.select("uid", tx.deterministic_uid(F.col("uid")).alias("remapped"))
