@@ -16,8 +16,9 @@ EXACT = ("patient_id", "accession_number", "study_date", "study_description", "r
 def first_per_study(instances: DataFrame, study: str = "study_uid", order: str | list[str] = "sop_uid") -> DataFrame:
     """The instance of each study that comes first in the order."""
     columns = [order] if isinstance(order, str) else order
-    rank = F.row_number().over(Window.partitionBy(study).orderBy(*columns))
-    return instances.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    # The least row is kept on each side of the shuffle; nulls come first, as in a sort.
+    first = F.min_by(F.struct(*instances.columns), F.struct(*columns))
+    return instances.groupBy(F.col(study).alias("__study")).agg(first.alias("__row")).select("__row.*")
 
 
 def study_filter(columns: list[str], **filters: str | None) -> Column:
@@ -107,5 +108,5 @@ def numbered(ordered: DataFrame, name: str = "position") -> DataFrame:
 
 def latest(instances: DataFrame, key: str, version: str) -> DataFrame:
     """The last version of each key."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last(version)))
-    return instances.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    last = F.max_by(F.struct(*instances.columns), F.struct(F.col(version).isNotNull(), version))
+    return instances.groupBy(F.col(key).alias("__key")).agg(last.alias("__row")).select("__row.*")
