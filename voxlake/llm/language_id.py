@@ -12,16 +12,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ranges, small_arrow_batches, small_batches, value_bytes
+from .common import checkpointed, ranges, small_arrow_batches, small_batches, value_bytes
 
 #: Bytes that the recurrent state runs over, hidden units of each direction, windows computed at once.
 WINDOW, HIDDEN, WIDE = 96, 8, 2048
 #: The most labelled documents of each language that training reads, and the bytes it takes from each.
 TRAIN_DOCS, TRAIN_BYTES = 300, 576
 EPOCHS, BATCH, RATE = 5, 128, 0.02
+#: Labels whose limits are broadcast at most.
+MOST_LANGS = 100_000
+
+
+#: The arrays of a model.
+PARTS = ("into", "state", "bias", "out", "shift")
 
 
 @dataclass
@@ -204,22 +210,19 @@ def document_scores(m: Model, data: np.ndarray, ends: np.ndarray, window: int =
     return pooled / pooled.sum(1, keepdims=True)
 
 
-def training_sample(docs: DataFrame, docs_per_lang: int = TRAIN_DOCS, n_bytes: int = TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list:
-    """Up to ``docs_per_lang`` labelled documents of each language, those with the smallest hash of their id; beginnings of ``n_bytes`` characters.
+def training_sample(docs: DataFrame, docs_per_lang: int = TRAIN_DOCS, n_bytes: int = TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, place, text): up to ``docs_per_lang`` labelled documents of each language, those with the smallest hash of their id; beginnings of ``n_bytes`` characters.
 
     The only place where ``lang`` is read. Held-out documents are never among them.
     """
     some = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     some = some.where(~held_out("id") & F.col("lang").isNotNull()).withColumn("h", F.xxhash64("id"))
-    counts = some.groupBy("lang").count().collect()
-    if not counts:
-        return []
     # Only rows with small hashes can be among the first; about three times as many as wanted pass.
-    limits = [(r["lang"], 2.0**64 * min(1.0, 3.0 * docs_per_lang / r["count"]) - 2.0**63) for r in counts]
-    limit = F.create_map(*[F.lit(v) for pair in limits for v in pair])
-    few = some.where(F.col("h").cast("double") <= limit[F.col("lang")]).where(F.col("text").rlike(r"\p{L}"))
-    best = F.slice(F.array_sort(F.collect_list(F.struct("h", "id", F.substring("text", 1, n_bytes).alias("text")))), 1, docs_per_lang)
-    return [(r["lang"], p["text"]) for r in few.groupBy("lang").agg(best.alias("best")).orderBy("lang").collect() for p in r["best"]]
+    counts = checkpointed(some.groupBy("lang").count().select("lang", (F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(3.0 * docs_per_lang) / F.col("count")) - 2.0**63).alias("limit")))
+    limits = F.broadcast(counts) if counts.count() <= MOST_LANGS else counts
+    few = some.where(F.col("text").rlike(r"\p{L}")).join(limits, "lang").where(F.col("h").cast("double") <= F.col("limit"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "text"))
+    return few.withColumn("place", place).where(F.col("place") <= docs_per_lang).select("lang", "place", F.substring("text", 1, n_bytes).alias("text"))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -227,8 +230,19 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, docs_per_lang: int = TRAIN_DOCS, n_bytes: int = TRAIN_BYTES, **columns: str) -> Model:
-    sample = training_sample(docs, docs_per_lang, n_bytes, **columns)
-    return train([t for _, t in sample], [k for k, _ in sample])
+    """The network, trained by one task on the bounded sample; only its weights come to the driver."""
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((lang, place, text) for b in batches for lang, place, text in zip(*(b[c].to_pylist() for c in ("lang", "place", "text")), strict=True))
+        if rows:
+            m = train([t for _, _, t in rows], [k for k, _, _ in rows])
+            yield pa.RecordBatch.from_arrays([pa.array([m.langs], pa.list_(pa.string())), *(pa.array([p.tobytes()], pa.binary()) for p in m.parts())], ["langs", *PARTS])
+
+    found = training_sample(docs, docs_per_lang, n_bytes, **columns).repartition(1).mapInArrow(trained, f"langs array<string>, {', '.join(f'{p} binary' for p in PARTS)}").collect()
+    if not found:
+        return train([], [])
+    langs = list(found[0].langs)
+    return Model(langs, *(np.frombuffer(found[0][p], np.float32).reshape(empty.shape) for p, empty in zip(PARTS, new_model(langs).parts(), strict=True)))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
