@@ -219,7 +219,7 @@ def ego_join(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     if named.groupBy("id").count().where("count > 1").limit(1).count():
         named = named.groupBy("id").agg(F.min("v").alias("v"))
     # Equal vectors are told by two 64-bit hashes; vectors that differ in the sign of a zero alone stay two members, and link.
-    units = unit_vectors(named, "id", "v").withColumns({"d0": F.xxhash64(F.lit(0), "unit"), "d1": F.xxhash64(F.lit(1), "unit")})
+    units = checkpointed(unit_vectors(named, "id", "v").withColumns({"d0": F.xxhash64(F.lit(0), "unit"), "d1": F.xxhash64(F.lit(1), "unit")}))
     classes = units.groupBy("d0", "d1").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     members = checkpointed(units.select("id", "d0", "d1").join(classes, ["d0", "d1"]).select("id", "rep", "copies"))
     distinct = checkpointed(units.select("id", "unit").join(members.where("id = rep").select("id", "copies"), "id").select("id", "copies", "unit"))
