@@ -27,7 +27,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import files, imaging, objects, parsed, pixels, records  # noqa: F401  they register their queries
+    from . import files, imaging, media, objects, parsed, pixels, records  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:
