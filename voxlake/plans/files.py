@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import loader
+from ..operators import anonymize, loader
 from ..sources import frames as fr
-from ..sources import part10
+from ..sources import part10, writing
 from .registry import query
 from .tables import PIXELS, frames, table
 
@@ -69,6 +69,17 @@ def file_validation(spark: SparkSession, d: str) -> DataFrame:
     return both.select("file_path", F.array_join(service, ",").alias("service"), decoder["valid"].alias("decoder_valid"), F.array_join(decoder["issues"], ",").alias("decoder"), status["valid"].alias("valid"), status["height"].cast("bigint").alias("height"))
 
 
+@query("""WITH p AS (SELECT *, lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '.dcm' AS file_path FROM part WHERE p_partkey % 50 > 3)
+SELECT file_path, path, CASE path WHEN '00100010' THEN 'ANONYMIZED' WHEN '00100020' THEN 'ANON' WHEN '00080060' THEN p_brand WHEN '00280010' THEN CAST(p_size AS VARCHAR) ELSE p_size || '|' || p_partkey END AS value FROM p, (VALUES ('00100010'), ('00100020'), ('00080060'), ('00280010'), ('00281050')) v(path)""")
+def anonymized_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files in four syntaxes without their identities, written anew and read again."""
+    whole = F.regexp_extract("file_path", r"(\d+)\.", 1).cast("int") % 50 > 3
+    rows = part10.element_rows(part10.elements(_files(spark, d))).where(whole)
+    left = anonymize.rewritten(anonymize.apply_policy(rows, anonymize.policy_table(spark)))
+    again = part10.element_rows(part10.elements(writing.files(left)))
+    return again.where("path in ('00100010', '00100020', '00080060', '00280010', '00281050')").select("file_path", "path", F.array_join("values", "|").alias("value"))
+
+
 def _images(spark: SparkSession, d: str, syntax: str, encode) -> DataFrame:
     """Two frames of 8 x 4 pixels of 16 bits from each embedding, encoded by a function of the 64 values."""
 
