@@ -2,20 +2,22 @@ from __future__ import annotations
 
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from voxlake.operators import objects
 from voxlake.sources import part10
 
 
-def _rows(spark, elements):
-    content = part10.write(elements)
+def _rows(spark, elements, syntax=part10.EXPLICIT_LE):
+    content = part10.write(elements, syntax)
     return part10.element_rows(part10.elements(spark.createDataFrame([("a.dcm", content)], "file_path string, content binary")))
 
 
-def test_beams_of_a_written_plan(spark):
+@pytest.mark.parametrize("syntax", [part10.EXPLICIT_LE, part10.IMPLICIT_LE])
+def test_beams_of_a_written_plan(spark, syntax):
     point = [(0x300A0112, "IS", "0"), (0x300A011E, "DS", "90.5"), (0x300A012C, "DS", "1\\2\\3\\4")]
-    rows = _rows(spark, [(0x300A00B0, "SQ", [[(0x300A00C0, "IS", "4"), (0x300A00C2, "LO", "first"), (0x300A0111, "SQ", [point, [(0x300A011E, "DS", "1")]])], [(0x300A00C2, "LO", "no number"), (0x300A0111, "SQ", [point])]])])
+    rows = _rows(spark, [(0x300A00B0, "SQ", [[(0x300A00C0, "IS", "4"), (0x300A00C2, "LO", "first"), (0x300A0111, "SQ", [point, [(0x300A011E, "DS", "1")]])], [(0x300A00C2, "LO", "no number"), (0x300A0111, "SQ", [point])]])], syntax)
     assert [(b.place, b.number, b.name) for b in objects.beams(rows).collect()] == [(0, 4, "first")]
     assert [(p.beam, p.point, p.gantry_angle, p.isocenter) for p in objects.control_points(rows).collect()] == [(4, 0, 90.5, [1.0, 2.0, 3.0])]
 

@@ -24,6 +24,16 @@ DICTIONARY = {
     0x00180088: "DS", 0x0020000D: "UI", 0x0020000E: "UI", 0x00200010: "SH", 0x00200011: "IS", 0x00200013: "IS", 0x00200032: "DS", 0x00200037: "DS", 0x00200052: "UI", 0x00280002: "US", 0x00280004: "CS", 0x00280006: "US", 0x00280008: "IS",
     0x00280010: "US", 0x00280011: "US", 0x00280030: "DS", 0x00280100: "US", 0x00280101: "US", 0x00280102: "US", 0x00280103: "US", 0x00281050: "DS", 0x00281051: "DS", 0x00281052: "DS", 0x00281053: "DS", 0x00400275: "SQ", 0x0040A043: "SQ",
     0x0040A040: "CS", 0x0040A160: "UT", 0x0040A168: "SQ", 0x0040A300: "SQ", 0x0040A30A: "DS", 0x0040A730: "SQ", 0x00041220: "SQ", 0x00041400: "UL", 0x00041420: "UL", 0x00041430: "CS", 0x00041500: "CS", 0x7FE00010: "OW",
+    # Directory records, codes and references.
+    0x00041130: "CS", 0x00041200: "UL", 0x00041202: "UL", 0x00041212: "US", 0x00041410: "US", 0x00041510: "UI", 0x00041511: "UI", 0x00041512: "UI", 0x00080100: "SH", 0x00080102: "SH", 0x00080104: "LO", 0x00081160: "IS", 0x00082112: "SQ", 0x00089124: "SQ",
+    # Functional groups.
+    0x00209056: "SH", 0x00209057: "UL", 0x00209111: "SQ", 0x00209113: "SQ", 0x00209116: "SQ", 0x00209128: "UL", 0x00209156: "US", 0x00209157: "UL", 0x00289110: "SQ", 0x00289145: "SQ", 0x52009229: "SQ", 0x52009230: "SQ",
+    # Segments.
+    0x00620001: "CS", 0x00620002: "SQ", 0x00620003: "SQ", 0x00620004: "US", 0x00620005: "LO", 0x00620006: "ST", 0x00620008: "CS", 0x00620009: "LO", 0x0062000A: "SQ", 0x0062000B: "US", 0x0062000D: "US", 0x0062000E: "US", 0x0062000F: "SQ", 0x00620010: "CS", 0x00620020: "UT", 0x00620021: "UI",
+    # Dose, structures and plans.
+    0x3004000C: "DS", 0x3004000E: "DS", 0x30060020: "SQ", 0x30060022: "IS", 0x30060026: "LO", 0x3006002A: "IS", 0x30060039: "SQ", 0x30060040: "SQ", 0x30060042: "CS", 0x30060046: "IS", 0x30060050: "DS", 0x30060080: "SQ", 0x30060084: "IS", 0x30060085: "SH", 0x300600A4: "CS",
+    0x300A0002: "SH", 0x300A0003: "LO", 0x300A0004: "ST", 0x300A000C: "CS", 0x300A00B0: "SQ", 0x300A00B2: "SH", 0x300A00B3: "CS", 0x300A00B4: "DS", 0x300A00C0: "IS", 0x300A00C2: "LO", 0x300A00C3: "ST", 0x300A00C4: "CS", 0x300A00C6: "CS", 0x300A0110: "IS", 0x300A0111: "SQ", 0x300A0112: "IS",
+    0x300A0114: "DS", 0x300A011E: "DS", 0x300A0120: "DS", 0x300A0122: "DS", 0x300A0125: "DS", 0x300A012C: "DS", 0x300A0134: "DS",
 }
 #: Character sets by their defined terms.
 CHARSETS = {"": "ascii", "ISO_IR 6": "ascii", "ISO_IR 100": "latin-1", "ISO_IR 101": "iso8859-2", "ISO_IR 109": "iso8859-3", "ISO_IR 110": "iso8859-4", "ISO_IR 144": "iso8859-5", "ISO_IR 127": "iso8859-6", "ISO_IR 126": "iso8859-7", "ISO_IR 138": "iso8859-8", "ISO_IR 148": "iso8859-9", "ISO_IR 13": "shift_jis", "ISO_IR 166": "tis-620", "ISO_IR 192": "utf-8", "GB18030": "gb18030", "GBK": "gbk"}
