@@ -55,3 +55,19 @@ def test_objects_without_anything(spark):
     none, no = F.lit(None).cast("int"), F.lit(None).cast("boolean")
     row = row.select("e", "f.family", objects.payload_problem(F.col("f.family"), F.col("e"), no, no, F.lit(None).cast("string"), none, none, no).alias("p")).first()
     assert tuple(row) == ("none", "classic-image", "no pixel data")
+
+
+@pytest.mark.parametrize("syntax", [part10.EXPLICIT_LE, part10.IMPLICIT_LE])
+def test_items_of_a_written_report(spark, syntax):
+    code = lambda value, scheme: [(0x00080100, "SH", value), (0x00080102, "SH", scheme)]
+    number = [(0x0040A010, "CS", "CONTAINS"), (0x0040A040, "CS", "NUM"), (0x0040A043, "SQ", [code("1", "SCT")]), (0x0040A300, "SQ", [[(0x0040A30A, "DS", "2.5"), (0x004008EA, "SQ", [code("mm", "UCUM")])]])]
+    image = [(0x0040A010, "CS", "SELECTED FROM"), (0x0040A040, "CS", "IMAGE"), (0x00081199, "SQ", [[(0x00081150, "UI", "1.2"), (0x00081155, "UI", "5")], [(0x00081150, "UI", "1.2")]])]
+    drawn = [(0x0040A040, "CS", "SCOORD"), (0x00700022, "FL", [1.0, 2.0]), (0x00700023, "CS", "POINT")]
+    report = [(0x0040A040, "CS", "CONTAINER"), (0x0040A043, "SQ", [code("126000", "DCM")]), (0x0040A730, "SQ", [number, [(0x0040A730, "SQ", [image, drawn])], [(0x0040A121, "DA", "20200101")]])]
+    items = {i.path: i for i in objects.content_items(_rows(spark, report, syntax)).collect()}
+    assert sorted(items) == ["root", "root/0", "root/1", "root/1/0", "root/1/1"]
+    assert (items["root/0"].number, tuple(items["root/0"].units), tuple(items["root"].concept)) == (2.5, ("mm", "UCUM"), ("126000", "DCM"))
+    assert items["root/1"].value_type == "CONTAINER" and items["root/1/1"].graphic_data == [1.0, 2.0]
+    assert [tuple(r) for r in items["root/1/0"].references] == [("1.2", "5"), ("1.2", None)]
+    issues = {(i.path, i.issue) for i in objects.item_issues(objects.content_items(_rows(spark, report, syntax))).collect()}
+    assert ("root/1/0.referencedSOP[1]", "missing referenced object") in issues and ("root/1", "missing relationship") in issues and not any(p.startswith("root/0") for p, _ in issues)

@@ -63,6 +63,15 @@ BEAMS, POINTS, SEGMENTS, SHARED, PER_FRAME = 0x300A00B0, 0x300A0111, 0x00620002,
 #: The least number of components of a group's vectors.
 COMPONENTS = {"spacing": 2, "position": 3, "orientation": 6}
 
+#: The sequence of content items, and their elements.
+CONTENT = "0040A730"
+ITEM = {
+    "relationship": ("0040A010", "text"), "value_type": ("0040A040", "text"), "concept_code": ("0040A043[0]/00080100", "text"), "concept_scheme": ("0040A043[0]/00080102", "text"), "text": ("0040A160", "text"),
+    "code_code": ("0040A168[0]/00080100", "text"), "code_scheme": ("0040A168[0]/00080102", "text"), "measured": ("0040A300[0]/0040A30A", "number"), "number": ("0040A30A", "number"),
+    "units_code": ("0040A300[0]/004008EA[0]/00080100", "text"), "units_scheme": ("0040A300[0]/004008EA[0]/00080102", "text"), "graphic_type": ("00700023", "text"), "graphic_data": ("00700022", "numbers"), "uid": ("0040A124", "text"),
+    "date_time": ("0040A120", "text"), "date": ("0040A121", "text"), "time": ("0040A122", "text"), "person_name": ("0040A123", "text"),
+}
+
 
 def item_rows(rows: DataFrame, sequences: tuple[int, ...], fields: dict[str, tuple[str, str]]) -> DataFrame:
     """One row per item of the nested ``sequences``: ``file_path``, ``place`` (the item's numbers, outermost first) and the ``fields``.
@@ -179,6 +188,37 @@ def capture_issues(values: dict[str, Column], clinical: Column) -> Column:
     return F.when(F.coalesce(clinical, F.lit(False)), missing).otherwise(F.array().cast("array<string>"))
 
 
+def content_items(rows: DataFrame) -> DataFrame:
+    """Element rows of reports to their content items, in the columns that ``item_issues`` takes; one row per item, with ``path`` from ``root``.
+
+    The items of a file are told apart by their place in the tree, at any depth, by one aggregation. Items without a value type that hold
+    something are containers; items with nothing are left out.
+    """
+    inside = rows.withColumns({"item": F.regexp_extract("path", rf"^((?:{CONTENT}\[\d+\]/)*)", 1), "below": F.regexp_replace("path", rf"^(?:{CONTENT}\[\d+\]/)+", "")})
+    reference = r"^00081199\[(\d+)\]/(0008115[05])$"
+    wanted = inside.where(F.col("below").isin([tag for tag, _ in ITEM.values()]) | F.col("below").rlike(reference) | (F.col("below") == CONTENT))
+    text = F.when(~_blank(F.get("values", 0)), F.get("values", 0))
+    read = {"text": text, "number": F.get("numbers", 0), "numbers": F.col("numbers")}
+    named = F.struct(F.regexp_extract("below", reference, 1).cast("int").alias("n"), F.regexp_extract("below", reference, 2).alias("tag"), text.alias("value"))
+    fields = [F.max(F.when(F.col("below") == tag, read[kind])).alias(name) for name, (tag, kind) in ITEM.items()]
+    found = wanted.groupBy("file_path", "item").agg(*fields, F.array_sort(F.collect_list(F.when(F.col("below").rlike(reference), named))).alias("named"), F.max(F.col("below") == CONTENT).alias("has_children"))
+
+    def of(place: Column, tag: str) -> Column:
+        return F.get(F.filter("named", lambda r: (r["n"] == place) & (r["tag"] == tag)), 0)["value"]
+
+    def code(name: str) -> Column:
+        there = F.col(f"{name}_code").isNotNull() | F.col(f"{name}_scheme").isNotNull()
+        return F.when(there, F.struct(F.col(f"{name}_code").alias("code"), F.col(f"{name}_scheme").alias("scheme"))).alias(name)
+
+    something = reduce(or_, (F.col(c).isNotNull() for c in ("value_type", "relationship", "text", "concept_code", "measured", "units_code"))) | (F.size("named") > 0) | F.col("has_children")
+    references = F.transform(F.array_distinct(F.transform("named", lambda r: r["n"])), lambda n: F.struct(of(n, "00081150").alias("sop_class"), of(n, "00081155").alias("sop_uid")))
+    place = F.concat(F.lit("root"), F.regexp_replace("item", rf"{CONTENT}\[(\d+)\]/", "/$1"))
+    return found.where(something).select(
+        "file_path", place.alias("path"), "relationship", F.coalesce("value_type", F.lit("CONTAINER")).alias("value_type"), code("concept"), "text", code("code"), F.coalesce("measured", "number").alias("number"), code("units"),
+        references.alias("references"), "graphic_type", F.col("graphic_data"), "uid", "date_time", "date", "time", "person_name",
+    )
+
+
 def _blank(c: Column) -> Column:
     return ~F.coalesce(c.rlike(r"[^\s\x00]"), F.lit(False))
 

@@ -26,6 +26,8 @@ DICTIONARY = {
     0x0040A040: "CS", 0x0040A160: "UT", 0x0040A168: "SQ", 0x0040A300: "SQ", 0x0040A30A: "DS", 0x0040A730: "SQ", 0x00041220: "SQ", 0x00041400: "UL", 0x00041420: "UL", 0x00041430: "CS", 0x00041500: "CS", 0x7FE00010: "OW",
     # Directory records, codes and references.
     0x00041130: "CS", 0x00041200: "UL", 0x00041202: "UL", 0x00041212: "US", 0x00041410: "US", 0x00041510: "UI", 0x00041511: "UI", 0x00041512: "UI", 0x00080100: "SH", 0x00080102: "SH", 0x00080104: "LO", 0x00081160: "IS", 0x00082112: "SQ", 0x00089124: "SQ",
+    # Content items.
+    0x00081199: "SQ", 0x004008EA: "SQ", 0x0040A010: "CS", 0x0040A120: "DT", 0x0040A121: "DA", 0x0040A122: "TM", 0x0040A123: "PN", 0x0040A124: "UI", 0x00700022: "FL", 0x00700023: "CS",
     # Functional groups.
     0x00209056: "SH", 0x00209057: "UL", 0x00209111: "SQ", 0x00209113: "SQ", 0x00209116: "SQ", 0x00209128: "UL", 0x00209156: "US", 0x00209157: "UL", 0x00289110: "SQ", 0x00289145: "SQ", 0x52009229: "SQ", 0x52009230: "SQ",
     # Segments.
