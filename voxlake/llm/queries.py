@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ego_join, exact_dedup, jaccard_join, language_id, license_scan, mixing, pii_surrogates, suffix_dedup, token_rollup
+from . import bpe, ego_join, exact_dedup, jaccard_join, language_id, license_scan, mixing, pii_surrogates, spelling, suffix_dedup, token_rollup
 from .common import documents, shared_folder
 
 
@@ -64,6 +64,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
 #: Keep and group by the normalised text; DuckDB has no fixed-width classes to escape here, the characters are listed.
 _OP10_SQL = r"""
 WITH d AS (
@@ -87,8 +91,8 @@ FROM d WHERE tenth <> 0 GROUP BY ALL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_pii_surrogates, op3_suffix_dedup, op4_mixing, op5_token_rollup, op6_language_id, op7_jaccard_join, op8_ego_join, op9_bpe, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_pii_surrogates, op3_suffix_dedup, op4_mixing, op5_token_rollup, op6_language_id, op7_jaccard_join, op8_ego_join, op9_bpe, op10_exact_dedup, op11_spelling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.license_sql(), "op5_token_rollup": _OP5_SQL, "op4_mixing": mixing.mixing_sql(), "op10_exact_dedup": _OP10_SQL}
+    return {"op1_license_scan": license_scan.license_sql(), "op5_token_rollup": _OP5_SQL, "op4_mixing": mixing.mixing_sql(), "op10_exact_dedup": _OP10_SQL, "op11_spelling": spelling.SPELLING_SQL}
