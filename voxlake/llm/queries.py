@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ego_join, exact_dedup, jaccard_join, language_id, license_scan, mixing, pii_surrogates, spelling, suffix_dedup, token_rollup
+from . import bpe, divergence, ego_join, exact_dedup, jaccard_join, language_id, license_scan, mixing, pii_surrogates, spelling, suffix_dedup, token_rollup, warc
 from .common import documents, shared_folder
 
 
@@ -68,6 +68,14 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(documents(spark, sf_dir))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(documents(spark, sf_dir))
+
+
 #: Keep and group by the normalised text; DuckDB has no fixed-width classes to escape here, the characters are listed.
 _OP10_SQL = r"""
 WITH d AS (
@@ -91,8 +99,8 @@ FROM d WHERE tenth <> 0 GROUP BY ALL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_pii_surrogates, op3_suffix_dedup, op4_mixing, op5_token_rollup, op6_language_id, op7_jaccard_join, op8_ego_join, op9_bpe, op10_exact_dedup, op11_spelling)}
+    return {f.__name__: f for f in (op1_license_scan, op2_pii_surrogates, op3_suffix_dedup, op4_mixing, op5_token_rollup, op6_language_id, op7_jaccard_join, op8_ego_join, op9_bpe, op10_exact_dedup, op11_spelling, op12_warc, op13_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.license_sql(), "op5_token_rollup": _OP5_SQL, "op4_mixing": mixing.mixing_sql(), "op10_exact_dedup": _OP10_SQL, "op11_spelling": spelling.SPELLING_SQL}
+    return {"op1_license_scan": license_scan.license_sql(), "op5_token_rollup": _OP5_SQL, "op4_mixing": mixing.mixing_sql(), "op10_exact_dedup": _OP10_SQL, "op11_spelling": spelling.SPELLING_SQL, "op12_warc": warc.WARC_SQL, "op13_divergence": divergence.DIVERGENCE_SQL}
