@@ -54,26 +54,25 @@ def _halves(word: Column, size: Column, shorter: Column) -> tuple[Column, Column
 
 def _keys(words: DataFrame, shorter: Column) -> DataFrame:
     """A row for each band and half, as one hash: what collides is told apart by the verification."""
-    start, end = _halves(F.col("word"), F.col("size"), shorter)
-    keys = [F.struct(F.xxhash64(F.lit(k), _band(F.col("mask"), k), shorter, F.lit(side), half).alias("key"), F.lit(k).alias("band"), F.lit(side).alias("side")) for k in range(BANDS) for side, half in ((0, start), (1, end))]
-    return words.select("word", "n", "size", "mask", F.inline(F.array(*keys)))
+    start, end = _halves(F.col("word"), F.char_length("word"), shorter)
+    keys = [F.struct(F.xxhash64(F.lit(k), _band(F.col("mask"), k), shorter, F.lit(side), half).alias("key"), F.lit(2 * k + side).alias("place")) for k in range(BANDS) for side, half in ((0, start), (1, end))]
+    return words.select("word", "n", "mask", F.inline(F.array(*keys)))
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b): each pair of words of (word, n) exactly one edit apart, once; the longer or else the greater word is b."""
-    words = words.select("word", "n", F.char_length("word").alias("size"), parity_mask(F.col("word")).alias("mask"))
-    size = F.col("size")
-    a = _keys(words, size).select("key", *(F.col(c).alias(f"{c}_a") for c in ("word", "n", "size", "mask", "band", "side")))
-    b = _keys(words, size).unionByName(_keys(words, size - 1)).select("key", *(F.col(c).alias(f"{c}_b") for c in ("word", "n", "size", "mask", "band", "side")))
+    words = words.select("word", "n", parity_mask(F.col("word")).alias("mask"))
+    columns = ("word", "n", "mask", "place")
+    a = _keys(words, F.char_length("word")).select("key", *(F.col(c).alias(f"{c}_a") for c in columns))
+    b = _keys(words, F.char_length("word")).unionByName(_keys(words, F.char_length("word") - 1)).select("key", *(F.col(c).alias(f"{c}_b") for c in columns))
+    size_a, size_b = F.char_length("word_a"), F.char_length("word_b")
     flips = F.col("mask_a").bitwiseXOR(F.col("mask_b"))
-    later = (F.col("size_b") > F.col("size_a")) | (F.col("size_b") == F.col("size_a")) & (F.col("word_b") > F.col("word_a"))
+    later = (size_b > size_a) | (size_b == size_a) & (F.col("word_b") > F.col("word_a"))
     # A pair is taken at its first equal band and, where both halves are the same, at the first of them.
-    first_band = F.when(_band(flips, 0) == 0, 0).when(_band(flips, 1) == 0, 1).otherwise(2)
-    start_a, start_b = (_halves(F.col(f"word_{x}"), F.col(f"size_{x}"), F.col("size_a"))[0] for x in "ab")
-    return a.join(b, "key").where(
-        (F.col("band_a") == F.col("band_b")) & (F.col("side_a") == F.col("side_b")) & (F.col("size_b") - F.col("size_a")).between(0, 1) & later & (F.bit_count(flips) <= 2) & (F.col("band_a") == first_band)
-        & ((F.col("side_a") == 0) | (start_a != start_b)) & (F.levenshtein("word_a", "word_b", 1) == 1)
-    ).select(F.col("word_a").alias("a"), F.col("word_b").alias("b"), "n_a", "n_b")
+    start_a, start_b = (_halves(F.col(f"word_{x}"), F.lit(0), size_a)[0] for x in "ab")
+    first = F.when(_band(flips, 0) == 0, 0).when(_band(flips, 1) == 0, 2).otherwise(4) + F.when(start_a == start_b, 0).otherwise(1)
+    near = (F.bit_count(flips) <= 2) & (size_b - size_a).between(0, 1) & later & (F.col("place_a") == F.col("place_b")) & (F.col("place_a") == first) & (F.levenshtein("word_a", "word_b", 1) == 1)
+    return a.join(b, "key").where(near).select(F.col("word_a").alias("a"), F.col("word_b").alias("b"), "n_a", "n_b")
 
 
 def with_forms(words: DataFrame, times: int) -> DataFrame:
