@@ -9,6 +9,7 @@ from collections import Counter
 
 import pyarrow.fs
 import pytest
+from pyspark.sql import functions as F
 
 from voxlake.llm import warc
 from voxlake.llm.common import shared_folder
@@ -58,9 +59,9 @@ def test_groups_that_are_not_broadcast(spark, pages, monkeypatch):
 
 
 def test_archives_are_gzip_members_that_any_reader_can_read(spark, pages):
-    manifest = warc.write_archives(warc.captures_to_write(frame(spark, pages)), shared_folder(spark, "warc-test")).collect()
-    assert sum(r.records for r in manifest) == len(pages)
-    for r in manifest:
+    captures = warc.write_archives(warc.captures_to_write(frame(spark, pages)), shared_folder(spark, "warc-test"))
+    assert captures.count() == len(pages) and Counter(map(tuple, captures.collect())) == Counter(map(tuple, warc.read_archives(captures).collect()))
+    for r in captures.groupBy("archive").agg(F.count("*").alias("records"), F.sum("length").alias("bytes")).collect():
         fs, path = pyarrow.fs.FileSystem.from_uri(r.archive)
         data = fs.open_input_file(path).read()
         assert len(data) == r.bytes and gzip.decompress(data).count(b"WARC/1.1\r\nWARC-Type: ") == r.records

@@ -141,37 +141,43 @@ def parsed_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block
 
 
+def _row(kind: str, record_id: str, url: str, payload_bytes: int | None, digest: str, refers_to: str | None, refers_to_url: str | None) -> tuple:
+    """What is known of a record, after its archive, offset and length."""
+    return kind, record_id, url, reversed_host(url), payload_bytes, digest, refers_to, None if refers_to_url is None else reversed_host(refers_to_url)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "bigint": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(_FIELDS)], [name for name, _ in _FIELDS])
+
+
 def write_archives(captures: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """Writes the captures into archives in ``folder``, one or more a task; (archive, bytes, records) of each archive."""
+    """Writes the captures into archives in ``folder``, one or more a task; a row per record: where it lies, and what it is."""
     folder = _addressed(folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        address, file, size, n = "", None, 0, 0
-
-        def closed() -> pa.RecordBatch:
-            file.close()
-            return pa.RecordBatch.from_arrays([pa.array([address]), pa.array([size]), pa.array([n])], ["archive", "bytes", "records"])
-
+        address, file = "", None
         try:
             for batch in batches:
+                rows = []
                 for kind, record_id, url, digest, payload, refers_to, refers_to_url in zip(*(batch[c] for c in ("type", "record_id", "url", "digest", "payload", "refers_to", "refers_to_url")), strict=True):
                     if file is None:
-                        (address, file), size, n = _created(folder, ".warc.gz"), 0, 0
+                        address, file = _created(folder, ".warc.gz")
+                    kind, record_id, url, digest, refers_to, refers_to_url = (x.as_py() for x in (kind, record_id, url, digest, refers_to, refers_to_url))
                     text = payload.as_py()
-                    member = _packed(record_bytes(kind.as_py(), record_id.as_py(), url.as_py(), digest.as_py(), None if text is None else text.encode(), refers_to.as_py(), refers_to_url.as_py(), date))
+                    content = None if text is None else text.encode()
+                    member = _packed(record_bytes(kind, record_id, url, digest, content, refers_to, refers_to_url, date))
+                    rows.append((address, file.tell(), len(member), *_row(kind, record_id, url, None if kind == "revisit" else len(content or b""), digest, refers_to, refers_to_url)))
                     file.write(member)
-                    size, n = size + len(member), n + 1
-                    if size >= ARCHIVE_BYTES:
-                        yield closed()
+                    if file.tell() >= ARCHIVE_BYTES:
+                        file.close()
                         file = None
-            if file is not None:
-                yield closed()
-                file = None
+                yield _rows(rows)
         finally:
             if file is not None:
                 file.close()
 
-    return _written(captures.mapInArrow(write, "archive string, bytes bigint, records bigint"), "warc-manifest")
+    return _written(captures.mapInArrow(write, RECORD), "warc-captures")
 
 
 def _streamed(address: str) -> pa.NativeFile:
@@ -199,23 +205,15 @@ def _members(file: pa.NativeFile) -> Iterator[tuple[int, int, bytes]]:
         raise ValueError("an archive ends within a record")
 
 
-def _record_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"string": pa.string(), "bigint": pa.int64()}
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(_FIELDS)], [name for name, _ in _FIELDS])
-
-
-def _record_row(archive: str, offset: int, length: int, data: bytes) -> tuple:
-    """What a record says. A response's length and digest are those of the payload that is there; a revisit has the digest of its header and no length."""
-    headers, payload = parsed_record(data)
-    kind, url = headers["warc-type"], headers.get("warc-target-uri", "")
-    stored = kind != "revisit"
+def _told(headers: dict[str, str], payload: bytes) -> tuple:
+    """What a record itself says. A response's length and digest are those of the payload that is there; a revisit has the digest of its header and no length."""
+    stored = headers["warc-type"] != "revisit"
     digest = hashlib.sha256(payload).hexdigest() if stored else headers.get("warc-payload-digest", "").removeprefix("sha256:")
-    referred = headers.get("warc-refers-to-target-uri")
-    return archive, offset, length, kind, headers["warc-record-id"], url, reversed_host(url), len(payload) if stored else None, digest, headers.get("warc-refers-to"), None if referred is None else reversed_host(referred)
+    return _row(headers["warc-type"], headers["warc-record-id"], headers.get("warc-target-uri", ""), len(payload) if stored else None, digest, headers.get("warc-refers-to"), headers.get("warc-refers-to-target-uri"))
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """A row per record of the archives named in ``archive``, each read from start to end by one task."""
+    """A row per record of the archives named in ``archive``, each read from start to end by one task: for archives that have no index."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,13 +221,14 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 rows: list[tuple] = []
                 with _streamed(address) as file:
                     for offset, length, data in _members(file):
-                        rows.append(_record_row(address, offset, length, data))
+                        rows.append((address, offset, length, *_told(*parsed_record(data))))
                         if len(rows) == 1000:
-                            yield _record_rows(rows)
+                            yield _rows(rows)
                             rows = []
-                yield _record_rows(rows)
+                yield _rows(rows)
 
-    return archives.select("archive").repartition(max(1, archives.count())).mapInArrow(read, RECORD)
+    named = archives.select("archive").distinct()
+    return named.repartition(max(1, named.count())).mapInArrow(read, RECORD)
 
 
 # Index
@@ -379,8 +378,8 @@ def payloads(found: DataFrame) -> DataFrame:
 def archived_pages(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_SHARED) -> DataFrame:
     """Writes the pages into archives, indexes and reads them back; one row per page: ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
 
-    Rows come from the records read back. What a revisit refers to is found by the index and read by its range, once however many
-    revisit it; length and digest are those of that payload. The payload is the html in UTF-8, null an empty one. Of equal payloads of ``least`` bytes
+    Rows come from the records read back: each is found by the index and read by its range. What a revisit refers to is found and read likewise,
+    once however many revisit it; length and digest are those of that payload. The payload is the html in UTF-8, null an empty one. Of equal payloads of ``least`` bytes
     or more the smallest id is the response; rows that repeat this id are responses too; a null id comes last and is never referred
     to; where all ids of equal payloads are null, all are responses. Null URLs are empty ones; controls and blanks in URLs become
     percent codes. Other columns are not read; a text may have any length that a task's memory holds a few times; an empty table gives an empty result.
@@ -388,17 +387,17 @@ def archived_pages(pages: DataFrame, folder: str | None = None, id_col: str = "p
     spark = pages.sparkSession
     small_arrow_batches(spark)
     folder = folder or shared_folder(spark, "warc")
-    archives = write_archives(captures_to_write(pages, id_col, url_col, html_col, least), f"{folder}/archives")
-    records = _written(read_archives(archives), "warc-records")
-    revisits = records.where("type = 'revisit'")
+    captures = write_archives(captures_to_write(pages, id_col, url_col, html_col, least), f"{folder}/archives")
+    index = write_index(captures, f"{folder}/index")
+    own = ", ".join(f"own_{name} {kind}" for name, kind in _FIELDS[3:])
+    read = _written(fetched(look_up(index, captures), _told, own).select(*(F.col(f"own_{name}").alias(name) for name, _ in _FIELDS[3:])), "warc-read")
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d*)>$", 1).try_cast("bigint")
-    told = records.where("type <> 'revisit'").select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.lit(None).cast("bigint").alias("refers_to"))
+    revisits = read.where("type = 'revisit'")
+    told = read.where("type <> 'revisit'").select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.lit(None).cast("bigint").alias("refers_to"))
     if not revisits.limit(1).count():
         return told
-    index = write_index(records.where("type <> 'revisit'"), f"{folder}/index")
-    found = look_up(index, revisits.select(F.col("refers_to_key").alias("key"), F.col("refers_to").alias("record_id")))
-    read = fetched(found, lambda headers, payload: (len(payload), hashlib.sha256(payload).hexdigest()), "n_bytes bigint, digest string")
-    full = read.select(F.col("record_id").alias("refers_to"), F.col("digest").alias("payload_digest"), F.col("n_bytes").alias("payload_bytes")).distinct()
+    found = look_up(index, revisits.select(F.col("refers_to_key").alias("key"), F.col("refers_to").alias("record_id"))).where("type <> 'revisit'")
+    full = fetched(found, _told, own).select(F.col("own_record_id").alias("refers_to"), F.col("own_payload_digest").alias("payload_digest"), F.col("own_payload_bytes").alias("payload_bytes")).distinct()
     again = revisits.select("record_id", "refers_to", "payload_digest").join(full, ["refers_to", "payload_digest"], "left")
     return told.unionByName(again.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), page("refers_to").alias("refers_to")))
 
