@@ -254,11 +254,6 @@ def test_syntax_plans(spark):
     assert len({s[0] for s in syntaxes.SYNTAXES}) == 36
 
 
-def test_volumes_beyond_their_bound_are_not_gathered(spark):
-    s = spark.createDataFrame([("a", 1, [1, 2]), ("a", 0, [3]), ("b", 0, [1, 2, 3, 4])], "series_uid string, slice_index int, voxels array<int>")
-    assert {r.series_uid: (r.slices, r.size, r.volume) for r in loader.volumes(s, 3).collect()} == {"a": (2, 3, [3, 1, 2]), "b": (1, 4, None)}
-
-
 def test_json_of_nested_sequences(spark):
     rows = [("f", "0040A730", None, 0, 0x0040A730, "SQ", None, None), ("f", "00080005", None, 0, 0x00080005, "CS", ["ISO/100", 'a"b'], None)]
     out = elements.json_documents(spark.createDataFrame(rows, "file_path string, path string, parent string, depth int, tag int, vr string, values array<string>, binary binary")).first().json

@@ -57,21 +57,3 @@ def modality_slices(slices: DataFrame, pixels: str = "pixels") -> DataFrame:
 def intensity_ranges(slices: DataFrame, series: str = "series_uid") -> DataFrame:
     """Least and greatest voxel of each series, from each slice's own before the shuffle."""
     return slices.select(series, F.array_min("voxels").alias("low"), F.array_max("voxels").alias("high")).groupBy(series).agg(F.min("low").alias("low"), F.max("high").alias("high"))
-
-
-def volumes(slices: DataFrame, most_voxels: int, series: str = "series_uid", order: str = "slice_index", voxels: str = "voxels") -> DataFrame:
-    """One row per series: ``slices``, ``size`` and the ``volume``, its slices' voxels one after the other.
-
-    A series of more than ``most_voxels`` is not gathered: its volume is null, and its slices stay rows of the input.
-    """
-    sizes = slices.groupBy(series).agg(F.count("*").alias("slices"), F.sum(F.size(voxels)).alias("size"))
-    small = slices.join(sizes.where(F.col("size") <= most_voxels).select(series), series, "left_semi")
-    gathered = small.groupBy(series).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, voxels))), lambda s: s[voxels])).alias("volume"))
-    return sizes.join(gathered, series, "left")
-
-
-def scalar_volumes(frames: DataFrame, volume: str = "volume", order: str = "frame", values: str = "pixels", physical: str = "physical", units: str = "units") -> DataFrame:
-    """Frames of parametric maps to one row per volume: values in order, physical ones only if every frame has them, units only if all agree."""
-    gathered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(values).alias("v"), F.col(physical).alias("p"))))
-    rows = frames.groupBy(volume).agg(gathered.alias("f"), F.count("*").alias("frames"), F.count(physical).alias("n"), F.min(units).alias("least"), F.max(units).alias("most"))
-    return rows.select(volume, "frames", F.flatten(F.transform("f", lambda x: x["v"])).alias("values"), F.when(F.col("n") == F.col("frames"), F.flatten(F.transform("f", lambda x: x["p"]))).alias("physical"), F.when(F.col("least") == F.col("most"), F.col("least")).alias("units"))

@@ -3,16 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir``; only where that is unset, as in tests, to an own folder."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+def checkpoint_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only where that is unset, as in tests, an own folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="voxlake-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all tasks reach."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, which cuts its plan."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -56,28 +56,28 @@ def group_by_date(spark: SparkSession, d: str) -> DataFrame:
     return catalog.group_by_date(o, F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderdate")))
 
 
-@query("SELECT o_orderkey, o_orderdate FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate END AS o_orderdate FROM orders) ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 200")
+@query("SELECT o_orderkey, o_orderdate FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate END AS o_orderdate FROM orders) ORDER BY o_orderdate DESC NULLS LAST, o_orderkey")
 def newest_first(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")).alias("o_orderdate"))
-    return search.by_date_newest(o, "o_orderdate", "o_orderkey").limit(200)
+    return search.by_date_newest(o, "o_orderdate", "o_orderkey")
 
 
-@query(f"WITH {INSTANCES} SELECT patient_name, study_date, study_uid, series_uid, instance_number, sop_uid FROM inst ORDER BY patient_name, study_date, study_uid, series_uid, lpad(CAST(instance_number AS VARCHAR), 8, '0'), sop_uid LIMIT 300")
+@query(f"WITH {INSTANCES} SELECT patient_name, study_date, study_uid, series_uid, instance_number, sop_uid FROM inst ORDER BY patient_name, study_date, study_uid, series_uid, lpad(CAST(instance_number AS VARCHAR), 8, '0'), sop_uid")
 def catalog_order(spark: SparkSession, d: str) -> DataFrame:
     rows = instances(spark, d).withColumn("file_path", F.col("sop_uid"))
-    return rows.orderBy(*catalog.catalog_order()).select("patient_name", "study_date", "study_uid", "series_uid", "instance_number", "sop_uid").limit(300)
+    return rows.orderBy(*catalog.catalog_order()).select("patient_name", "study_date", "study_uid", "series_uid", "instance_number", "sop_uid")
 
 
 @query("SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS position FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate END AS o_orderdate FROM orders)")
 def newest_first_whole(spark: SparkSession, d: str) -> DataFrame:
-    """All orders with their places; ``newest_first`` has the first page."""
+    """All orders with their places in the order of ``newest_first``."""
     o = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")).alias("o_orderdate"))
     return search.numbered(search.by_date_newest(o, "o_orderdate", "o_orderkey"))
 
 
 @query(f"WITH {INSTANCES} SELECT patient_name, study_date, study_uid, series_uid, instance_number, sop_uid, row_number() OVER (ORDER BY patient_name, study_date, study_uid, series_uid, lpad(CAST(instance_number AS VARCHAR), 8, '0'), sop_uid) AS position FROM inst")
 def catalog_order_whole(spark: SparkSession, d: str) -> DataFrame:
-    """All instances with their places; ``catalog_order`` has the first page."""
+    """All instances with their places in ``catalog_order``."""
     rows = instances(spark, d).withColumn("file_path", F.col("sop_uid"))
     return search.numbered(rows.orderBy(*catalog.catalog_order()).select("patient_name", "study_date", "study_uid", "series_uid", "instance_number", "sop_uid"))
 
@@ -160,10 +160,10 @@ def slice_consistency(spark: SparkSession, d: str) -> DataFrame:
     return c.select("l_orderkey", F.array_join("inconsistent", ",").alias("inconsistent"))
 
 
-@query("SELECT l_orderkey, CAST(split_part(w, '|', 3) AS DOUBLE) AS center, CAST(split_part(w, '|', 4) AS DOUBLE) AS width FROM (SELECT l_orderkey, min(lpad(CAST(l_linenumber AS VARCHAR), 3, '0') || '|' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') || '|' || CAST(l_quantity AS VARCHAR) || '|' || CAST(l_tax AS VARCHAR)) AS w FROM lineitem WHERE l_linenumber > 1 GROUP BY l_orderkey)")
+@query("SELECT l_orderkey, CAST(split_part(w, '|', 3) AS DOUBLE) AS center, CAST(split_part(w, '|', 4) AS DOUBLE) AS width FROM (SELECT l_orderkey, min(lpad(CAST(l_linenumber AS VARCHAR), 3, '0') || '|' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') || '|' || CAST(l_quantity AS VARCHAR) || '|' || CAST(l_tax AS VARCHAR)) AS w FROM (SELECT *, CASE WHEN l_linenumber > 1 THEN l_quantity END AS center FROM lineitem) WHERE center IS NOT NULL AND l_tax IS NOT NULL GROUP BY l_orderkey)")
 def first_window(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "lineitem").where("l_linenumber > 1").withColumns({"k1": F.lpad(F.col("l_linenumber").cast("string"), 3, "0"), "k2": F.lpad(F.col("l_partkey").cast("string"), 9, "0"), "k3": F.col("l_quantity").cast("string"), "k4": F.col("l_tax").cast("string")})
-    return slices.first_window(s, "l_orderkey", ("k1", "k2", "k3", "k4"), "l_quantity", "l_tax")
+    s = table(spark, d, "lineitem").withColumns({"center": F.when(F.col("l_linenumber") > 1, F.col("l_quantity")), "k1": F.lpad(F.col("l_linenumber").cast("string"), 3, "0"), "k2": F.lpad(F.col("l_partkey").cast("string"), 9, "0"), "k3": F.col("l_quantity").cast("string"), "k4": F.col("l_tax").cast("string")})
+    return slices.first_window(s, "l_orderkey", ("k1", "k2", "k3", "k4"), "center", "l_tax")
 
 
 @query("SELECT event_id, coalesce(lag(event_id) OVER w, event_id) AS previous, coalesce(lead(event_id) OVER w, event_id) AS next FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
@@ -239,15 +239,15 @@ def structure_set(spark: SparkSession, d: str) -> DataFrame:
     return links.structures(rois, contours, observations).select("s_suppkey", "n_name", "r_name")
 
 
-@query("SELECT doc_id FROM labels UNION ALL SELECT DISTINCT doc_id FROM documents WHERE doc_id % 5 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT doc_id FROM labels UNION ALL SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def key_references(spark: SparkSession, d: str) -> DataFrame:
-    return links.key_references(table(spark, d, "labels"), table(spark, d, "documents").where("doc_id % 5 = 0"), ["doc_id"])
+    return links.key_references(table(spark, d, "labels"), table(spark, d, "documents"), ["doc_id"])
 
 
-@query("SELECT doc_id FROM labels UNION ALL SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM labels UNION ALL SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) GROUP BY doc_id")
 def key_references_whole(spark: SparkSession, d: str) -> DataFrame:
-    """References of all documents; ``key_references`` has a fifth of them."""
-    return links.key_references(table(spark, d, "labels"), table(spark, d, "documents"), ["doc_id"])
+    """How often each document is referred to."""
+    return key_references(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT s_suppkey, n_nationkey, CAST(list_sum([CASE WHEN i % 2 = 0 THEN s_suppkey ELSE 0 END FOR i IN range(9)]) AS BIGINT) AS total FROM supplier JOIN nation ON s_nationkey = n_nationkey")

@@ -91,36 +91,6 @@ def loader_support(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", reason.alias("reason"), image.alias("image"))
 
 
-_VOXELS = f"WITH {PIXELS}, vx AS (SELECT image_id % 50 AS series, image_id, place, CAST(greatest(least(sign(value * 1.5 - 2000) * floor(abs(value * 1.5 - 2000) + 0.5), 32767), -32768) AS INT) AS v FROM px)"
-
-
-def _slices(spark: SparkSession, d: str) -> DataFrame:
-    s = frames(spark, d).select((F.col("image_id") % 50).alias("series_uid"), F.col("image_id").alias("slice_index"), "pixels", F.lit(1.5).alias("slope"), F.lit(-2000.0).alias("intercept"))
-    return loader.modality_slices(s)
-
-
-@query(f"{_VOXELS} SELECT series, min(v) AS low, max(v) AS high FROM vx GROUP BY series")
-def volume_ranges(spark: SparkSession, d: str) -> DataFrame:
-    return loader.intensity_ranges(_slices(spark, d)).withColumnRenamed("series_uid", "series")
-
-
-@query(f"""{_VOXELS}, n AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY image_id, place) AS i FROM vx)
-SELECT series, count(DISTINCT image_id) AS slices, count(*) AS size, CASE WHEN count(*) <= 1000000 THEN CAST(sum(CAST(v AS BIGINT) * i) AS BIGINT) END AS mark FROM n GROUP BY series""")
-def volume_assembly(spark: SparkSession, d: str) -> DataFrame:
-    v = loader.volumes(_slices(spark, d), 1_000_000)
-    mark = F.aggregate(F.transform("volume", lambda x, i: x.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return v.select(F.col("series_uid").alias("series"), "slices", "size", mark.alias("mark"))
-
-
-@query(f"""WITH {PIXELS}, f AS (SELECT image_id, image_id % 20 AS volume, list(value ORDER BY place) AS v, CASE WHEN image_id % 40 <> 7 THEN 1 END AS p, CASE WHEN image_id % 20 = 3 AND image_id % 40 = 3 THEN 'b' ELSE 'a' END AS u FROM px GROUP BY image_id)
-SELECT volume, count(*) AS frames, CAST(sum(len(v)) AS BIGINT) AS n, CASE WHEN count(p) = count(*) THEN CAST(sum(len(v)) AS BIGINT) END AS n_physical, CASE WHEN min(u) = max(u) THEN min(u) END AS units FROM f GROUP BY volume""")
-def parametric_volumes(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("image_id")
-    f = frames(spark, d).select((k % 20).alias("volume"), k.alias("frame"), "pixels", F.when(k % 40 != 7, F.transform("pixels", lambda p: p * 0.5)).alias("physical"), F.when((k % 20 == 3) & (k % 40 == 3), "b").otherwise("a").alias("units"))
-    v = loader.scalar_volumes(f)
-    return v.select("volume", "frames", F.size("values").cast("bigint").alias("n"), F.size("physical").cast("bigint").alias("n_physical"), "units").withColumn("n_physical", F.when(F.col("n_physical") >= 0, F.col("n_physical")))
-
-
 @query("""SELECT c_custkey, '1048592=X|' || '1048608=' || c_custkey || '|2097165=1.2' AS edited, '524384,1048592,1048608,2097165' AS tags, 2 AS vm, concat_ws('|', 'a', 'b', c_mktsegment) AS refs, c_custkey % 2 = 0 AS same, coalesce(CASE WHEN c_custkey % 3 = 0 THEN 'own' END, 'shared') AS spacing, 'shared' AS orientation,
   CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END AS hits, contains(c_mktsegment, 'BUILD') OR c_custkey % 5 = 0 AS cad FROM customer""")
 def data_set_edits(spark: SparkSession, d: str) -> DataFrame:

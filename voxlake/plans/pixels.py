@@ -86,19 +86,20 @@ def window_level(spark: SparkSession, d: str) -> DataFrame:
     return pixels(spark, d).select("image_id", "place", nm.window_level(F.col("value"), c, w).alias("grey"), nm.display_value(F.col("value").cast("double"), c, w, F.lit(True)).alias("shown"))
 
 
-@query(f"""SELECT {", ".join(_KEYS)}, CASE WHEN abs(-600 - c) <= 50 AND abs(1500 - w) <= 50 THEN 'Lung' WHEN abs(400 - c) <= 50 AND abs(1800 - w) <= 50 THEN 'Bone' WHEN abs(50 - c) <= 50 AND abs(350 - w) <= 50 THEN 'Soft Tissue' WHEN abs(40 - c) <= 50 AND abs(80 - w) <= 50 THEN 'Brain'
-  WHEN abs(120 - c) <= 50 AND abs(200 - w) <= 50 THEN 'Liver' WHEN abs(60 - c) <= 50 AND abs(400 - w) <= 50 THEN 'Abdomen' WHEN abs(50 - c) <= 50 AND abs(250 - w) <= 50 THEN 'Spine' WHEN abs(40 - c) <= 50 AND abs(400 - w) <= 50 THEN 'Pelvis' END AS preset FROM (SELECT *, q * 2 AS c, floor(e / 100) AS w FROM ({_L})) WHERE w <= 450 AND c <= 95""")
+_PRESETS = f"""SELECT {", ".join(_KEYS)}, CASE WHEN abs(-600 - c) <= 50 AND abs(1500 - w) <= 50 THEN 'Lung' WHEN abs(400 - c) <= 50 AND abs(1800 - w) <= 50 THEN 'Bone' WHEN abs(50 - c) <= 50 AND abs(350 - w) <= 50 THEN 'Soft Tissue' WHEN abs(40 - c) <= 50 AND abs(80 - w) <= 50 THEN 'Brain' WHEN abs(120 - c) <= 50 AND abs(200 - w) <= 50 THEN 'Liver'
+  WHEN abs(0 - c) <= 50 AND abs(4096 - w) <= 50 THEN 'Custom' WHEN abs(50 - c) <= 50 AND abs(350 - w) <= 50 THEN 'Mediastinum' WHEN abs(60 - c) <= 50 AND abs(400 - w) <= 50 THEN 'Abdomen' WHEN abs(50 - c) <= 50 AND abs(250 - w) <= 50 THEN 'Spine' WHEN abs(40 - c) <= 50 AND abs(400 - w) <= 50 THEN 'Pelvis' WHEN abs(300 - c) <= 50 AND abs(600 - w) <= 50 THEN 'Angiography' WHEN abs(100 - c) <= 50 AND abs(500 - w) <= 50 THEN 'Pulmonary Embolism' WHEN abs(2000 - c) <= 50 AND abs(4000 - w) <= 50 THEN 'Mammography' WHEN abs(2500 - c) <= 50 AND abs(5000 - w) <= 50 THEN 'PET Scan' END AS preset FROM (SELECT *, q * 2 AS c, floor(e / 100) AS w FROM ({_L}))"""
+
+
+@query(_PRESETS)
 def preset_lookup(spark: SparkSession, d: str) -> DataFrame:
-    r = _lines(spark, d).withColumns({"c": F.col("q") * 2, "w": F.floor(F.col("e") / 100).cast("double")}).where("w <= 450 and c <= 95")
+    r = _lines(spark, d).withColumns({"c": F.col("q") * 2, "w": F.floor(F.col("e") / 100).cast("double")})
     return r.select(*_KEYS, nm.preset_near(F.col("c"), F.col("w")).alias("preset"))
 
 
-@query(f"""SELECT {", ".join(_KEYS)}, CASE WHEN abs(-600 - c) <= 50 AND abs(1500 - w) <= 50 THEN 'Lung' WHEN abs(400 - c) <= 50 AND abs(1800 - w) <= 50 THEN 'Bone' WHEN abs(50 - c) <= 50 AND abs(350 - w) <= 50 THEN 'Soft Tissue' WHEN abs(40 - c) <= 50 AND abs(80 - w) <= 50 THEN 'Brain' WHEN abs(120 - c) <= 50 AND abs(200 - w) <= 50 THEN 'Liver'
-  WHEN abs(0 - c) <= 50 AND abs(4096 - w) <= 50 THEN 'Custom' WHEN abs(50 - c) <= 50 AND abs(350 - w) <= 50 THEN 'Mediastinum' WHEN abs(60 - c) <= 50 AND abs(400 - w) <= 50 THEN 'Abdomen' WHEN abs(50 - c) <= 50 AND abs(250 - w) <= 50 THEN 'Spine' WHEN abs(40 - c) <= 50 AND abs(400 - w) <= 50 THEN 'Pelvis' WHEN abs(300 - c) <= 50 AND abs(600 - w) <= 50 THEN 'Angiography' WHEN abs(100 - c) <= 50 AND abs(500 - w) <= 50 THEN 'Pulmonary Embolism' WHEN abs(2000 - c) <= 50 AND abs(4000 - w) <= 50 THEN 'Mammography' WHEN abs(2500 - c) <= 50 AND abs(5000 - w) <= 50 THEN 'PET Scan' END AS preset FROM (SELECT *, q * 2 AS c, floor(e / 100) AS w FROM ({_L}))""")
+@query(f"""SELECT preset, count(*) AS n FROM ({_PRESETS}) GROUP BY preset""")
 def preset_lookup_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Every line with its preset, or null; ``preset_lookup`` has the lines of narrow windows alone."""
-    r = _lines(spark, d).withColumns({"c": F.col("q") * 2, "w": F.floor(F.col("e") / 100).cast("double")})
-    return r.select(*_KEYS, nm.preset_near(F.col("c"), F.col("w")).alias("preset"))
+    """How many lines have each preset, or none."""
+    return preset_lookup(spark, d).groupBy("preset").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN CASE WHEN contains(lower(p_name), 'a') THEN 'Lung,Mediastinum,Bone,Soft Tissue' ELSE 'Soft Tissue,Bone,Lung,Brain' END WHEN p_size % 4 = 1 THEN 'Mammography' WHEN p_size % 4 = 2 THEN 'Brain,Soft Tissue' ELSE 'Custom' END AS presets FROM part""")

@@ -145,6 +145,13 @@ def deinterleave(samples: Column, channels: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), channels - 1), lambda c: F.filter(samples, lambda _, i: i % channels == c))
 
 
+def interleaved(channels: Column) -> Column:
+    """An array of equally long arrays to one array, instant by instant."""
+    count = F.size(F.get(channels, 0))
+    instants = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.transform(channels, lambda c: F.get(c, i)))
+    return F.when(count > 0, F.flatten(instants)).otherwise(F.slice(F.get(channels, 0), 1, 0))
+
+
 def _pixels_of(r: dict) -> list[list[int]]:
     raw, frames = r["pixel_data"], r["frames"]
     size = (r["rows"], r["columns"], r["samples_per_pixel"], r["bits_allocated"])

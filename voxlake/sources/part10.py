@@ -40,6 +40,7 @@ DICTIONARY = {
 #: Character sets by their defined terms.
 CHARSETS = {"": "ascii", "ISO_IR 6": "ascii", "ISO_IR 100": "latin-1", "ISO_IR 101": "iso8859-2", "ISO_IR 109": "iso8859-3", "ISO_IR 110": "iso8859-4", "ISO_IR 144": "iso8859-5", "ISO_IR 127": "iso8859-6", "ISO_IR 126": "iso8859-7", "ISO_IR 138": "iso8859-8", "ISO_IR 148": "iso8859-9", "ISO_IR 13": "shift_jis", "ISO_IR 166": "tis-620", "ISO_IR 192": "utf-8", "GB18030": "gb18030", "GBK": "gbk"}
 PIXEL_DATA, UNDEFINED = 0x7FE00010, 0xFFFFFFFF
+#: Elements of the top level, nested ones not counted, after which reading stops; rows or columns at most.
 MOST_ELEMENTS, MOST_SIDE = 10_000, 65_536
 
 _ELEMENT = "path string, parent string, depth int, tag int, vr string, `values` array<string>, numbers array<double>, `binary` binary, `offset` bigint, length bigint"
@@ -67,7 +68,7 @@ def decode_text(raw: bytes, charset: str) -> str:
 class _Reader:
     def __init__(self, data: bytes, explicit: bool, big: bool, with_pixels: bool):
         self.data, self.explicit, self.order, self.with_pixels = data, explicit, ">" if big else "<", with_pixels
-        self.charset, self.rows = "", []
+        self.charset, self.rows, self.top = "", [], 0
 
     def header(self, at: int, explicit: bool) -> tuple[int, str, int, int]:
         """Tag, representation, length and the place of the value."""
@@ -93,8 +94,10 @@ class _Reader:
                 return start
             if tag >> 16 == 0xFFFE:
                 raise Malformed(f"an item mark at {at} stands outside a sequence")
-            if len(self.rows) >= MOST_ELEMENTS:
-                raise Malformed(f"more than {MOST_ELEMENTS} elements")
+            if depth == 0:
+                self.top += 1
+                if self.top > MOST_ELEMENTS:
+                    return end
             path = f"{parent}{tag:08X}"
             row = {"path": path, "parent": parent.rstrip("/") or None, "depth": depth, "tag": tag - 2**32 if tag >= 2**31 else tag, "vr": vr, "offset": start, "length": length if length != UNDEFINED else -1}
             self.rows.append(row)
