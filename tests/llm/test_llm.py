@@ -354,12 +354,50 @@ WRAPPED = [
 ]
 
 
+_LGPL = (_GPL % (";", ";", 3)).replace("program", "library").replace("GNU General", "GNU Lesser General")
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted%s
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES."""
+WRAPPED += [
+    ("LGPL-3.0-or-later", 3, _LGPL), ("LGPL-2.1-or-later", 3, _LGPL.replace("version 3", "version 2.1")), ("AGPL-3.0-or-later", 3, (_GPL % (":", ",", 3)).replace("GNU General", "GNU Affero General")),
+    ("AGPL-3.0-only", 1, "Licensed under the GNU Affero General\nPublic License, version 3."), ("ISC", 2, _ISC % ", provided that the above\ncopyright notice and this permission notice appear in all copies."), ("0BSD", 2, _ISC % "."),
+    ("BSL-1.0", 1, "Distributed under the Boost Software\nLicense, Version 1.0."), ("Zlib", 1, "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:"),
+    ("Unlicense", 1, "This is free and unencumbered software released into\nthe public domain."), ("EPL-2.0", 1, "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0"),
+]
+_TAGGED = [(name, 1, f"SPDX-License-Identifier: {name}") for name, _ in license_scan.TAGS]
+
+
+def test_license_rules_are_all_tried():
+    tagged = {name for name, _, _ in _TAGGED}
+    assert [name for name, _, _ in license_scan.RULES] == [*(name for name, _, _ in WRAPPED), *(name for name, _, _ in _TAGGED if name not in {n for n, _, _ in WRAPPED})] and len(tagged) == 34
+
+
+def test_license_sql_agrees_with_the_scan(spark, tmp_path):
+    """Wrapped texts, several licences in one text, long and repeated ones, through the registered SQL."""
+    import duckdb
+
+    texts = [None, "", "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0", _MIT + "\n\n" + _APACHE, "x y. " * 50_000 + _MIT + " word" * 50_000, _MIT, _MIT, _GPL % (":", ",", 4), "İI ſ Licensed under CC BY 4.0.", "spdx-license-identifier: mitten"]
+    texts += [text for _, _, text in (*WRAPPED, *_TAGGED)] + ["\r\n".join("# " + line for line in text.split("\n")) for _, _, text in WRAPPED] + ["".join(f" * {line}\n" for line in text.split("\n")) for _, _, text in WRAPPED]
+    docs = frame(spark, texts)
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    columns = ["doc_id", "sentence_ids", "licenses", "n_known", "n_unmatched", "permissive"]
+    want = db.execute(f"SELECT {', '.join(columns)} FROM ({license_scan.license_sql()})").fetchall()
+    got = license_scan.license_scan(docs).withColumns({c: F.array_join(c, ",") for c in ("sentence_ids", "licenses")}).select(columns).collect()
+    assert Counter(map(tuple, got)) == Counter(want)
+    assert sum(r.n_known > 0 for r in got) > 100
+
+
 def test_license_scan_of_wrapped_texts(spark):
-    assert [name for name, _, _ in WRAPPED] == [name for name, _, _ in license_scan.RULES]
     signs = [("", "", ""), ("/*\n", " * ", "\n */"), ("", "// ", ""), ("", "# ", ""), ("", ";; ", ""), ("", "REM ", "")]
-    texts = [a + "\n".join(sign + line for line in text.split("\n")) + b for _, _, text in WRAPPED for a, sign, b in signs] + [_MIT.replace("\n", "\r\n")]
+    texts = [a + "\n".join(sign + line for line in text.split("\n")) + b for _, _, text in WRAPPED + _TAGGED for a, sign, b in signs] + [_MIT.replace("\n", "\r\n")]
     rows = {r.doc_id: r for r in license_scan.license_scan(frame(spark, texts)).collect()}
-    for i, (name, n, text) in enumerate((*[x for x in WRAPPED for _ in signs], WRAPPED[7])):
+    for i, (name, n, text) in enumerate((*[x for x in WRAPPED + _TAGGED for _ in signs], WRAPPED[7])):
         assert (rows[i].licenses, rows[i].n_known, rows[i].n_unmatched) == ([name], n, 0), texts[i]
     none = ["This text tells how code that was once released under the MIT License is read.", "released | under the MIT", "the License. You may"]
     assert not any(r.n_known for r in license_scan.license_scan(frame(spark, none)).collect())
