@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,13 +12,18 @@ WHOLE = {"US": (2, False), "SS": (2, True), "UL": (4, False), "SL": (4, True), "
 REAL = {"FL": (4, 8, 23), "OF": (4, 8, 23), "FD": (8, 11, 52), "OD": (8, 11, 52)}
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it stands in ``use`` or in functions of elements there."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _words(data: Column, width: int, big: bool = False) -> Column:
     """Hexadecimal digits of each number of ``width`` bytes, most significant first; bytes left over are dropped."""
-    digits = F.hex(data)
     count = F.floor(F.octet_length(data) / width).cast("int")
     order = range(width) if big else range(width - 1, -1, -1)
-    word = lambda i: F.concat(*(F.substring(digits, 2 * width * i + 2 * b + 1, F.lit(2)) for b in order))
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), word)).otherwise(F.array().cast("array<string>"))
+    word = lambda digits, i: F.concat(*(F.substring(digits, 2 * width * i + 2 * b + 1, F.lit(2)) for b in order))
+    words = bound(F.hex(data), lambda digits: F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: word(digits, i)))
+    return F.when(count > 0, words).otherwise(F.array().cast("array<string>"))
 
 
 def whole_numbers(data: Column, width: int, signed: bool = False, big: bool = False) -> Column:
