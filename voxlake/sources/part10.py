@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import remote
+
 #: Value representations with 32-bit lengths.
 LONG_VR = ("OB", "OD", "OF", "OL", "OV", "OW", "SQ", "SV", "UC", "UN", "UR", "UT", "UV")
 #: Transfer syntaxes of uncompressed data, and the deflated one.
@@ -290,21 +292,14 @@ def _encode(rows: list[tuple[int, str, object]], explicit: bool, order: str) ->
 
 
 def write_files(rows: DataFrame, folder: str) -> DataFrame:
-    """(file_path, content) rows as (name, bytes) of what was written below a folder that every executor reaches by path; a retry writes the same files again."""
+    """(file_path, content) rows as (file_path, bytes) of what was written below a folder that every task reaches; a retry writes the same files again."""
+    folder = remote.addressed(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         for batch in batches:
-            sizes = []
-            for path, content in zip(batch["file_path"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                target = os.path.join(folder, path.lstrip("/"))
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                aside = f"{target}.{os.getpid()}.part"
-                with open(aside, "wb") as f:
-                    f.write(content)
-                os.replace(aside, target)
-                sizes.append(len(content))
-            yield pa.RecordBatch.from_arrays([batch["file_path"], pa.array(sizes, pa.int64())], ["file_path", "bytes"])
+            contents = batch["content"].to_pylist()
+            for path, content in zip(batch["file_path"].to_pylist(), contents, strict=True):
+                remote.write(f"{folder}/{path.lstrip('/')}", content)
+            yield pa.RecordBatch.from_arrays([batch["file_path"], pa.array([len(c) for c in contents], pa.int64())], ["file_path", "bytes"])
 
     return rows.select("file_path", "content").mapInArrow(run, "file_path string, bytes bigint")
