@@ -27,7 +27,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import building, files, imaging, media, objects, parsed, pixels, rasters, records, streams, values, volumes, web  # noqa: F401  they register their queries
+    from . import building, files, imaging, media, objects, parsed, pixels, rasters, records, streams, values, views, volumes, web  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:
