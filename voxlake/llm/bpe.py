@@ -7,6 +7,7 @@ are frequent in the corpus are folded once, the others once for each task that m
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 import json
@@ -189,6 +190,9 @@ def _split_and_put_in(docs: DataFrame, path: str, pattern: str, id_col: str, tex
     meets it first, is folded there, and the second function, which reads the same rows in the same order, remembers its ids.
     """
     small_arrow_batches(docs.sparkSession)
+    # The literal takes much of a small driver: what earlier queries left there goes first, on both sides of the gateway.
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
     ranked = read_ranks(path)
     table = RankMap(ranked)
     context = docs.sparkSession.sparkContext
