@@ -33,3 +33,21 @@ def test_pixels_come_back(spark):
     written = writing.files(spark.createDataFrame([("a", "7FE00010", "OW", None, b"\1\2\3\4")], KINDS))
     row = part10.element_rows(part10.elements(written, with_pixels=True)).where("path = '7FE00010'").first()
     assert bytes(row.binary) == b"\1\2\3\4"
+
+
+def test_dictionaries(spark, tmp_path):
+    path = tmp_path / "dictionary.csv"
+    path.write_text('tag,vr,name\n"(0010,0020)",SH,Changed\n00189073,FD,Duration\n"(60xx,3000)",OB,Group\nnothing,LO,None\n')
+    known = part10.dictionary_table(spark, str(path))
+    assert sorted((r.tag, r.vr, r.name) for r in known.collect()) == [(0x00100020, "SH", "Changed"), (0x00189073, "FD", "Duration")]
+    files = spark.createDataFrame([("a", part10.write([(0x00100020, "LO", "id"), (0x00189073, "FD", [1.5]), (0x00181030, "LO", "x")], part10.IMPLICIT_LE))], "file_path string, content binary")
+    kinds = lambda **more: {e.tag: (e.vr, e.numbers) for e in part10.elements(files, **more).first().elements if e.tag >> 16 != 2}
+    assert kinds(dictionary=known) == {0x00100020: ("SH", None), 0x00189073: ("FD", [1.5]), 0x00181030: ("UN", None)}
+    assert kinds() == {0x00100020: ("LO", None), 0x00189073: ("UN", None), 0x00181030: ("UN", None)}
+
+
+def test_only_the_top_level_is_limited(spark):
+    items = [[(0x00081155, "UI", f"1.{i}")] for i in range(10_050)]
+    content = part10.write([(0x00081115, "SQ", items), (0x00100020, "LO", "id")])
+    file = part10.elements(spark.createDataFrame([("a", content)], "file_path string, content binary")).first()
+    assert file.error is None and len(file.elements) == 10_050 + 2 + 3

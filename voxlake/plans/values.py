@@ -124,6 +124,27 @@ def frame_ranges(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", "frame", F.sha2(fr.frame_bytes(F.col("data"), F.col("frame"), size.cast("int")), 256).alias("digest"), size.cast("int").alias("size"))
 
 
+def _implicit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files that name no representations, with elements that are not common: a text, a number, and a sequence with an item."""
+    for batch in batches:
+        rows = [[(0x00181030, "LO", f"scan {k}"), (0x00189073, "FD", [k + 0.25]), (0x00189346, "SQ", [[(0x00181031, "LO", f"in {k}")]])] for k in batch["key"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in batch["key"].to_pylist()]), pa.array([part10.write(r, part10.IMPLICIT_LE) for r in rows], pa.binary())], ["file_path", "content"])
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS file, path, vr, CASE path WHEN '00181030' THEN 'scan ' || s_suppkey WHEN '00189346[0]/00181031' THEN 'in ' || s_suppkey END AS value, CASE path WHEN '00189073' THEN s_suppkey + 0.25::DOUBLE END AS number, name FROM supplier,
+  (VALUES ('00181030', 'LO', 'ProtocolName'), ('00189073', 'FD', 'AcquisitionDuration'), ('00189346', 'SQ', 'CTDIPhantomTypeCodeSequence'), ('00189346[0]/00181031', 'LO', 'Inner')) v(path, vr, name)""")
+def dictionary_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files without representations, read by a data dictionary out of a table, which also names their elements."""
+    folder = shared_folder(spark, "dictionary")
+    entries = [("(0018,1030)", "LO", "ProtocolName"), ("00189073", "FD or DS", "AcquisitionDuration"), ("(0018,9346)", "SQ", "CTDIPhantomTypeCodeSequence"), ("(0018,1031)", "LO", "Inner"), ("(60xx,3000)", "OB", "Repeating")]
+    spark.createDataFrame(entries, "tag string, vr string, name string").write.option("header", "true").csv(folder)
+    known = part10.dictionary_table(spark, folder)
+    files = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key")).mapInArrow(_implicit, "file_path string, content binary")
+    rows = part10.element_rows(part10.elements(files, strict=True, dictionary=known)).where("path not like '0002%'")
+    named = rows.join(F.broadcast(known.select(F.col("tag").cast("int").alias("tag"), "name")), "tag", "left")
+    return named.select(F.col("file_path").alias("file"), "path", "vr", F.when(F.col("vr") == "LO", F.get("values", 0)).alias("value"), F.get("numbers", 0).alias("number"), "name")
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 25 OFFSET 10")
 def paged_orders(spark: SparkSession, d: str) -> DataFrame:
     """A page whose bounds are texts, as requests give them."""

@@ -44,6 +44,8 @@ CHARSETS = {"": "ascii", "ISO_IR 6": "ascii", "ISO_IR 100": "latin-1", "ISO_IR 1
 PIXEL_DATA, UNDEFINED = 0x7FE00010, 0xFFFFFFFF
 #: Elements of the top level, nested ones not counted, after which reading stops; rows or columns at most.
 MOST_ELEMENTS, MOST_SIDE = 10_000, 65_536
+#: Entries of a data dictionary.
+MOST_TAGS = 100_000
 
 _ELEMENT = "path string, parent string, depth int, tag int, vr string, `values` array<string>, numbers array<double>, `binary` binary, `offset` bigint, length bigint"
 SCHEMA = f"file_path string, file_size bigint, transfer_syntax string, error string, elements array<struct<{_ELEMENT}>>"
@@ -68,7 +70,8 @@ def decode_text(raw: bytes, charset: str) -> str:
 
 
 class _Reader:
-    def __init__(self, data: bytes, explicit: bool, big: bool, with_pixels: bool):
+    def __init__(self, data: bytes, explicit: bool, big: bool, with_pixels: bool, dictionary: dict[int, str] = DICTIONARY):
+        self.dictionary = dictionary
         self.data, self.explicit, self.order, self.with_pixels = data, explicit, ">" if big else "<", with_pixels
         self.charset, self.rows, self.top = "", [], 0
 
@@ -79,7 +82,7 @@ class _Reader:
         group, element = struct.unpack_from(self.order + "HH", self.data, at)
         tag = group << 16 | element
         if group == 0xFFFE or not explicit:
-            return tag, "" if group == 0xFFFE else DICTIONARY.get(tag, "UN"), struct.unpack_from(self.order + "I", self.data, at + 4)[0], at + 8
+            return tag, "" if group == 0xFFFE else self.dictionary.get(tag, "UN"), struct.unpack_from(self.order + "I", self.data, at + 4)[0], at + 8
         vr = self.data[at + 4 : at + 6].decode("latin-1")
         if vr in LONG_VR:
             if at + 12 > len(self.data):
@@ -161,7 +164,7 @@ def _number(value: str) -> float | None:
         return None
 
 
-def parse(data: bytes, with_pixels: bool = False) -> tuple[str, list[dict]]:
+def parse(data: bytes, with_pixels: bool = False, dictionary: dict[int, str] = DICTIONARY) -> tuple[str, list[dict]]:
     """Transfer syntax and element rows of a file: group 2 explicit, then the data set as its syntax says; pixels last and only on request."""
     if len(data) < 132 or data[128:132] != b"DICM":
         raise Malformed("no DICM mark at 128")
@@ -176,7 +179,7 @@ def parse(data: bytes, with_pixels: bool = False) -> tuple[str, list[dict]]:
     syntax = next((r["values"][0] for r in meta.rows if r["tag"] == 0x00020010), IMPLICIT_LE)
     if syntax == DEFLATED_LE:
         data, at = zlib.decompressobj(-15).decompress(data[at:]), 0
-    body = _Reader(data, syntax != IMPLICIT_LE, syntax == EXPLICIT_BE, with_pixels)
+    body = _Reader(data, syntax != IMPLICIT_LE, syntax == EXPLICIT_BE, with_pixels, dictionary)
     body.dataset(at, len(data), "", 0, body.explicit)
     sides = {r["tag"]: r["numbers"][0] for r in body.rows if r["tag"] in (0x00280010, 0x00280011) and r["depth"] == 0 and r.get("numbers")}
     if any(not 0 < v <= MOST_SIDE for v in sides.values()):
@@ -184,8 +187,33 @@ def parse(data: bytes, with_pixels: bool = False) -> tuple[str, list[dict]]:
     return syntax, meta.rows + body.rows
 
 
-def elements(files: DataFrame, with_pixels: bool = False, strict: bool = False) -> DataFrame:
-    """Rows (file_path, content) to one row per file: transfer syntax, elements, and an error where it could not be read (raised if ``strict``)."""
+def dictionary_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """A data dictionary (tag, vr, name) out of a text file with a head and the columns tag, vr and name.
+
+    Tags are eight hexadecimal digits, also as ``(0010,0020)`` or ``0010,0020`` in quotes; lines whose tags are none, as those of repeating groups, are
+    left out, and of several representations the first counts.
+    """
+    rows = spark.read.option("header", "true").option("sep", sep).csv(path)
+    digits = F.upper(F.regexp_replace("tag", "[^0-9A-Fa-fxX]", ""))
+    return rows.where(digits.rlike("^[0-9A-F]{8}$")).select(F.conv(digits, 16, 10).cast("bigint").alias("tag"), F.substring(F.trim("vr"), 1, 2).alias("vr"), F.trim("name").alias("name"))
+
+
+def _known(dictionary: DataFrame | None) -> dict[int, str]:
+    """Representations by tag; a dictionary has at most ``MOST_TAGS`` entries, which every task gets."""
+    if dictionary is None:
+        return DICTIONARY
+    rows = dictionary.select("tag", "vr").where("tag is not null and vr is not null").limit(MOST_TAGS + 1).collect()
+    if len(rows) > MOST_TAGS:
+        raise ValueError(f"a dictionary of more than {MOST_TAGS} entries")
+    return DICTIONARY | {int(r.tag) & 0xFFFFFFFF: r.vr for r in rows}
+
+
+def elements(files: DataFrame, with_pixels: bool = False, strict: bool = False, dictionary: DataFrame | None = None) -> DataFrame:
+    """Rows (file_path, content) to one row per file: transfer syntax, elements, and an error where it could not be read (raised if ``strict``).
+
+    ``dictionary`` (tag, vr), as ``dictionary_table`` reads it, tells the representations of files that do not name them, beyond those of common elements.
+    """
+    known = _known(dictionary)
     fields = ("path", "parent", "depth", "tag", "vr", "values", "numbers", "binary", "offset", "length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +222,7 @@ def elements(files: DataFrame, with_pixels: bool = False, strict: bool = False)
             for path, data in zip(batch["file_path"].to_pylist(), batch["content"].to_pylist(), strict=True):
                 syntax, rows, error = None, [], None
                 try:
-                    syntax, rows = parse(data or b"", with_pixels)
+                    syntax, rows = parse(data or b"", with_pixels, known)
                 except (Malformed, struct.error, zlib.error) as e:
                     if strict:
                         raise
