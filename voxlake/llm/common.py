@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,12 +18,14 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (tests, one machine) an own one is set."""
+    """The session's ``spark.checkpoint.dir``; only on one machine, as in tests, an own one is set where that is unset."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="voxlake-"))
     return context._jsc.sc().getCheckpointDir().get()
 
