@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,11 +11,13 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where that is unset, as in tests, an own folder."""
+    """``spark.checkpoint.dir``; only on one machine, as in tests, an own folder where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all tasks share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="voxlake-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
