@@ -15,7 +15,7 @@ from ..operators import anonymize, loader
 from ..sources import frames as fr
 from ..sources import part10, writing
 from .registry import query
-from .tables import PIXELS, frames, table
+from .tables import PIXELS, frames, spread, table
 
 _SYNTAXES = (part10.EXPLICIT_LE, part10.IMPLICIT_LE, part10.DEFLATED_LE, part10.EXPLICIT_BE)
 
@@ -34,7 +34,7 @@ def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
-    return p.mapInArrow(_written, "file_path string, content binary")
+    return spread(p, "key").mapInArrow(_written, "file_path string, content binary")
 
 
 @query("""WITH a AS (SELECT *, lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '.dcm' AS file_path FROM part WHERE p_partkey % 50 > 2), n AS (SELECT file_path, '00100010' AS path, 'PN' AS vr, p_name AS value, CAST(NULL AS DOUBLE) AS number FROM a UNION ALL SELECT file_path, '00080060', 'CS', p_brand, NULL FROM a), p AS (SELECT * FROM a WHERE p_partkey % 50 > 3)

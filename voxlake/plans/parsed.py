@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import objects
 from .registry import query
-from .tables import table
+from .tables import spread, table
 
 
 def _text(path: str, value: Column, there: Column | None = None) -> Column:
@@ -32,7 +32,7 @@ def _rows(docs: DataFrame, key: str, *elements: Column) -> DataFrame:
 def _plans(spark: SparkSession, d: str) -> DataFrame:
     k, numbered = F.col("c_custkey"), F.expr("c_custkey % 4 <> 0")
     return _rows(
-        table(spark, d, "customer"), "c_custkey",
+        spread(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey"), "c_custkey",
         _number("300A00B0[0]/300A00C0", k % 5, there=numbered), _text("300A00B0[0]/300A00C2", F.col("c_name")), _number("300A00B0[0]/300A00B4", 1000.0), _number("300A00B0[1]/300A00C0", 9), _text("300A00B0[1]/300A00C2", F.lit(" ")),
         _number("300A00B0[0]/300A0111[0]/300A0112", 0), _number("300A00B0[0]/300A0111[0]/300A011E", k % 360), _number("300A00B0[0]/300A0111[0]/300A012C", 1.0, 2.0, 3.0),
         _number("300A00B0[0]/300A0111[1]/300A0112", 1), _number("300A00B0[0]/300A0111[1]/300A012C", 1.0, 2.0), _number("300A00B0[1]/300A0111[0]/300A011E", 10.0),
