@@ -9,7 +9,7 @@ from ..operators import statistics, views
 from ..sources import part10
 from .files import _files
 from .registry import query
-from .tables import PIXELS, frames, instances, pixels, table
+from .tables import PIXELS, frames, instances, pixels, spread, table
 
 
 @query("""WITH p AS (SELECT *, lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '.dcm' AS file_path, p_partkey % 50 > 3 AS whole FROM part WHERE p_partkey % 50 > 2), v AS (
@@ -30,7 +30,7 @@ def _rows(df: DataFrame, **values: Column) -> DataFrame:
   CASE WHEN c_custkey % 3 <> 0 THEN 'S' || c_custkey WHEN c_custkey % 2 = 0 THEN 'P' || c_custkey ELSE 'worklist-item' END AS stable, concat_ws(' - ', c_name, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN 'OT' ELSE 'MR' END, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment ELSE 'whole' END) AS line FROM customer""")
 def worklist_rows(spark: SparkSession, d: str) -> DataFrame:
     """Work-list entries out of element rows: some without a step, some whose step has no modality."""
-    c = table(spark, d, "customer").withColumn("file_path", F.col("c_custkey").cast("string"))
+    c = spread(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey").withColumn("file_path", F.col("c_custkey").cast("string"))
     k = F.col("c_custkey")
     step = lambda v: F.when(k % 3 != 0, v)
     rows = _rows(
