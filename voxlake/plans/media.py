@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import links
 from ..sources import media, part10
 from .registry import query
-from .tables import PIXELS, frames, table
+from .tables import PIXELS, frames, spread, table
 
 
 def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,7 +33,8 @@ def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @query(r"""SELECT p_partkey || '.zip' AS archive, member, disposition, CASE WHEN disposition = 'extract' THEN p_name END AS content, FALSE AS broken FROM part, (VALUES ('IMG/a.dcm', 'extract'), ('IMG/', 'skip'), ('__MACOSX/a', 'skip'), ('../out.dcm', 'reject'), ('/root.dcm', 'reject'), ('x\..\y', 'reject')) v(member, disposition) WHERE p_partkey % 10 <> 0
 UNION ALL SELECT p_partkey || '.zip', NULL, NULL, NULL, TRUE FROM part WHERE p_partkey % 10 = 0""")
 def archive_members(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name")).mapInArrow(_archives, "file_path string, content binary")
+    files = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"))
+    files = spread(files, "key").mapInArrow(_archives, "file_path string, content binary")
     return media.zip_members(files).select("archive", "member", "disposition", F.col("content").cast("string").alias("content"), F.col("error").isNotNull().alias("broken"))
 
 
@@ -68,7 +69,8 @@ def _directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
   (VALUES (0, 'IMAGE', 3, 4), (1, 'IMAGE', 3, 4), (2, 'PATIENT', 0, NULL), (3, 'STUDY', 1, 2), (4, 'SERIES', 2, 3)) v(place, type, depth, parent)""")
 def directory_files(spark: SparkSession, d: str) -> DataFrame:
     """Records that links from the root reach, with their depth and the place of their parent; a record that nothing leads to is none of them."""
-    files = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name")).mapInArrow(_directories, "file_path string, content binary")
+    files = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
+    files = spread(files, "key").mapInArrow(_directories, "file_path string, content binary")
     records = media.directory_records(part10.element_rows(part10.elements(files)))
     reached = links.linked_records(spark, records).join(records, ["directory", "offset"])
     parents = records.select("directory", F.col("offset").alias("parent"), F.col("place").alias("parent_place"))

@@ -24,6 +24,8 @@ RECORD = {
 }
 #: Bytes before the value of an item's first element: its head and the item's.
 HEADS = 16
+#: Bytes and entries after which a batch of archives' entries is passed on.
+MEMBER_BYTES, MEMBER_ROWS = 4_000_000, 10_000
 
 
 def source_kind(path: Column, is_folder: Column) -> Column:
@@ -39,27 +41,38 @@ def media_kind(path: Column, is_folder: Column, has_directory_file: Column) -> C
 
 
 def zip_members(archives: DataFrame) -> DataFrame:
-    """``archives`` (file_path, content) to ``archive, member, disposition, content, error``: one row for each entry, one at a time.
+    """``archives`` (file_path, content) to ``archive, member, disposition, content, error``: one row for each entry, in batches of a bounded size.
 
     Entries are extracted, skipped (folders, hidden metadata) or rejected (paths that leave the archive), the latter two without
     content; what is no archive, or an entry that is broken, has a row with the error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(*values: object) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.string(), pa.string(), pa.binary(), pa.string()), strict=True)], ["archive", "member", "content", "error"])
-
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.binary(), pa.string()))], ["archive", "member", "content", "error"])
+
+        def members(path: str, data: bytes) -> Iterator[tuple]:
+            try:
+                with zipfile.ZipFile(io.BytesIO(data)) as archive:
+                    for entry in archive.infolist():
+                        try:
+                            yield path, entry.filename, archive.read(entry), None
+                        except (zipfile.BadZipFile, NotImplementedError, RuntimeError, zlib.error) as e:
+                            yield path, entry.filename, None, str(e)
+            except zipfile.BadZipFile as e:
+                yield path, None, None, str(e)
+
+        held, size = [], 0
         for batch in batches:
             for path, data in zip(batch["file_path"], batch["content"], strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(data.as_py() or b"")) as archive:
-                        for entry in archive.infolist():
-                            try:
-                                yield row(path.as_py(), entry.filename, archive.read(entry), None)
-                            except (zipfile.BadZipFile, NotImplementedError, RuntimeError, zlib.error) as e:
-                                yield row(path.as_py(), entry.filename, None, str(e))
-                except zipfile.BadZipFile as e:
-                    yield row(path.as_py(), None, None, str(e))
+                for row in members(path.as_py(), data.as_py() or b""):
+                    held.append(row)
+                    size += len(row[2] or b"")
+                    if size >= MEMBER_BYTES or len(held) >= MEMBER_ROWS:
+                        yield made(held)
+                        held, size = [], 0
+        if held:
+            yield made(held)
 
     found = archives.select("file_path", "content").mapInArrow(run, "archive string, member string, content binary, error string")
     disposition = F.when(F.col("member").isNotNull(), zip_entry_disposition(F.col("member")))
