@@ -178,19 +178,20 @@ def natural_key(name: Column) -> Column:
     return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.lpad(F.regexp_replace(r, "^0+(?=.)", ""), 12, "0")).otherwise(r)), "")
 
 
-_TWO64 = 2**64
 
 
 def deterministic_uid(uid: Column, root: str = "2.25") -> Column:
     """``root.a.b``: a is the 64-bit FNV-1a hash of the identifier's bytes, b a second hash by multiplication with 31; both wrap around."""
     codes = F.transform(F.filter(F.split(uid, ""), lambda c: F.length(c) > 0), lambda c: F.ascii(c))
-    wide = lambda c: c.cast("decimal(38,0)")
-    low = lambda h: (h % F.lit(256).cast("decimal(38,0)")).cast("int")
+    # Both hashes are kept as two halves of 32 bits in whole numbers of 64, which no product overflows.
+    half = F.lit(0xFFFFFFFF)
+    pair = lambda high, low: F.struct((high + F.shiftright(low, 32)).bitwiseAND(half).alias("high"), low.bitwiseAND(half).alias("low"))
+    start = lambda n: F.struct(F.lit(n >> 32).cast("bigint").alias("high"), F.lit(n & 0xFFFFFFFF).cast("bigint").alias("low"))
     # An exclusive or with a byte changes the lowest byte alone.
-    mixed = lambda h, c: wide(h - wide(low(h)) + wide(low(h).bitwiseXOR(c)))
-    wrap = lambda h: wide(h % F.lit(str(_TWO64)).cast("decimal(38,0)"))
-    # The prime is 2^40 + 435: the two products stay within 38 digits.
-    times = lambda h: wrap(wide(wrap(wide(h % F.lit(2**24).cast("decimal(38,0)")) * F.lit(2**40).cast("decimal(14,0)"))) + wide(h * F.lit(435).cast("decimal(4,0)")))
-    fnv = F.aggregate(codes, F.lit("14695981039346656037").cast("decimal(38,0)"), lambda h, c: times(mixed(h, c)))
-    by31 = F.aggregate(codes, F.lit("11400714819323198485").cast("decimal(38,0)"), lambda h, c: wrap(wide(h * F.lit(31).cast("decimal(3,0)")) + wide(c)))
+    mixed = lambda low, c: low - low.bitwiseAND(F.lit(255)) + low.bitwiseAND(F.lit(255)).bitwiseXOR(c.cast("bigint"))
+    # The prime is 2^40 + 435: its first part moves 24 bits into the high half.
+    times = lambda high, low: pair(high * 435 + F.shiftleft(low.bitwiseAND(F.lit(0xFFFFFF)), 8), low * 435)
+    whole = lambda h: (h["high"].cast("decimal(20,0)") * F.lit(2**32).cast("decimal(10,0)") + h["low"].cast("decimal(20,0)")).cast("decimal(38,0)")
+    fnv = whole(F.aggregate(codes, start(14695981039346656037), lambda h, c: times(h["high"], mixed(h["low"], c))))
+    by31 = whole(F.aggregate(codes, start(11400714819323198485), lambda h, c: pair(h["high"] * 31, h["low"] * 31 + c.cast("bigint"))))
     return F.concat_ws(".", F.lit(root), fnv.cast("string"), by31.cast("string"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import deterministic_uid, is_private
@@ -62,12 +62,17 @@ def apply_policy(elements: DataFrame, policy: DataFrame, root: str = "2.25", rem
     replaced = F.when(F.col("replacement") == "", F.array().cast("array<string>")).otherwise(F.array("replacement"))
     new = F.when(disposition == "changed", replaced).when(disposition == "remapped", F.transform("values", lambda u: deterministic_uid(u, root))).when(disposition == "removed", F.lit(None)).otherwise(F.col("values"))
     out = rows.withColumns({"disposition": disposition, "new_values": new})
-    gone = out.where(F.col("disposition") == "removed").select("file_path", F.concat("path", F.lit("[")).alias("gone"))
-    lost = out.select("file_path", "path", F.explode(_parents("path")).alias("gone")).join(gone, ["file_path", "gone"], "left_semi").select("file_path", "path").distinct().withColumn("__lost", F.lit(True))
-    return out.join(lost, ["file_path", "path"], "left").where("__lost is null").drop("__lost", "action", "replacement", "values").withColumnRenamed("new_values", "values")
+    out = out.drop("action", "replacement", "values").withColumnRenamed("new_values", "values")
+    # A file's elements meet once; of its removed ones only those count that hold some of the others.
+    names = [c for c in out.columns if c != "file_path"]
+    files = out.groupBy("file_path").agg(F.collect_list(F.struct(*names)).alias("all"), F.collect_set(F.when(F.col("disposition") == "removed", F.concat("path", F.lit("[")))).alias("gone"))
+    around = F.array_distinct(F.flatten(F.transform("all", lambda e: _parents(e["path"]))))
+    files = files.withColumn("gone", F.array_intersect("gone", around))
+    left = F.when(F.size("gone") == 0, F.col("all")).otherwise(F.filter("all", lambda e: ~F.arrays_overlap(_parents(e["path"]), F.col("gone"))))
+    return files.select("file_path", F.inline(left)).select(*out.columns)
 
 
-def _parents(path: str):
+def _parents(path: Column) -> Column:
     """The paths of the sequences around an element, each up to its opening bracket."""
     steps = F.split(path, r"\[")
     upto = F.transform(steps, lambda _, i: F.when(i > 0, F.concat(F.array_join(F.slice(steps, F.lit(1), i), "["), F.lit("["))))

@@ -77,6 +77,10 @@ def files(rows: DataFrame, syntax: str = part10.EXPLICIT_LE) -> DataFrame:
     grouped = own.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("path", "vr", "values", binary.alias("binary")))).alias("elements"), F.max(lost).alias("lost"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.binary(), pa.string()))], ["file_path", "content", "error"])
+
+        held, size = [], 0
         for batch in batches:
             for path, elements, error in zip(batch["file_path"], batch["elements"], batch["lost"].to_pylist(), strict=True):
                 content = None
@@ -85,6 +89,12 @@ def files(rows: DataFrame, syntax: str = part10.EXPLICIT_LE) -> DataFrame:
                         content = _file(elements.as_py(), syntax)
                     except (ValueError, OverflowError, part10.struct.error) as e:
                         error = str(e)
-                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()], pa.string()), pa.array([content], pa.binary()), pa.array([error], pa.string())], ["file_path", "content", "error"])
+                held.append((path.as_py(), content, error))
+                size += len(content or b"")
+                if size >= part10.BATCH_BYTES or len(held) >= part10.BATCH_ELEMENTS:
+                    yield made(held)
+                    held, size = [], 0
+        if held:
+            yield made(held)
 
     return grouped.mapInArrow(run, "file_path string, content binary, error string")
