@@ -109,8 +109,10 @@ def scanned_files(spark: SparkSession, d: str) -> DataFrame:
 def landed_files(spark: SparkSession, d: str) -> DataFrame:
     """Files that land in a folder, parsed as they come and appended to a table, from which a second run finds nothing new; with how many elements of group 2 each has."""
     folder, out, checkpoint = _folder(spark, d), shared_folder(spark, "landed"), shared_folder(spark, "landing")
+    # Each batch costs the same, however few files it has: some 25 batches of more files where there are more than 1000.
+    most = max(40, -(-table(spark, d, "supplier").count() // 25))
     for _ in range(2):
-        ingest.write_batches(ingest.landing(spark, folder, 40), out, checkpoint).awaitTermination()
+        ingest.write_batches(ingest.landing(spark, folder, most), out, checkpoint).awaitTermination()
     rows = spark.read.parquet(out)
     two = F.size(F.filter("elements", lambda e: F.floor(e["tag"] / 65536) == 2)) - 1
     return rows.select(F.element_at(F.split("file_path", "/"), -1).alias("name"), part10.text_of(0x00100020).alias("patient_id"), two.alias("n"))
