@@ -96,3 +96,11 @@ def test_directory_files(spark):
     assert [r.type for r in reached if r.next == 0 and r.depth == 0] == ["PATIENT"] and sum(r.root for r in reached) == 1
     empty = {e.path: e for e in parsed.where("file_path = 'empty'").first().elements}
     assert empty["00041200"].numbers == [0.0] and empty["00041220"].length == 0
+
+
+def test_whole_files_are_those_of_the_nodes(spark, tree):
+    rows = spark.createDataFrame([*flat(tree), ("f", "00100020", "LO", None)], ROWS)
+    documents = spark.createDataFrame([("f", "1.2", "1.3"), ("none", None, "1.4")], "file_path string, sop_class string, sop_uid string")
+    heads = documents.select("file_path", nesting.meta(documents.sop_class, documents.sop_uid).alias("head"))
+    want = {r.file_path: bytes(r.content) for r in nesting.files(nesting.nodes(rows), heads).collect()}
+    assert {r.file_path: bytes(r.content) for r in nesting.whole_files(rows, documents).collect()} == want

@@ -194,7 +194,7 @@ def content_items(rows: DataFrame) -> DataFrame:
     The items of a file are told apart by their place in the tree, at any depth, by one aggregation. Items without a value type that hold
     something are containers; items with nothing are left out.
     """
-    inside = rows.withColumns({"item": F.regexp_extract("path", rf"^((?:{CONTENT}\[\d+\]/)*)", 1), "below": F.regexp_replace("path", rf"^(?:{CONTENT}\[\d+\]/)+", "")})
+    inside = rows.withColumn("item", F.regexp_extract("path", rf"^((?:{CONTENT}\[\d+\]/)*)", 1)).withColumn("below", F.substring("path", F.length("item") + 1, F.length("path")))
     reference = r"^00081199\[(\d+)\]/(0008115[05])$"
     wanted = inside.where(F.col("below").isin([tag for tag, _ in ITEM.values()]) | F.col("below").rlike(reference) | (F.col("below") == CONTENT))
     text = F.when(~_blank(F.get("values", 0)), F.get("values", 0))

@@ -1,6 +1,6 @@
 """Whole objects out of tables: directory files, reports, waveforms, presentation states and documents.
 
-Each builder makes element rows (file_path, path, vr, value as bytes); ``nesting`` makes files of them. What a table does not have, null
+Each builder makes lists of elements (file_path, before, names, values as bytes), or rows of them; ``nesting`` makes files of these. What a table does not have, null
 columns, is left out of the file.
 """
 
@@ -40,6 +40,22 @@ def elements(rows: DataFrame, fields: list[Field], before: Column | None = None)
     return rows.select("file_path", F.inline(F.filter(listed, lambda e: e["value"].isNotNull())))
 
 
+def element_lists(rows: DataFrame, fields: list[Field], before: Column | None = None) -> DataFrame:
+    """The fields of each row as (file_path, before, names, values): values are null where there is none, names tell each value's tag and representation.
+
+    Numbers are left as texts, which ``nesting.whole_files`` makes bytes of; their form follows a second colon of the name. A field of bytes that
+    is given as numbers names their form after a slash (``OW/US``).
+    """
+    names, values = [], []
+    for tag, vr, c in fields:
+        vr, _, form = vr.partition("/")
+        form = form or (vr if vr in encoding.WIDTH else "")
+        names.append(f"{tag}:{vr}:{form}")
+        numbers = c.cast("array<float>" if form == "FL" else "array<bigint>") if form else None
+        values.append(_value(vr, c) if numbers is None else F.encode(F.array_join(numbers.cast("array<string>"), " "), "UTF-8"))
+    return rows.select("file_path", (F.lit("") if before is None else before).alias("before"), F.lit(" ".join(names)).alias("names"), F.array(*values).alias("values"))
+
+
 def _common(c) -> list[Field]:
     """What every object begins with; texts are in Unicode."""
     return [
@@ -59,9 +75,8 @@ def _code(path: str, code: Column) -> list[Field]:
 
 
 def objects(documents: DataFrame, rows: DataFrame) -> DataFrame:
-    """(file_path, content) of element rows; ``documents`` name each file's class and instance, and so which files there are."""
-    heads = documents.select("file_path", nesting.meta(F.col("sop_class"), F.col("sop_uid")).alias("head"))
-    return nesting.files(nesting.nodes(rows), heads)
+    """(file_path, content) of element rows or lists; ``documents`` name each file's class and instance, and so which files there are."""
+    return nesting.whole_files(rows, documents)
 
 
 # Directory files
@@ -128,14 +143,14 @@ def directory_files(images: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def report_elements(documents: DataFrame, items: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
-    """Element rows of structured reports.
+    """Element lists of structured reports.
 
     ``documents``: file_path, sop_class, sop_uid, study_uid, series_uid, and where they are known modality (else SR), label, description, completion,
     verification, template. ``items`` as ``objects.item_issues`` takes them, a code with its ``meaning``: the item ``root`` is the document
     itself, ``root/0`` its first child, and the numbers of an item's children run from 0 without gaps. ``evidence``: file_path, study_uid, series_uid, sop_class, sop_uid.
     """
     c = _optional(documents)
-    out = elements(documents, [
+    out = element_lists(documents, [
         *[(tag, vr, F.coalesce(value, F.lit("SR")) if tag == "00080060" else value) for tag, vr, value in _common(c)],
         ("00700080", "CS", c("label")), ("00700081", "LO", c("description")), ("0040A491", "CS", c("completion")), ("0040A493", "CS", c("verification")),
         ("0040A504[0]/00080105", "CS", F.when(c("template").isNotNull(), "DCMR")), ("0040A504[0]/0040DB00", "CS", c("template")),
@@ -149,9 +164,9 @@ def report_elements(documents: DataFrame, items: DataFrame, evidence: DataFrame
         ("0040A120", "DT", F.col("date_time")), ("0040A121", "DA", F.col("date")), ("0040A122", "TM", F.col("time")), ("0040A123", "PN", F.col("person_name")), ("0040A124", "UI", F.col("uid")),
         ("00700023", "CS", F.col("graphic_type")), ("00700022", "FL", F.when(F.size("graphic_data") > 0, F.col("graphic_data"))),
     ]
-    out = out.unionByName(elements(items, fields, before))
+    out = out.unionByName(element_lists(items, fields, before))
     named = items.select("file_path", before.alias("before"), F.posexplode("references").alias("k", "r"))
-    out = out.unionByName(elements(named, [("00081150", "UI", F.col("r.sop_class")), ("00081155", "UI", F.col("r.sop_uid"))], F.concat("before", F.lit("00081199["), F.col("k").cast("string"), F.lit("]/"))))
+    out = out.unionByName(element_lists(named, [("00081150", "UI", F.col("r.sop_class")), ("00081155", "UI", F.col("r.sop_uid"))], F.concat("before", F.lit("00081199["), F.col("k").cast("string"), F.lit("]/"))))
     if evidence is None:
         return out
     # Studies and series in the order of their identifiers, instances in the order of theirs.
@@ -160,9 +175,9 @@ def report_elements(documents: DataFrame, items: DataFrame, evidence: DataFrame
     text = lambda column: F.col(column).cast("string")
     study = F.concat(F.lit("0040A375["), text("a"), F.lit("]/"))
     series = F.concat(study, F.lit("00081115["), text("b"), F.lit("]/"))
-    out = out.unionByName(elements(e.dropDuplicates(["file_path", "a"]), [("0020000D", "UI", F.col("study_uid"))], study))
-    out = out.unionByName(elements(e.dropDuplicates(["file_path", "a", "b"]), [("0020000E", "UI", F.col("series_uid"))], series))
-    return out.unionByName(elements(e, [("00081150", "UI", F.col("sop_class")), ("00081155", "UI", F.col("sop_uid"))], F.concat(series, F.lit("00081199["), text("c"), F.lit("]/"))))
+    out = out.unionByName(element_lists(e.dropDuplicates(["file_path", "a"]), [("0020000D", "UI", F.col("study_uid"))], study))
+    out = out.unionByName(element_lists(e.dropDuplicates(["file_path", "a", "b"]), [("0020000E", "UI", F.col("series_uid"))], series))
+    return out.unionByName(element_lists(e, [("00081150", "UI", F.col("sop_class")), ("00081155", "UI", F.col("sop_uid"))], F.concat(series, F.lit("00081199["), text("c"), F.lit("]/"))))
 
 
 # Waveforms
@@ -179,7 +194,7 @@ def waveform_issues(groups: DataFrame, channels: DataFrame) -> DataFrame:
 
 
 def waveform_elements(documents: DataFrame, groups: DataFrame, channels: DataFrame) -> DataFrame:
-    """Element rows of waveforms; files that ``waveform_issues`` names are left out.
+    """Element lists of waveforms; files that ``waveform_issues`` names are left out.
 
     ``documents`` as for reports, with content_date and content_time. ``groups``: file_path, group (numbers from 0), frequency, originality, interpretation (SB, UB, SS, US),
     label. ``channels``: file_path, group, channel (from 0), samples, label, source (code), sensitivity, units (code), baseline, correction.
@@ -188,19 +203,19 @@ def waveform_elements(documents: DataFrame, groups: DataFrame, channels: DataFra
     bad = waveform_issues(groups, channels).select("file_path")
     documents, groups, channels = (df.join(bad, "file_path", "left_anti") for df in (documents, groups, channels))
     c = _optional(documents)
-    out = elements(documents, [*_common(c), ("00080023", "DA", c("content_date")), ("00080033", "TM", c("content_time"))])
+    out = element_lists(documents, [*_common(c), ("00080023", "DA", c("content_date")), ("00080033", "TM", c("content_time"))])
     group = F.concat(F.lit("54000100["), F.col("group").cast("string"), F.lit("]/"))
     gathered = channels.groupBy("file_path", "group").agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "samples"))), lambda x: x["samples"]).alias("all"))
     g = groups.join(gathered, ["file_path", "group"])
     byte = F.col("interpretation").isin("SB", "UB")
     data = interleaved(F.col("all"))
-    out = out.unionByName(elements(g, [
+    out = out.unionByName(element_lists(g, [
         ("003A0004", "CS", F.coalesce("originality", F.lit("ORIGINAL"))), ("003A0005", "US", F.array(F.size("all"))), ("003A0010", "UL", F.array(F.size(F.col("all")[0]))), ("003A001A", "DS", encoding.decimal(F.col("frequency"))), ("003A0020", "SH", F.col("label")),
         ("54001004", "US", F.array(F.when(byte, 8).otherwise(16))), ("54001006", "CS", F.col("interpretation")),
-        ("54001010", "OB", F.when(byte, F.unhex(F.array_join(F.transform(data, lambda v: F.lpad(F.hex(v.bitwiseAND(F.lit(255))), 2, "0")), "")))), ("54001010", "OW", F.when(~byte, encoding.numbers(data, "US"))),
+        ("54001010", "OB/UB", F.when(byte, data)), ("54001010", "OW/US", F.when(~byte, data)),
     ], group))
     kinds = channels.join(groups.select("file_path", "group", "interpretation"), ["file_path", "group"])
-    return out.unionByName(elements(kinds, [
+    return out.unionByName(element_lists(kinds, [
         ("003A0202", "IS", (F.col("channel") + 1).cast("string")), ("003A0203", "SH", F.col("label")), *_code("003A0208", F.col("source")), ("003A0210", "DS", encoding.decimal(F.col("sensitivity"))), *_code("003A0211", F.col("units")),
         ("003A0212", "DS", encoding.decimal(F.col("correction"))), ("003A0213", "DS", encoding.decimal(F.col("baseline"))), ("003A021A", "US", F.array(F.when(F.col("interpretation").isin("SB", "UB"), 8).otherwise(16))),
     ], F.concat(group, F.lit("003A0200["), F.col("channel").cast("string"), F.lit("]/"))))
@@ -210,7 +225,7 @@ def waveform_elements(documents: DataFrame, groups: DataFrame, channels: DataFra
 
 
 def presentation_elements(documents: DataFrame, images: DataFrame, graphics: DataFrame) -> DataFrame:
-    """Element rows of presentation states.
+    """Element lists of presentation states.
 
     ``documents`` as for reports, with label, created_date, created_time, rotation, flipped, center, width. ``images`` that they refer to: file_path, series_uid, sop_class,
     sop_uid. ``graphics``: file_path, annotation (numbers from 0), layer, place (its order in the annotation, from 0), units, kind, points
@@ -218,28 +233,28 @@ def presentation_elements(documents: DataFrame, images: DataFrame, graphics: Dat
     """
     c = _optional(documents)
     window = lambda name: F.when(c("center", "double").isNotNull() & c("width", "double").isNotNull(), encoding.decimal(c(name, "double")))
-    out = elements(documents, [
+    out = element_lists(documents, [
         *_common(c), ("00700080", "CS", c("label")), ("00700082", "DA", c("created_date")), ("00700083", "TM", c("created_time")), ("00700041", "CS", F.when(F.coalesce(c("flipped", "boolean"), F.lit(False)), "Y").otherwise("N")),
         ("00700042", "US", F.array(F.coalesce(c("rotation", "int"), F.lit(0)))), ("20500020", "CS", F.lit("IDENTITY")), ("00283110[0]/00281050", "DS", window("center")), ("00283110[0]/00281051", "DS", window("width")),
     ])
     i = images.withColumns({"a": F.dense_rank().over(Window.partitionBy("file_path").orderBy("series_uid")) - 1, "b": F.row_number().over(Window.partitionBy("file_path", "series_uid").orderBy("sop_uid")) - 1})
     series = F.concat(F.lit("00081115["), F.col("a").cast("string"), F.lit("]/"))
-    out = out.unionByName(elements(i.dropDuplicates(["file_path", "a"]), [("0020000E", "UI", F.col("series_uid"))], series))
-    out = out.unionByName(elements(i, [("00081150", "UI", F.col("sop_class")), ("00081155", "UI", F.col("sop_uid"))], F.concat(series, F.lit("00081140["), F.col("b").cast("string"), F.lit("]/"))))
+    out = out.unionByName(element_lists(i.dropDuplicates(["file_path", "a"]), [("0020000E", "UI", F.col("series_uid"))], series))
+    out = out.unionByName(element_lists(i, [("00081150", "UI", F.col("sop_class")), ("00081155", "UI", F.col("sop_uid"))], F.concat(series, F.lit("00081140["), F.col("b").cast("string"), F.lit("]/"))))
     layers = graphics.groupBy("file_path", "layer").agg(F.min("annotation").alias("first")).withColumn("order", F.row_number().over(Window.partitionBy("file_path").orderBy("first", "layer")))
-    out = out.unionByName(elements(layers, [("00700002", "CS", F.col("layer")), ("00700062", "IS", F.col("order").cast("string"))], F.concat(F.lit("00700060["), (F.col("order") - 1).cast("string"), F.lit("]/"))))
+    out = out.unionByName(element_lists(layers, [("00700002", "CS", F.col("layer")), ("00700062", "IS", F.col("order").cast("string"))], F.concat(F.lit("00700060["), (F.col("order") - 1).cast("string"), F.lit("]/"))))
     annotation = F.concat(F.lit("00700001["), F.col("annotation").cast("string"), F.lit("]/"))
-    out = out.unionByName(elements(graphics.groupBy("file_path", "annotation").agg(F.min_by("layer", "place").alias("layer")), [("00700002", "CS", F.col("layer"))], annotation))
-    return out.unionByName(elements(graphics, [
+    out = out.unionByName(element_lists(graphics.groupBy("file_path", "annotation").agg(F.min_by("layer", "place").alias("layer")), [("00700002", "CS", F.col("layer"))], annotation))
+    return out.unionByName(element_lists(graphics, [
         ("00700005", "CS", F.coalesce("units", F.lit("PIXEL"))), ("00700020", "US", F.array(F.lit(2))), ("00700021", "US", F.array(F.floor(F.size("points") / 2))), ("00700022", "FL", F.col("points")), ("00700023", "CS", F.col("kind")),
         ("00700024", "CS", F.when(F.col("filled"), "Y").when(~F.col("filled"), "N")),
     ], F.concat(annotation, F.lit("00700009["), F.col("place").cast("string"), F.lit("]/"))))
 
 
 def document_elements(documents: DataFrame) -> DataFrame:
-    """Element rows of encapsulated documents: those of reports, with ``data`` (bytes), and title, mime_type, concept (code), content_date, content_time; empty ones are left out."""
+    """Element lists of encapsulated documents: those of reports, with ``data`` (bytes), and title, mime_type, concept (code), content_date, content_time; empty ones are left out."""
     c = _optional(documents)
-    return elements(documents.where(F.octet_length("data") > 0), [
+    return element_lists(documents.where(F.octet_length("data") > 0), [
         *[(tag, vr, F.lit("DOC") if tag == "00080060" else value) for tag, vr, value in _common(c)], ("00080023", "DA", c("content_date")), ("00080033", "TM", c("content_time")), ("00420010", "ST", c("title")),
         *(_code("0040A043", F.col("concept")) if "concept" in documents.columns else []), ("00420012", "LO", F.coalesce(c("mime_type"), F.lit("application/pdf"))), ("00420015", "UL", F.array(F.octet_length("data"))), ("00420011", "OB", F.col("data")),
     ])

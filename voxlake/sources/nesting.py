@@ -6,17 +6,27 @@ element begins is a running sum in the order of the file.
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import encoding
 from ..operators.rounds import settled
 from ..operators.running import with_running_sums
+from . import part10
 
 #: Bytes of the head of an item and of a sequence; a file's preamble and mark.
 ITEM, SEQUENCE, MARK = 8, 12, b"\0" * 128 + b"DICM"
 #: Fixed value: uncompressed, explicit, least byte first.
 EXPLICIT_LE = "1.2.840.10008.1.2.1"
+#: Bytes of a number in values that are given as numbers.
+FORMS = {"SB": 1, "UB": 1}
+#: Files whose elements are taken out of a batch at once.
+SLICE = 200
 
 
 def place_key(path: Column) -> Column:
@@ -76,3 +86,78 @@ def files(tree: DataFrame, heads: DataFrame, file: str = "file_path") -> DataFra
     parts = F.transform(F.array_sort(F.collect_list(F.struct("key", "bytes"))), lambda n: n["bytes"])
     bodies = tree.groupBy(file).agg(encoding.joined(parts).alias("body"))
     return heads.join(bodies, file, "left").select(file, F.concat("head", F.coalesce("body", F.lit(b""))).alias("content"))
+
+
+def _nested(elements: list[tuple]) -> list[tuple[int, str, object]]:
+    """(tag, representation, value) lists, one for each item, by the paths of elements (path, vr, value); those of an item in any order."""
+    root: dict[int, list] = {}
+    for path, representation, value in elements:
+        node, steps = root, path.split("/")
+        empty = representation == "SQ" or steps[-1].endswith("]")
+        for step in steps if empty else steps[:-1]:
+            items = node.setdefault(int(step[:8], 16), ["SQ", {}])[1]
+            if step.endswith("]"):
+                node = items.setdefault(int(step[9:-1]), {})
+        if not empty:
+            node[int(steps[-1], 16)] = [representation, value]
+
+    def listed(node: dict[int, list]) -> list[tuple[int, str, object]]:
+        return [(tag, vr, [listed(v[i]) for i in sorted(v)] if vr == "SQ" else v) for tag, (vr, v) in sorted(node.items())]
+
+    return listed(root)
+
+
+def _packed(value: bytes, form: str) -> bytes:
+    """Numbers, given as texts with blanks between, as ``encoding.numbers`` writes them."""
+    texts = value.decode().split()
+    if form == "FL":
+        # Zero below zero is written as zero.
+        return struct.pack(f"<{len(texts)}f", *(float(t) or 0.0 for t in texts))
+    if form == "AT":
+        return b"".join(struct.pack("<HH", int(t) >> 16 & 0xFFFF, int(t) & 0xFFFF) for t in texts)
+    width = FORMS.get(form) or encoding.WIDTH[form]
+    return b"".join((int(t) & (1 << 8 * width) - 1).to_bytes(width, "little") for t in texts)
+
+
+def _head(sop_class: str | None, sop_uid: str | None) -> bytes:
+    """What ``meta`` gives."""
+    group = part10._encode([(0x00020001, "OB", b"\0\1"), (0x00020002, "UI", sop_class or ""), (0x00020003, "UI", sop_uid or ""), (0x00020010, "UI", EXPLICIT_LE)], True, "<")
+    return MARK + part10._encode([(0x00020000, "UL", [len(group)])], True, "<") + group
+
+
+def whole_files(rows: DataFrame, documents: DataFrame, file: str = "file_path") -> DataFrame:
+    """(file, content): the files that ``files(nodes(rows), heads)`` gives with heads by ``meta``, out of each file's elements at once, in one shuffle.
+
+    ``documents``: file, sop_class, sop_uid.
+
+    ``rows`` as for ``nodes``, or ``building``'s lists. For files whose elements fit a task; of larger
+    ones ``nodes`` spreads the elements over tasks.
+    """
+    if "names" not in rows.columns:
+        rows = rows.select(file, F.col("path").alias("before"), F.concat(F.lit(":"), F.coalesce("vr", F.lit("")), F.lit(":")).alias("names"), F.array("value").alias("values"))
+    # By a number of partitions, as few bytes may be much work.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gathered = rows.repartition(tasks, file).groupBy(file).agg(F.collect_list(F.struct("before", "names", "values")).alias("elements"))
+    grouped = documents.select(file, "sop_class", "sop_uid").repartition(tasks, file).join(gathered, file, "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[list[str]]] = {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                held = part["elements"].flatten()
+                lists = zip(*(held.field(c).to_pylist() for c in ("before", "names", "values")), strict=True)
+                counts = [n or 0 for n in part["elements"].value_lengths().to_pylist()]
+                contents = []
+                for sop_class, sop_uid, count in zip(part["sop_class"].to_pylist(), part["sop_uid"].to_pylist(), counts, strict=True):
+                    kept = []
+                    for before, names, values in islice(lists, count):
+                        if names not in known:
+                            known[names] = [name.split(":") for name in names.split(" ")]
+                        for (tag, vr, form), value in zip(known[names], values, strict=True):
+                            if value is not None or vr == "SQ" or not vr:
+                                kept.append((before + tag, vr, _packed(value, form) if form else value))
+                    contents.append(_head(sop_class, sop_uid) + part10._encode(_nested(kept), True, "<"))
+                yield pa.RecordBatch.from_arrays([part[file], pa.array(contents, pa.binary())], [file, "content"])
+
+    return grouped.select(file, "sop_class", "sop_uid", "elements").mapInArrow(run, f"{file} string, content binary")
