@@ -109,3 +109,17 @@ def test_progress_listener(spark, tmp_path):
     finally:
         spark.streams.removeListener(seen)
     assert sum(n for _, n in seen.batches[query.id]) == 7
+
+
+def test_keys_share_a_bucket(spark, tmp_path):
+    """Keys of one bucket keep their own states and times, and the store has as many rows of values as buckets."""
+    feed = Feed(spark, tmp_path, ARRIVAL, lambda s: tracking.volume_progress(s, 600, 1))
+    feed.add(*((f"v{i}", 0, 1, 2, 0) for i in range(20)), (None, 0, 1, 2, 0))
+    feed.add(("late", 0, 1, 2, 5), ("v0", 1, 1, 2, 5))
+    feed.add(("x", 0, 1, 1, 13))
+    feed.add(("x", 0, 1, 1, 14))
+    ended = {(r.volume, r.event) for r in feed.run() if r.event != "slice"}
+    assert ended == {*((f"v{i}", "expired") for i in range(1, 20)), (None, "expired"), ("v0", "complete"), ("x", "complete")}
+    feed.add(("late", 1, 1, 2, 14), ("x", 0, 1, 1, 60))
+    feed.add(("x", 0, 2, 1, 61))
+    assert {(r.volume, r.event) for r in feed.run() if r.event not in ("slice", "expired")} == {("v0", "complete"), ("x", "complete"), ("late", "complete"), ("x", "refined")}

@@ -12,14 +12,22 @@ from .tables import table
 
 #: Seconds after which a key is forgotten: longer than the tables' time.
 _PATIENCE = 20 * 365 * 86_400.0
+#: Rows of a bucket of keys.
+_BUCKET = 10_000
+
+
+def _buckets(rows: DataFrame) -> int:
+    """As many buckets of keys as the rows need: their states stay of one size as tables grow."""
+    return max(64, rows.count() // _BUCKET)
 
 
 def _streamed(spark: SparkSession, rows: DataFrame, make) -> DataFrame:
     """What ``make`` appends for ``rows``, read as a stream in several batches."""
     tracking.with_state_store(spark)
     source, sink, checkpoint = (shared_folder(spark, f"stream-{n}") for n in ("source", "sink", "checkpoint"))
-    rows.repartition(4).write.parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source).withWatermark("at", "1 minute")
+    files = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartition(files).write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files // 2).parquet(source).withWatermark("at", "1 minute")
     run = make(stream).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(sink)
@@ -43,4 +51,4 @@ def commitment_events(spark: SparkSession, d: str) -> DataFrame:
     names = lambda *n: F.array(*map(F.lit, n)).alias("instances")
     requests = o.select("transaction", F.lit("request").alias("kind"), names("i0", "i1", "i2"), F.array().cast("array<string>").alias("failed"), F.array().cast("array<int>").alias("reasons"), "at")
     reports = o.where("o_orderkey % 4 <> 0").select("transaction", F.lit("report").alias("kind"), names("i0"), F.array(F.lit("i1")).alias("failed"), F.array((1 + F.col("o_custkey") % 300).cast("int")).alias("reasons"), "at")
-    return _streamed(spark, requests.unionByName(reports), lambda s: tracking.commitments(s, _PATIENCE))
+    return _streamed(spark, requests.unionByName(reports), lambda s: tracking.commitments(s, _PATIENCE, _buckets(o)))
