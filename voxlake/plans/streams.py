@@ -38,7 +38,7 @@ SELECT CAST(user_id AS VARCHAR) AS volume, count(*) AS slices, sum(layer)::BIGIN
 def volume_events(spark: SparkSession, d: str) -> DataFrame:
     """Events as layers of the four slices of users' volumes: how many slices came, their highest layers, and whether all were there."""
     e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("volume"), (F.col("event_id") % 4).cast("int").alias("slice"), (F.col("event_id") % 3).cast("int").alias("layer"), F.lit(4).alias("total"), F.lit("2024-01-01").cast("timestamp").alias("at"))
-    found = _streamed(spark, e, lambda s: tracking.volume_progress(s, _PATIENCE))
+    found = _streamed(spark, e, lambda s: tracking.volume_progress(s, _PATIENCE, _buckets(e)))
     highest = found.where("slice is not null").groupBy("volume", "slice").agg(F.max("layer").alias("layer"))
     complete = found.groupBy("volume").agg(F.coalesce(F.bool_or(F.col("event") == "complete"), F.lit(False)).alias("complete"))
     return highest.groupBy("volume").agg(F.count("*").alias("slices"), F.sum("layer").alias("layers")).join(complete, "volume")
