@@ -98,6 +98,24 @@ def test_directory_files(spark):
     assert empty["00041200"].numbers == [0.0] and empty["00041220"].length == 0
 
 
+def test_directory_files_in_pieces(spark):
+    """No value or parse holds more than a piece's records, and the pieces' elements are those of the whole files."""
+    kinds = "file_path string, place int, patient_id string, patient_name string, study_uid string, study_id string, study_date string, series_uid string, modality string, series_number int, file_id array<string>, sop_class string, sop_uid string, transfer_syntax string, instance_number int"
+    rows = [(d, i, f"p{i % 2}", "N^a", f"1.{i % 4}", "s", None, f"2.{i % 8}", "MR", i % 8, ["IMG", f"F{i}"], None, f"3.{i}", None, i) for d in "de" for i in range(24)]
+    images = spark.createDataFrame(rows, kinds)
+    sets = spark.createDataFrame([("d", "SET", "9.1"), ("e", "SET", "9.1"), ("empty", None, "9.2")], "file_path string, file_set_id string, sop_uid string")
+    whole = {r.file_path: bytes(r.content) for r in building.directory_files(images, sets).collect()}
+    pieces = building.directory_pieces(images, sets, 5)
+    found = pieces.collect()
+    assert sorted((r.file_path, r.item) for r in found if r.item is not None) == [(d, n) for d in "de" for n in range(5, 38, 5)] and len(found) == 2 * 8 + 1
+    for r in found:
+        assert bytes(r.content) == whole[r.file_path][r.offset : r.offset + len(r.content)]
+    columns = ("file_path", "path", "offset", "length", "vr", "values", "numbers", "binary")
+    told = part10.element_rows(part10.elements(building.directory_files(images, sets), strict=True)).select(*columns)
+    again = part10.element_rows(part10.piece_elements(pieces, media.RECORDS)).select(*columns)
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, told.collect()))
+
+
 def test_whole_files_are_those_of_the_nodes(spark, tree):
     rows = spark.createDataFrame([*flat(tree), ("f", "00100020", "LO", None)], ROWS)
     documents = spark.createDataFrame([("f", "1.2", "1.3"), ("none", None, "1.4")], "file_path string, sop_class string, sop_uid string")

@@ -10,9 +10,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
+def spread(rows: DataFrame, *key: str) -> DataFrame:
     """``rows`` dealt by a key over as many tasks as shuffles have: a table in one file of few row groups is else read, and all that follows is done, by as few tasks."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
 
 
 def instances(spark: SparkSession, d: str) -> DataFrame:

@@ -23,6 +23,9 @@ WAVEFORM = {"12-lead ECG": "1.2.840.10008.5.1.4.1.1.9.1.1", "general ECG": "1.2.
 #: What samples are called, their bits and their range.
 SAMPLES = {"SB": (8, -128, 127), "UB": (8, 0, 255), "SS": (16, -32768, 32767), "US": (16, 0, 65535)}
 
+#: Records of a piece of a directory file.
+PIECE = 1000
+
 #: (tag, representation, column) of an element.
 Field = tuple[str, str, Column]
 
@@ -103,7 +106,13 @@ def _records(images: DataFrame) -> DataFrame:
 
 
 def directory_files(images: DataFrame, sets: DataFrame) -> DataFrame:
-    """(file_path, content): directory files whose records name the byte offsets of their next sibling and first child.
+    """(file_path, content): the files of ``directory_pieces``, each in one value, which a task has to hold."""
+    return nesting.joined_pieces(directory_pieces(images, sets))
+
+
+def directory_pieces(images: DataFrame, sets: DataFrame, records_each: int = PIECE) -> DataFrame:
+    """Directory files whose records name the byte offsets of their next sibling and first child, in pieces of ``records_each`` records: file_path,
+    offset (of the piece in its file), item (number of its first record, null for the piece that begins the file), content. ``part10.piece_elements`` reads them.
 
     ``images``: file_path (of the directory), place (its order there, whole numbers from 0), patient_id, patient_name, study_uid, study_id, study_date,
     series_uid, modality, series_number, file_id (array), sop_class, sop_uid, transfer_syntax, instance_number. ``sets``: file_path, file_set_id,
@@ -136,7 +145,10 @@ def directory_files(images: DataFrame, sets: DataFrame) -> DataFrame:
     links += [roots.select("file_path", F.lit(tag).alias("path"), F.col(c).alias("link")) for tag, c in (("00041200", "first"), ("00041202", "last"))]
     together = links[0].unionByName(links[1]).unionByName(links[2]).unionByName(links[3])
     patched = F.when(F.col("link").isNull(), F.col("bytes")).otherwise(F.concat(F.substring("bytes", 1, 8), encoding.number(F.col("link"), 4)))
-    return nesting.files(placed.join(together, ["file_path", "path"], "left").withColumn("bytes", patched), heads)
+    patched_nodes = placed.join(together, ["file_path", "path"], "left").withColumn("bytes", patched)
+    # What is outside of the records stands before them.
+    record = F.regexp_extract("path", rf"^{RECORDS}\[(\d+)\]", 1).try_cast("bigint")
+    return nesting.pieces(patched_nodes.withColumn("piece", F.coalesce(F.floor(record / records_each), F.lit(0).cast("bigint"))), heads).withColumn("item", F.when(F.col("offset") > 0, F.col("piece") * records_each)).drop("piece")
 
 
 # Reports

@@ -88,6 +88,23 @@ def files(tree: DataFrame, heads: DataFrame, file: str = "file_path") -> DataFra
     return heads.join(bodies, file, "left").select(file, F.concat("head", F.coalesce("body", F.lit(b""))).alias("content"))
 
 
+def pieces(tree: DataFrame, heads: DataFrame, file: str = "file_path") -> DataFrame:
+    """(file, piece, offset, content): what ``files`` gives, cut where the nodes' ``piece`` goes up in their order from 0. Only a piece's nodes meet in a task; the head
+    is part of the first piece."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("offset", "bytes"))), lambda n: n["bytes"])
+    bodies = tree.groupBy(file, "piece").agg(F.min("offset").alias("offset"), encoding.joined(parts).alias("body"))
+    first = F.coalesce(F.col("piece") == 0, F.lit(True))
+    return heads.join(bodies, file, "left").select(
+        file, F.coalesce("piece", F.lit(0).cast("bigint")).alias("piece"), F.when(first, F.lit(0).cast("bigint")).otherwise(F.col("offset")).alias("offset"), F.concat(F.when(first, F.col("head")).otherwise(F.lit(b"")), F.coalesce("body", F.lit(b""))).alias("content")
+    )
+
+
+def joined_pieces(rows: DataFrame, file: str = "file_path") -> DataFrame:
+    """(file, content) of pieces; each file is one value."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("offset", "content"))), lambda n: n["content"])
+    return rows.groupBy(file).agg(encoding.joined(parts).alias("content"))
+
+
 def _nested(elements: list[tuple]) -> list[tuple[int, str, object]]:
     """(tag, representation, value) lists, one for each item, by the paths of elements (path, vr, value); those of an item in any order."""
     root: dict[int, list] = {}
