@@ -6,10 +6,12 @@ import json
 import sys
 import urllib.parse
 
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from voxlake.operators import rounds
 from voxlake.sources import remote, store, web
 
 STUDIES = [{"0020000D": {"vr": "UI", "Value": [f"1.{i}"]}, "00100020": {"vr": "LO", "Value": [f"p{i % 3}"]}, "00100010": {"vr": "PN", "Value": [{"Alphabetic": f"{'DOE' if i % 2 else 'Roe'}^{i}"}]}, "00080020": {"vr": "DA", "Value": [f"202001{i + 1:02d}"]}, "00201206": {"vr": "IS", "Value": [i]}, "00080061": {"vr": "CS", "Value": ["CT"]}} for i in range(23)]
@@ -141,3 +143,18 @@ def test_failed_tasks_leave_nothing_that_counts(spark, tmp_path):
     remote.write(f"file://{folder}/data/orphan.parquet", b"no table")
     rows.write.format("failing_store").option("batch", "a").mode("append").save()
     assert store.is_published(folder, "a") and store.batches(spark, folder).first().stored == 20
+
+
+def test_large_answers_come_in_small_batches(spark):
+    """A task's answers are not one batch of Arrow, however few its rows."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows = spark.range(0, 64, 1, 1).select(F.encode(F.repeat(F.lit("x"), 100_000), "UTF-8").alias("body"))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    with rounds.small_batches(spark, 1 << 20):
+        found = [r.n for r in rows.mapInArrow(sizes, "n bigint").collect()]
+    assert sum(found) == 64 and max(found) <= 12 and spark.conf.get(name) == before

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +52,19 @@ def ways_to_roots(links: DataFrame, keys: list[str], folds: dict) -> DataFrame:
         joined = rows.where("up is not null").join(far, [*keys, "up"])
         ways = joined.select(*keys, "id", F.col("__up").alias("up"), *(f(F.col(c), F.col(f"__{c}")).alias(c) for c, f in folds.items()))
         rows = settled(rows.where("up is null").unionByName(ways))
+
+
+#: Bytes after which a batch of rows of large values goes to an Arrow function.
+BATCH_BYTES = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None]:
+    """Actions inside hand rows to Arrow functions in batches of about ``most`` bytes: by their number alone, all rows of a task may be one batch."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

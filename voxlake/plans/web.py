@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import elements
-from ..operators.rounds import shared_folder
+from ..operators.rounds import shared_folder, small_batches
 from ..operators.running import with_running_sums
 from ..sources import store, web
 from .registry import query
@@ -28,7 +28,8 @@ def _json(**found: tuple[str, Column]) -> Column:
 
 def _recorded(spark: SparkSession, responses: DataFrame) -> web.RecordedTransport:
     folder = shared_folder(spark, "web")
-    web.record(responses, folder).write.format("noop").mode("overwrite").save()
+    with small_batches(spark):
+        web.record(responses, folder).write.format("noop").mode("overwrite").save()
     return web.RecordedTransport(folder)
 
 

@@ -68,10 +68,12 @@ def record(responses: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = batch["body"].to_pylist()
-            for request, kind, body in zip(batch["request"].to_pylist(), batch["content_type"].to_pylist(), bodies, strict=True):
-                remote.write(f"{folder}/{hashlib.sha256(request.encode()).hexdigest()}", kind.encode() + b"\n" + (body or b""))
-            yield pa.RecordBatch.from_arrays([batch["request"], pa.array([len(b or b"") for b in bodies], pa.int64())], ["request", "bytes"])
+            sizes = []
+            for request, kind, body in zip(batch["request"].to_pylist(), batch["content_type"].to_pylist(), batch["body"], strict=True):
+                content = body.as_py() or b""
+                remote.write(f"{folder}/{hashlib.sha256(request.encode()).hexdigest()}", kind.encode() + b"\n" + content)
+                sizes.append(len(content))
+            yield pa.RecordBatch.from_arrays([batch["request"], pa.array(sizes, pa.int64())], ["request", "bytes"])
 
     return responses.select("request", "content_type", "body").mapInArrow(run, "request string, bytes bigint")
 
