@@ -593,3 +593,14 @@ def test_parity_masks_never_overstate_differences():
         y = np.unique(np.concatenate((x[: len(x) * 9 // 10], rng.integers(0, 2**63, size // 8, dtype=np.uint64))))
         bits = sum(bin((a ^ b) & (2**64 - 1)).count("1") for a, b in zip(jaccard_join.parity_mask(x), jaccard_join.parity_mask(y), strict=True))
         assert bits <= len(np.setxor1d(x, y))
+
+
+def test_jaccard_index_leaves_out_near_sets_that_cannot_link(spark):
+    """Sets of one large cluster that share too little for a link do not meet, however many they are; linked ones do."""
+    common, own = list(range(1000, 1340)), 60
+    rows = [(i, list(range(10_000 + i * 100, 10_000 + i * 100 + own)) + common) for i in range(150)]
+    rows += [(900, common[:40] + list(range(5000, 5360))), (901, common[:39] + [99_999] + list(range(5000, 5360)))]
+    n = jaccard_join.prefix_size(400, 80)
+    sets = [(i, i, 0.0, i, len(x), *jaccard_join.parity_mask(jaccard_join.mix64(np.array(x, np.uint64))), x[:n]) for i, x in rows]
+    sets = spark.createDataFrame(sets, "id bigint, leader bigint, radius double, part bigint, size int, m0 bigint, m1 bigint, prefix array<bigint>")
+    assert [(r.a, r.b) for r in jaccard_join.index_pairs(sets, 80).collect()] == [(900, 901)]
