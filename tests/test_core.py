@@ -240,6 +240,25 @@ def test_record_links_of_any_length(spark):
     assert not links.linked_records(spark, records.where("false")).count()
 
 
+def test_rounds_over_few_records(spark, monkeypatch):
+    """Of records that lie together few take part in the rounds; ways over far records are followed all the same."""
+    rows = [("a", 10 + 200 * i, 10 + 200 * (i + 1) if i + 1 < 20_000 else 0, 0, i == 0) for i in range(20_000)]
+    far = 3 * links.NEAR
+    rows += [("b", 8 + far * i, 8 + far * (i - 1) if i % 2 == 0 else 0, 8 + far * (i - 1) if i % 2 else 0, i == 40) for i in range(41)]
+    rows += [("c", 1, far, 0, False), ("c", far, 1, 0, False), ("c", 7, 0, 0, True)]
+    records = spark.createDataFrame([(*r, r[1] + 5) for r in rows], "directory string, offset bigint, next bigint, lower bigint, root boolean, place bigint")
+    taken, rounds = [], links.ways_to_roots
+    monkeypatch.setattr(links, "ways_to_roots", lambda rows, *a: taken.append(rows.count()) or rounds(rows, *a))
+    found = {(r.directory, r.offset): (r.depth, r.parent) for r in links.linked_records(spark, records, parent="place").collect()}
+    assert 0 < taken[0] < 100
+    assert {v for k, v in found.items() if k[0] == "a"} == {(0, None)} and sum(k[0] == "a" for k in found) == 20_000
+    assert [k for k in found if k[0] == "c"] == [("c", 7)]
+    depth, parent = 0, None
+    for i in range(40, -1, -1):
+        assert found["b", 8 + far * i] == (depth, parent)
+        depth, parent = (depth + 1, 13 + far * i) if i % 2 else (depth, parent)
+
+
 def test_content_trees_of_any_depth(spark):
     rows = [(1, i, i - 1 if i else None, i % 3) for i in range(400)] + [(2, 0, None, 0), (2, 1, 0, 1), (2, 2, 0, 0), (2, 7, 8, 0), (2, 8, 7, 0)]
     tree = links.content_tree(spark, spark.createDataFrame(rows, "doc int, id int, parent int, ord int"))

@@ -23,7 +23,9 @@ def _hex(number: Column, width: int) -> Column:
 
 
 def number(value: Column, width: int) -> Column:
-    return F.unhex(_hex(value, width))
+    """The low ``width`` bytes of a whole number."""
+    whole = value.cast("bigint")
+    return F.encode(F.concat(*(F.chr(F.shiftright(whole, 8 * i).bitwiseAND(F.lit(255).cast("bigint"))) for i in range(width))), "ISO-8859-1")
 
 
 def single_bits(value: Column) -> Column:
@@ -73,6 +75,14 @@ def head(tag: Column, vr: Column, length: Column) -> Column:
     return F.concat(tag_bytes(tag), F.encode(vr, "UTF-8"), F.when(vr.isin(list(LONG_VR)), long).otherwise(number(length, 2)))
 
 
+def element(tag: str, vr: str, value: Column) -> Column:
+    """An element of a value that is bytes; null without one."""
+    long = vr in LONG_VR
+    start = bytes.fromhex(f"{tag[2:4]}{tag[:2]}{tag[6:]}{tag[4:6]}") + vr.encode() + b"\0\0" * long
+    odd = F.octet_length(value) % 2
+    return F.concat(F.lit(start), number(F.octet_length(value) + odd, 4 if long else 2), value, F.when(odd == 1, F.lit(b"\0" if vr in NUL_PADDED else b" ")).otherwise(F.lit(b"")))
+
+
 def item_head(length: Column) -> Column:
     return F.concat(F.lit(b"\xfe\xff\x00\xe0"), number(length, 4))
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rounds import ways_to_roots
+from .rounds import settled, ways_to_roots
 
 
 def labelled_frames(segments: DataFrame, frames: DataFrame) -> DataFrame:
@@ -63,19 +68,79 @@ def key_references(evidence: DataFrame, content: DataFrame, keys: list[str]) ->
     return evidence.select(*keys).unionByName(content.select(*keys).distinct().join(evidence.select(*keys), keys, "left_anti"))
 
 
-def linked_records(spark, records: DataFrame, directory: str = "directory") -> DataFrame:
-    """Records of offset-linked directories that their root reaches, with depth and the offset of their parent.
+#: Offsets whose records' ways are followed together within a task, and records at most; rows that are broadcast at most.
+NEAR, CHUNK, MOST_BROADCAST = 1 << 20, 1 << 16, 500_000
+
+
+def _followed(t: pa.Table) -> pa.Table:
+    """Rows (directory, id, up, depth, parent) with their ways folded up to the first record that is not among them, or their root; those of cycles are left out."""
+    n = t.num_rows
+    d = t[0].combine_chunks()
+    new = np.ones(n, bool)
+    new[1:] = ~pc.fill_null(pc.equal(d[1:], d[:-1]), False).to_numpy(zero_copy_only=False)
+    has = {c: t[c].is_valid().to_numpy() for c in ("id", "up", "parent")}
+    id_, up, parent, depth = (t[c].cast(pa.int64()).fill_null(0).to_numpy().copy() for c in ("id", "up", "parent", "depth"))
+    codes = np.unique(np.concatenate((id_, up)), return_inverse=True)[1].reshape(2, n) + np.cumsum(new) * 2 * n
+    own = np.where(has["id"], codes[0], -1)
+    order = np.argsort(own)
+    at = order[np.minimum(np.searchsorted(own, codes[1], sorter=order), n - 1)]
+    to = np.where(has["up"] & (own[at] == codes[1]), at, -1)
+    for _ in range(n.bit_length() + 1):
+        m = np.flatnonzero(to >= 0)
+        if not len(m):
+            break
+        far = to[m]
+        depth[m] += depth[far]
+        parent[m], has["parent"][m] = np.where(has["parent"][m], parent[m], parent[far]), has["parent"][m] | has["parent"][far]
+        up[m], has["up"][m] = up[far], has["up"][far]
+        to[m] = to[far]
+    kept = to < 0
+    return pa.table([d, t["id"], pa.array(up, mask=~has["up"]), pa.array(depth.astype(np.int32)), pa.array(parent, mask=~has["parent"])], names=t.column_names).filter(pa.array(kept))
+
+
+def _near_ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= CHUNK:
+            yield from _followed(pa.Table.from_batches(held)).to_batches()
+            held, n = [], 0
+    if held:
+        yield from _followed(pa.Table.from_batches(held)).to_batches()
+
+
+def linked_records(spark, records: DataFrame, directory: str = "directory", parent: str = "offset") -> DataFrame:
+    """Records of offset-linked directories that their root reaches, with depth and their parent, by its whole number ``parent``.
 
     Records: (directory, offset, next, lower, root). A record's next is its sibling, its lower its first child. Of several records
     that point to one the first in the file counts. Chains may have any length; records of a cycle that no root reaches are left
     out; an empty table gives an empty result.
+
+    Ways among records that lie together are followed within a task. Where they leave it they meet few records, as a file's records mostly
+    stand in the order of the tree; the rounds are over those alone.
     """
-    points = records.select(directory, F.col("offset").alias("up"), F.explode(F.array(F.struct(F.col("next").alias("id"), F.lit(0).alias("down")), F.struct(F.col("lower").alias("id"), F.lit(1).alias("down")))).alias("p")).select(directory, "up", "p.*")
-    first = points.where("id > 0").groupBy(directory, "id").agg(F.min(F.struct("up", "down")).alias("p"))
-    above = records.select(directory, F.col("offset").alias("id"), F.coalesce("root", F.lit(False)).alias("root")).dropDuplicates([directory, "id"]).join(first, [directory, "id"], "left")
-    start = above.where("root or p is not null").select(directory, "id", F.when(~F.col("root"), F.col("p.up")).alias("up"), F.when(F.col("root"), 0).otherwise(F.col("p.down")).alias("depth"), F.when(~F.col("root") & (F.col("p.down") == 1), F.col("p.up")).alias("parent"))
-    ways = ways_to_roots(start, [directory], {"depth": lambda near, far: near + far, "parent": lambda near, far: F.coalesce(near, far)})
-    return ways.select(directory, F.col("id").alias("offset"), "depth", "parent")
+    pointers = F.array(F.struct(F.col("next").cast("bigint").alias("id"), (F.col("offset") * 2).cast("bigint").alias("up")), F.struct(F.col("lower").cast("bigint").alias("id"), (F.col("offset") * 2 + 1).cast("bigint").alias("up")))
+    points = records.select(directory, F.col(parent).cast("bigint").alias("parent"), F.inline(pointers)).where("id > 0")
+    # The first in the file, and of one record's links the next.
+    first = points.groupBy(directory, "id").agg(F.min("up").alias("p"), F.min_by("parent", "up").alias("parent"))
+    own = records.select(directory, F.col("offset").cast("bigint").alias("id"), F.coalesce("root", F.lit(False)).alias("root")).groupBy(directory, "id").agg(F.max("root").alias("root"))
+    above = own.join(first, [directory, "id"], "left").where("root or p is not null")
+    down = ~F.col("root") & (F.col("p") % 2 == 1)
+    start = above.select(directory, "id", F.when(~F.col("root"), F.shiftright("p", 1)).alias("up"), F.when(down, 1).otherwise(0).alias("depth"), F.when(down, F.col("parent")).alias("parent"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = start.repartition(tasks, directory, F.floor(F.col("id") / NEAR)).sortWithinPartitions(directory, "id")
+    short = settled(dealt.mapInArrow(_near_ways, start.schema))
+    still = short.where("up is not null")
+    met = settled(still.select(directory, F.col("up").alias("id")).distinct())
+    small = F.broadcast if met.count() <= MOST_BROADCAST else lambda rows: rows
+    ways = ways_to_roots(short.join(small(met), [directory, "id"], "left_semi"), [directory], {"depth": lambda near, far: near + far, "parent": lambda near, far: F.coalesce(near, far)})
+    far = ways.select(directory, F.col("id").alias("up"), F.col("depth").alias("above"), F.col("parent").alias("farther"))
+    reached = still.join(small(far), [directory, "up"]).select(directory, "id", (F.col("depth") + F.col("above")).alias("depth"), F.coalesce("parent", "farther").alias("parent"))
+    reached = short.where("up is null").drop("up").unionByName(reached)
+    kind = lambda c: records.schema[c].dataType
+    return reached.select(directory, F.col("id").cast(kind("offset")).alias("offset"), "depth", F.col("parent").cast(kind(parent)).alias("parent"))
 
 
 def content_tree(spark, items: DataFrame, doc: str = "doc", order: str = "ord") -> DataFrame:

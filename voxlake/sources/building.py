@@ -1,6 +1,6 @@
 """Whole objects out of tables: directory files, reports, waveforms, presentation states and documents.
 
-Each builder makes lists of elements (file_path, before, names, values as bytes), or rows of them; ``nesting`` makes files of these. What a table does not have, null
+Each builder makes lists of elements (file_path, before, names, values as bytes), of which ``nesting`` makes files; directory files are laid out record by record. What a table does not have, null
 columns, is left out of the file.
 """
 
@@ -36,13 +36,6 @@ def _value(vr: str, value: Column) -> Column:
     return value if vr in ("OB", "OW") else encoding.texts(value)
 
 
-def elements(rows: DataFrame, fields: list[Field], before: Column | None = None) -> DataFrame:
-    """Element rows of the fields that are not null, below the path ``before``. Numbers of binary representations are arrays."""
-    start = F.lit("") if before is None else before
-    listed = F.array(*(F.struct(F.concat(start, F.lit(tag)).alias("path"), F.lit(vr).alias("vr"), _value(vr, c).alias("value")) for tag, vr, c in fields))
-    return rows.select("file_path", F.inline(F.filter(listed, lambda e: e["value"].isNotNull())))
-
-
 def element_lists(rows: DataFrame, fields: list[Field], before: Column | None = None) -> DataFrame:
     """The fields of each row as (file_path, before, names, values): values are null where there is none, names tell each value's tag and representation.
 
@@ -85,24 +78,53 @@ def objects(documents: DataFrame, rows: DataFrame) -> DataFrame:
 # Directory files
 
 
-def _records(images: DataFrame) -> DataFrame:
-    """A row per record, in the order of ``p, s, e, i``: a level's first place in the directory stands for it, -1 for what lies below."""
-    patient, study, series = ["file_path", "patient_id"], ["file_path", "patient_id", "study_uid"], ["file_path", "patient_id", "study_uid", "series_uid"]
-    first = lambda keys: F.min("place").over(Window.partitionBy(*keys))
-    placed = images.withColumns({"p": first(patient), "s": first(study), "e": first(series)}).withColumn("i", F.col("place"))
-    levels = [("PATIENT", ["p"], ["patient_id", "patient_name"]), ("STUDY", ["p", "s"], ["study_uid", "study_id", "study_date"]), ("SERIES", ["p", "s", "e"], ["series_uid", "modality", "series_number"])]
-    names = ["patient_id", "patient_name", "study_uid", "study_id", "study_date", "series_uid", "modality", "series_number", "file_id", "sop_class", "sop_uid", "transfer_syntax", "instance_number"]
-    own = {"IMAGE": names[8:]} | {kind: columns for kind, _, columns in levels}
-    kinds = dict(images.select(names).dtypes)
+#: The elements of a record's links, whose values are four bytes each.
+_NEXT, _LOWER = b"\x04\0\0\x14UL\x04\0", b"\x04\0\x20\x14UL\x04\0"
+#: What stands between the links: the record is in use.
+_IN_USE = b"\x04\0\x10\x14US\x02\0\xff\xff"
+#: Bytes of a record's links and of what stands between, and of these with the head of its item.
+_LINKS = len(_NEXT) + 4 + len(_IN_USE) + len(_LOWER) + 4
+_FIXED = nesting.ITEM + _LINKS
+
+
+def _body(kind: str, fields: list[tuple[str, str, Column]]) -> Column:
+    """The elements of a record behind its links, those without a value left out."""
+    parts = (encoding.element(tag, vr, encoding.texts(c)) for tag, vr, c in [("00041430", "CS", F.lit(kind)), *fields])
+    return F.concat(*(F.coalesce(part, F.lit(b"")) for part in parts))
 
-    def record(rows: DataFrame, kind: str) -> DataFrame:
-        return rows.select("file_path", "p", "s", "e", "i", F.lit(kind).alias("type"), *(F.col(n) if n in own[kind] else F.lit(None).cast(kinds[n]).alias(n) for n in names))
 
-    out = record(placed, "IMAGE")
-    for kind, keys, columns in levels:
-        rows = placed.groupBy("file_path", *keys).agg(*(F.min_by(c, "place").alias(c) for c in columns))
-        out = out.unionByName(record(rows.withColumns({k: F.lit(-1).cast("bigint") for k in "psei" if k not in keys}), kind))
-    return out
+def _placed(images: DataFrame) -> DataFrame:
+    """A row per image, with the records that begin at it: image, series, study, patient, as bytes behind their links, null where another image begins them.
+
+    Patients, studies and series are ordered by their first places; p is the patient's where it begins. ``end`` and ``m`` are the bytes and records of the patient
+    up to the row's, ``end_e``, ``end_s``, ``end_p`` and ``m_p`` those up to the end of the series, the study and the patient. All are windows within a patient, whose
+    images are shuffled once and sorted twice.
+    """
+    tasks = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Patients before files, as rows are mostly told apart by the first bytes of what they are sorted by.
+    of = lambda *keys: Window.partitionBy("who", "file_path", *keys)
+    rows = images.withColumns({"who": F.coalesce(F.concat(F.lit("="), "patient_id"), F.lit("")), "place": F.col("place").cast("bigint")}).repartition(tasks, "who", "file_path")
+    order = ["s", "study_uid", "e", "series_uid", "place"]
+    run = of().orderBy(*order)
+    other = lambda c: ~F.lag(c).over(run).eqNullSafe(F.col(c))
+    # Each kind's bytes are made between two windows: in one step, their code would be longer than what Java compiles.
+    rows = rows.withColumn("image", _body("IMAGE", [("00041500", "CS", F.array_join("file_id", "\\")), ("00041510", "UI", F.col("sop_class")), ("00041511", "UI", F.col("sop_uid")), ("00041512", "UI", F.col("transfer_syntax")), ("00200013", "IS", F.col("instance_number").cast("string"))]))
+    rows = rows.withColumn("e", F.min("place").over(of("study_uid", "series_uid")))
+    rows = rows.withColumn("series", _body("SERIES", [("00080060", "CS", F.col("modality")), ("0020000E", "UI", F.col("series_uid")), ("00200011", "IS", F.col("series_number").cast("string"))]))
+    rows = rows.withColumn("s", F.min("place").over(of("study_uid")))
+    rows = rows.withColumn("study", _body("STUDY", [("00080020", "DA", F.col("study_date")), ("0020000D", "UI", F.col("study_uid")), ("00200010", "SH", F.col("study_id"))]))
+    rows = rows.withColumns({"new_p": F.row_number().over(run) == 1, "new_s": other("study_uid"), "new_e": other("series_uid")})
+    study = F.col("new_p") | F.col("new_s")
+    rows = rows.select(
+        "file_path", "who", *order, F.when(F.col("new_p"), F.col("s")).alias("p"), "image", F.when(study | F.col("new_e"), F.col("series")).alias("series"), F.when(study, F.col("study")).alias("study"),
+        F.when(F.col("new_p"), _body("PATIENT", [("00100010", "PN", F.col("patient_name")), ("00100020", "LO", F.col("patient_id"))])).alias("patient"),
+    )
+    none, begun = F.lit(0).cast("bigint"), ("image", "series", "study", "patient")
+    so_far = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"end": F.sum(sum((F.coalesce(F.octet_length(c) + _FIXED, F.lit(0)) for c in begun), none)).over(so_far), "m": F.sum(sum((F.col(c).isNotNull().cast("bigint") for c in begun), none)).over(so_far)})
+    for name, n in (("end_e", 4), ("end_s", 2)):
+        rows = rows.withColumn(name, F.max("end").over(of(*order[:n])))
+    return rows.withColumns({"end_p": F.max("end").over(of()), "m_p": F.max("m").over(of())}).drop(*order)
 
 
 def directory_files(images: DataFrame, sets: DataFrame) -> DataFrame:
@@ -116,39 +138,42 @@ def directory_pieces(images: DataFrame, sets: DataFrame, records_each: int = PIE
 
     ``images``: file_path (of the directory), place (its order there, whole numbers from 0), patient_id, patient_name, study_uid, study_id, study_date,
     series_uid, modality, series_number, file_id (array), sop_class, sop_uid, transfer_syntax, instance_number. ``sets``: file_path, file_set_id,
-    sop_uid. Patients, studies and series stand where their first image does. Records are laid out with empty links, whose size does
-    not depend on them; running sums of the sizes then give the offsets that are put in.
+    sop_uid. Patients, studies and series stand where their first image does. How long a record is does not depend on its links, so
+    sums of the sizes within each patient, and of the patients' sizes before, give the offsets that are put in.
     """
-    images = images.withColumn("place", F.col("place").cast("bigint"))
-    ordered = with_running_sums(_records(images).withColumn("one", F.lit(1).cast("bigint")), ["file_path"], ["p", "s", "e", "i"], {"n": "one"})
-    level = F.when(F.col("type") == "PATIENT", F.array(F.lit(-1).cast("bigint"))).when(F.col("type") == "STUDY", F.array("p")).when(F.col("type") == "SERIES", F.array("p", "s")).otherwise(F.array("p", "s", "e"))
-    siblings = Window.partitionBy("file_path", "type", "level").orderBy("n")
-    # In this order a record's first child, which all but images have, follows it.
-    records = settled(ordered.withColumn("level", level).withColumns({"next": F.lead("n").over(siblings), "lower": F.when(F.col("type") != "IMAGE", F.col("n") + 1)}).drop("one", "level"))
-    none = lambda: F.array(F.lit(0))
-    fields: list[Field] = [
-        ("00041400", "UL", none()), ("00041410", "US", F.array(F.lit(0xFFFF))), ("00041420", "UL", none()), ("00041430", "CS", F.col("type")),
-        ("00041500", "CS", F.array_join("file_id", "\\")), ("00041510", "UI", F.col("sop_class")), ("00041511", "UI", F.col("sop_uid")), ("00041512", "UI", F.col("transfer_syntax")),
-        ("00080020", "DA", F.col("study_date")), ("00080060", "CS", F.col("modality")), ("00100010", "PN", F.col("patient_name")), ("00100020", "LO", F.col("patient_id")),
-        ("0020000D", "UI", F.col("study_uid")), ("0020000E", "UI", F.col("series_uid")), ("00200010", "SH", F.col("study_id")), ("00200011", "IS", F.col("series_number").cast("string")), ("00200013", "IS", F.col("instance_number").cast("string")),
-    ]
-    inside = elements(records, fields, F.concat(F.lit(f"{RECORDS}["), F.col("n").cast("string"), F.lit("]/")))
-    outside = elements(sets, [("00041130", "CS", F.col("file_set_id")), ("00041200", "UL", none()), ("00041202", "UL", none()), ("00041212", "US", none())])
-    bare = sets.join(records.select("file_path").distinct(), "file_path", "left_anti").select("file_path", F.lit(RECORDS).alias("path"), F.lit("SQ").alias("vr"), F.lit(None).cast("binary").alias("value"))
-    heads = sets.select("file_path", nesting.meta(F.lit(DIRECTORY), F.col("sop_uid")).alias("head"))
-    placed = settled(nesting.with_offsets(nesting.nodes(inside.unionByName(outside).unionByName(bare)), heads))
-    item = rf"^{RECORDS}\[(\d+)\]$"
-    offsets = placed.where(F.col("path").rlike(item)).select("file_path", F.regexp_extract("path", item, 1).cast("bigint").alias("n"), "offset")
-    at = lambda column: records.where(f"{column} is not null").select("file_path", F.col("n").alias("own"), F.col(column).alias("n")).join(offsets, ["file_path", "n"])
-    links = [at(column).select("file_path", F.concat(F.lit(f"{RECORDS}["), F.col("own").cast("string"), F.lit(f"]/{tag}")).alias("path"), F.col("offset").alias("link")) for column, tag in (("next", "00041400"), ("lower", "00041420"))]
-    roots = records.where("type = 'PATIENT'").join(offsets, ["file_path", "n"]).groupBy("file_path").agg(F.min("offset").alias("first"), F.max("offset").alias("last"))
-    links += [roots.select("file_path", F.lit(tag).alias("path"), F.col(c).alias("link")) for tag, c in (("00041200", "first"), ("00041202", "last"))]
-    together = links[0].unionByName(links[1]).unionByName(links[2]).unionByName(links[3])
-    patched = F.when(F.col("link").isNull(), F.col("bytes")).otherwise(F.concat(F.substring("bytes", 1, 8), encoding.number(F.col("link"), 4)))
-    patched_nodes = placed.join(together, ["file_path", "path"], "left").withColumn("bytes", patched)
+    rows = settled(_placed(images))
+    patients = rows.where("patient is not null").select("file_path", "p", "who", F.col("end_p").alias("bytes"), F.col("m_p").alias("records"))
+    # Of the records before a patient's, the sums are over one row for each patient.
+    based = settled(with_running_sums(patients, ["file_path"], ["p", "who"], {"before": "bytes", "first": "records"}))
+    totals = based.groupBy("file_path").agg(F.sum("bytes").alias("total"), F.max("before").alias("last"))
+    front = sets.join(totals, "file_path", "left").withColumns({"head": nesting.meta(F.lit(DIRECTORY), F.col("sop_uid")), "name": F.coalesce(encoding.element("00041130", "CS", encoding.texts(F.col("file_set_id"))), F.lit(b""))})
+    outside = lambda first, last: F.concat("head", "name", encoding.element("00041200", "UL", encoding.number(first, 4)), encoding.element("00041202", "UL", encoding.number(last, 4)), encoding.element("00041212", "US", F.lit(b"\0\0")))
+    none = F.lit(0).cast("bigint")
+    front = front.withColumn("start", F.octet_length(outside(none, none)).cast("bigint") + nesting.SEQUENCE)
+    at = lambda c: F.when(F.col("total").isNotNull(), c).otherwise(none)
     # What is outside of the records stands before them.
-    record = F.regexp_extract("path", rf"^{RECORDS}\[(\d+)\]", 1).try_cast("bigint")
-    return nesting.pieces(patched_nodes.withColumn("piece", F.coalesce(F.floor(record / records_each), F.lit(0).cast("bigint"))), heads).withColumn("item", F.when(F.col("offset") > 0, F.col("piece") * records_each)).drop("piece")
+    sequence = encoding.head(F.lit(RECORDS), F.lit("SQ"), F.coalesce("total", none))
+    begins = front.select("file_path", none.alias("piece"), F.lit(-1).cast("bigint").alias("n"), none.alias("offset"), F.concat(outside(at(F.col("start")), at(F.col("start") + F.col("last"))), sequence).alias("bytes"))
+    bases = based.join(front.select("file_path", "start", "total"), "file_path").select("file_path", "who", (F.col("start") + F.col("before")).alias("start"), "first", (F.col("before") + F.col("bytes") < F.col("total")).alias("more"))
+    placed = rows.join(bases, ["who", "file_path"])
+    sizes = {c: F.octet_length(c) + _FIXED for c in ("image", "series", "study", "patient")}
+
+    def record(kind: str, back: int, behind: list[str], end: str, more: Column) -> Column:
+        """The record of a kind, which ``back`` others and those of ``behind`` follow up to the row's end; its next sibling, if there are ``more``, begins at ``end``."""
+        offset = F.col("start") + F.col("end") - sum((sizes[c] for c in behind), sizes[kind])
+        lower = none if kind == "image" else offset + sizes[kind]
+        one = F.struct((F.col("first") + F.col("m") - back - 1).alias("n"), offset.alias("offset"), F.when(more, F.col("start") + F.col(end)).otherwise(none).alias("next"), lower.alias("lower"), F.col(kind).alias("body"))
+        return F.when(F.col(kind).isNotNull(), one)
+
+    # A record's first child, which all but images have, follows it.
+    each = F.array(
+        record("image", 0, [], "end", F.col("end") < F.col("end_e")), record("series", 1, ["image"], "end_e", F.col("end_e") < F.col("end_s")),
+        record("study", 2, ["image", "series"], "end_s", F.col("end_s") < F.col("end_p")), record("patient", 3, ["image", "series", "study"], "end_p", F.col("more")),
+    )
+    records = placed.select("file_path", F.inline(F.array_compact(each)))
+    item = F.concat(encoding.item_head(F.octet_length("body") + _LINKS), F.lit(_NEXT), encoding.number(F.col("next"), 4), F.lit(_IN_USE + _LOWER), encoding.number(F.col("lower"), 4), "body")
+    records = records.select("file_path", F.floor(F.col("n") / records_each).alias("piece"), "n", "offset", item.alias("bytes"))
+    return nesting.pieces(records.unionByName(begins)).select("file_path", "offset", F.when(F.col("offset") > 0, F.col("piece") * records_each).alias("item"), "content")
 
 
 # Reports

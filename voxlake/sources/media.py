@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zipfile
 import zlib
@@ -10,11 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantity import frame_file_name
 from ..functions.text import zip_entry_disposition
+from ..operators.rounds import settled, small_batches
+from . import part10
 
 #: The sequence of directory records, and their elements.
 RECORDS, FIRST_ROOT = "00041220", "00041200"
@@ -22,6 +26,10 @@ RECORD = {
     "next": ("00041400", "number"), "in_use": ("00041410", "number"), "lower": ("00041420", "number"), "type": ("00041430", "text"), "file_id": ("00041500", "parts"), "sop_class": ("00041510", "text"), "sop_uid": ("00041511", "text"),
     "patient_id": ("00100020", "text"), "patient_name": ("00100010", "text"), "study_uid": ("0020000D", "text"), "series_uid": ("0020000E", "text"), "modality": ("00080060", "text"), "instance_number": ("00200013", "text"),
 }
+#: What an item begins with, and representations as the numbers that their letters are.
+ITEM = b"\xfe\xff\0\xe0"
+UL, US = (int.from_bytes(vr, "little") for vr in (b"UL", b"US"))
+TEXT, LONG = (np.isin(np.arange(1 << 16), [int.from_bytes(vr.encode(), "little") for vr in names]) for names in (part10._TEXT - set(part10.LONG_VR) - part10._WHOLE, part10.LONG_VR))
 #: Bytes before the value of an item's first element: its head and the item's.
 HEADS = 16
 #: Bytes and entries after which a batch of archives' entries is passed on.
@@ -92,6 +100,122 @@ def directory_records(rows: DataFrame) -> DataFrame:
     return records.join(roots, "directory", "left").withColumn("root", F.coalesce(F.col("offset") == F.col("first"), F.lit(False))).drop("first")
 
 
+def _values(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, kind: str) -> pa.Array:
+    """Values of ``sizes`` bytes, below 0 where there is none, as ``directory_records`` has them."""
+    there = sizes >= 0
+    if kind == "number":
+        number = np.zeros(len(starts), np.int64)
+        for i in range(4):
+            number[there] |= np.where(i < sizes[there], buf[np.minimum(starts[there] + i, len(buf) - 1)], 0).astype(np.int64) << 8 * i
+        return pa.array(number, mask=~there)
+    sizes = np.maximum(sizes, 0)
+    # Filled to an even length.
+    sizes = sizes - ((sizes > 0) & (buf[np.maximum(starts + sizes - 1, 0)] == 0))
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    flat = buf[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)]
+    held = pa.Array.from_buffers(pa.binary(), len(starts), [pa.py_buffer(np.packbits(there, bitorder="little")), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
+    if not ((flat == 0) | (flat > 127)).any():
+        texts = pc.utf8_trim(held.cast(pa.string()), " ") if (flat == 32).any() else held.cast(pa.string())
+        if not (flat == 92).any():
+            return texts
+        if kind == "parts" and not pc.any(pc.match_substring_regex(texts, r" \\|\\ ")).as_py():
+            return pc.replace_substring(texts, "\\", "/")
+    listed = [None if v is None else [x.strip(" \0") for x in part10.decode_text(v, "").split("\\")] for v in held.to_pylist()]
+    return pa.array([None if v is None else "/".join(v) if kind == "parts" else v[0] for v in listed], pa.string())
+
+
+def _plain_records(data: bytes, offset: int, item: int, names: list[str]) -> pa.RecordBatch | None:
+    """Records of whole items, all of a piece at once, element by element; null where one is written in a way that only ``part10`` reads: without lengths,
+    with sequences or long values, twice, or cut."""
+    starts, at = [], 0
+    while at < len(data):
+        if data[at : at + 4] != ITEM or at + 8 > len(data):
+            return None
+        starts.append(at)
+        at += 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+    if at != len(data) or not starts:
+        return None
+    buf, begin = np.frombuffer(data, np.uint8), np.array(starts)
+    row, cur, end = np.arange(len(begin)), begin + 8, np.append(begin[1:], len(data))
+    if (cur == end).any():
+        return None
+    tags = np.array([int(RECORD[n][0], 16) for n in names])
+    order = np.argsort(tags)
+    ordered = tags[order]
+    places, sizes = np.zeros((len(names), len(row)), np.int64), np.full((len(names), len(row)), -1)
+    numbers = np.array([RECORD[n][1] == "number" for n in names])
+    steps = np.arange(8)
+    while len(row):
+        if (cur + 8 > end).any():
+            return None
+        head = buf[cur[:, None] + steps].view("<u2")
+        vr, start, size = head[:, 2], cur + 8, head[:, 3].astype(np.int64)
+        cur = start + size
+        if LONG[vr].any() or (head[:, 0] == 0xFFFE).any() or (cur > end).any():
+            return None
+        tag = head[:, 0].astype(np.int64) << 16 | head[:, 1]
+        slot = order[np.minimum(np.searchsorted(ordered, tag), len(tags) - 1)]
+        hit = np.flatnonzero(tags[slot] == tag)
+        slot, to, vr = slot[hit], row[hit], vr[hit]
+        whole = ((vr == UL) & (size[hit] == 4)) | ((vr == US) & (size[hit] == 2))
+        if not np.where(numbers[slot], whole, TEXT[vr]).all() or (sizes[slot, to] >= 0).any():
+            return None
+        places[slot, to], sizes[slot, to] = start[hit], size[hit]
+        live = cur < end
+        if not live.all():
+            row, cur, end = row[live], cur[live], end[live]
+    columns = [_values(buf, places[k], sizes[k], RECORD[n][1]) for k, n in enumerate(names)]
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(item, item + len(begin)), pa.int32()), pa.array(begin + offset), *columns], ["place", "offset", *names])
+
+
+def _any_records(rows: list[dict], names: list[str]) -> pa.RecordBatch:
+    """Records of element rows, as ``directory_records`` has them."""
+    found: dict[int, dict] = {}
+    tags = {RECORD[n][0]: n for n in names}
+    for r in rows:
+        place = re.fullmatch(rf"{RECORDS}\[(\d+)\]/([0-9A-F]{{8}})", r["path"])
+        if place:
+            record = found.setdefault(int(place[1]), {"offset": r["offset"] - HEADS})
+            record["offset"] = min(record["offset"], r["offset"] - HEADS)
+            if place[2] in tags:
+                name = tags[place[2]]
+                values, numbers = r.get("values") or [], r.get("numbers") or []
+                kind = RECORD[name][1]
+                value = "/".join(values) if kind == "parts" and r.get("values") is not None else values[0] if kind == "text" and values else int(numbers[0]) if kind == "number" and numbers and numbers[0] is not None else None
+                if value is not None:
+                    record[name] = max(record.get(name, value), value)
+    kinds = {n: pa.int64() if RECORD[n][1] == "number" else pa.string() for n in names}
+    columns = [pa.array([r.get(n) for r in found.values()], t) for n, t in {"offset": pa.int64(), **kinds}.items()]
+    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), *columns], ["place", "offset", *names])
+
+
+def piece_records(pieces: DataFrame, names: tuple[str, ...] = tuple(RECORD)) -> DataFrame:
+    """Directory files in pieces, as ``building.directory_pieces`` gives them and ``part10.piece_elements`` reads them, to what ``directory_records`` gives of their elements,
+    without a row for each element. ``names``: the columns of ``RECORD`` that are wanted."""
+    names = list(names)
+    kinds = ", ".join(f"{n} {'bigint' if RECORD[n][1] == 'number' else 'string'}" for n in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, offset, item, content in zip(batch["file_path"].to_pylist(), batch["offset"].to_pylist(), batch["item"].to_pylist(), batch["content"], strict=True):
+                data, first = content.as_py(), None
+                if item is None:
+                    rows = part10.parse(data)[1]
+                    found = _any_records(rows, names)
+                    first = max((int(r["numbers"][0]) for r in rows if r["path"] == FIRST_ROOT and r.get("numbers")), default=None)
+                else:
+                    found = _plain_records(data, offset, item, names)
+                    if found is None:
+                        found = _any_records(part10.parse_items(data, RECORDS, item, offset), names)
+                n = found.num_rows
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(path, pa.string()), n), *found.columns, pa.repeat(pa.scalar(first, pa.int64()), n)], ["directory", *found.schema.names, "first"])
+
+    with small_batches(pieces.sparkSession):
+        records = settled(pieces.select("file_path", "offset", "item", "content").mapInArrow(run, f"directory string, place int, offset bigint, {kinds}, first bigint"))
+    roots = records.groupBy("directory").agg(F.max("first").alias("first"))
+    return records.drop("first").join(roots, "directory", "left").withColumn("root", F.coalesce(F.col("offset") == F.col("first"), F.lit(False))).drop("first")
+
+
 def png(pixels: np.ndarray, columns: int, samples: int = 1) -> bytes:
     """A PNG picture of 8-bit grey (1 sample) or colour (3 samples) values."""
     lines = pixels.astype(np.uint8).reshape(-1, columns * samples)

@@ -10,12 +10,13 @@ import struct
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import encoding
-from ..operators.rounds import settled
+from ..operators.rounds import BATCH_BYTES, settled
 from ..operators.running import with_running_sums
 from . import part10
 
@@ -65,11 +66,7 @@ def nodes(rows: DataFrame, file: str = "file_path") -> DataFrame:
 
 def meta(sop_class: Column, sop_uid: Column) -> Column:
     """What stands before the data set: the mark, and the group that names the syntax and the instance."""
-
-    def element(tag: str, vr: str, value: Column) -> Column:
-        value = encoding.padded(F.lit(vr), value)
-        return F.concat(encoding.head(F.lit(tag), F.lit(vr), F.octet_length(value)), value)
-
+    element = encoding.element
     texts = (("00020002", sop_class), ("00020003", sop_uid), ("00020010", F.lit(EXPLICIT_LE)))
     group = F.concat(element("00020001", "OB", F.lit(b"\0\1")), *(element(tag, "UI", encoding.texts(F.coalesce(value, F.lit("")))) for tag, value in texts))
     return F.concat(F.lit(MARK), element("00020000", "UL", encoding.number(F.octet_length(group), 4)), group)
@@ -88,15 +85,46 @@ def files(tree: DataFrame, heads: DataFrame, file: str = "file_path") -> DataFra
     return heads.join(bodies, file, "left").select(file, F.concat("head", F.coalesce("body", F.lit(b""))).alias("content"))
 
 
-def pieces(tree: DataFrame, heads: DataFrame, file: str = "file_path") -> DataFrame:
-    """(file, piece, offset, content): what ``files`` gives, cut where the nodes' ``piece`` goes up in their order from 0. Only a piece's nodes meet in a task; the head
-    is part of the first piece."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("offset", "bytes"))), lambda n: n["bytes"])
-    bodies = tree.groupBy(file, "piece").agg(F.min("offset").alias("offset"), encoding.joined(parts).alias("body"))
-    first = F.coalesce(F.col("piece") == 0, F.lit(True))
-    return heads.join(bodies, file, "left").select(
-        file, F.coalesce("piece", F.lit(0).cast("bigint")).alias("piece"), F.when(first, F.lit(0).cast("bigint")).otherwise(F.col("offset")).alias("offset"), F.concat(F.when(first, F.col("head")).otherwise(F.lit(b"")), F.coalesce("body", F.lit(b""))).alias("content")
-    )
+def pieces(rows: DataFrame, file: str = "file_path") -> DataFrame:
+    """(file, piece, offset, content): the bytes of rows (file, piece, n, offset, bytes) one after the other in the order of n, which goes up from piece to piece of a
+    file. Only a piece's rows meet in a task, and one piece is held at once."""
+    # By a number of partitions, as few bytes may be much work.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(file, "piece", "n", "offset", "bytes").repartition(tasks, file, "piece").sortWithinPartitions(file, "piece", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, parts, done, size = None, [], [], 0
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.binary()))], [file, "piece", "offset", "content"])
+
+        last = (-1, -1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            piece, n = (batch[c].to_numpy() for c in ("piece", "n"))
+            # Of two files that meet at pieces of one number, the second begins at a number that the first one's piece has or has behind it.
+            new = (piece != np.concatenate(([last[0]], piece[:-1]))) | (n <= np.concatenate(([last[1]], n[:-1])))
+            new[0] |= begun is None
+            last = int(piece[-1]), int(n[-1])
+            held = batch["bytes"].cast(pa.binary())
+            ends, data = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1], memoryview(held.buffers()[2] or b"")
+            starts = sorted({0, *np.flatnonzero(new).tolist()})
+            for at, to in zip(starts, [*starts[1:], len(n)], strict=True):
+                if new[at]:
+                    if begun is not None:
+                        done.append((*begun, b"".join(parts)))
+                        size += len(done[-1][3])
+                    begun, parts = (batch[file][at].as_py(), int(piece[at]), batch["offset"][at].as_py()), []
+                parts.append(bytes(data[ends[at] : ends[to]]))
+                if size >= BATCH_BYTES:
+                    yield made()
+                    done, size = [], 0
+        if begun is not None:
+            done.append((*begun, b"".join(parts)))
+            yield made()
+
+    return dealt.mapInArrow(run, f"{file} string, piece bigint, offset bigint, content binary")
 
 
 def joined_pieces(rows: DataFrame, file: str = "file_path") -> DataFrame:
