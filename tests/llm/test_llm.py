@@ -503,6 +503,20 @@ def test_pii_collisions_draw_again(spark):
     assert len(odd) == 2 and len(set(names)) == 4
 
 
+def test_shingles_of_all_documents_are_counted(spark):
+    """No document is left out of the counts, and frequent shingles are told apart however many there are."""
+    steps = jaccard_join.count_steps(np.array([0, 1, 15, 16, 17, 18, 31, 32, 255, 256, 10**6, 2**32, 2**34 - 1, 2**40]))
+    assert steps.tolist() == [0, 1, 15, 16, 16, 17, 23, 24, 47, 48, 16 + 15 * 8 + 7, 16 + 28 * 8, 255, 255]
+    assert (np.diff(jaccard_join.count_steps(np.arange(100_000)).astype(int)) >= 0).all()
+    often = {"one two three": 40, "four five six": 300, "seven eight nine": 3000, "ten eleven twelve": 1}
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(t for t, n in often.items() for _ in range(n))], "id bigint, text string").repartition(5)
+    counts = jaccard_join.token_counts(texts, 3)
+    for text, n in often.items():
+        place = int(jaccard_join.shingle_set(text, 3)[0]) >> 64 - jaccard_join.COUNTER_BITS
+        assert counts[place] == jaccard_join.count_steps(np.array([n]))[0]
+    assert np.count_nonzero(counts) == len(often)
+
+
 @pytest.mark.parametrize("run", [exact_dedup.exact_dedup, suffix_dedup.suffix_dedup, jaccard_join.jaccard_join, lambda d: bpe.bpe_digests(d, PATH, PATTERN)])
 def test_batches_of_any_size(spark, odd_texts, run):
     """What crosses the bounds of Arrow batches comes out as within one batch."""
